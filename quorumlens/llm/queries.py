@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, sharding
+from . import idstore, packing, quality, secrets, sharding
 
 QUERIES = {
     "op2_secret_ledger": secrets.op2_secret_ledger,
+    "op3_mixture_packing": packing.op3_mixture_packing,
     "op5_hilbert_shards": sharding.op5_hilbert_shards,
+    "op7_id_store": idstore.op7_id_store,
     "op9_line_quality": quality.op9_line_quality,
 }
 
