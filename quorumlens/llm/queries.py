@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import idstore, language, media, packing, quality, secrets, sharding
+from . import idstore, language, media, neardup, packing, quality, secrets, sharding
 
 QUERIES = {
     "op2_secret_ledger": secrets.op2_secret_ledger,
     "op3_mixture_packing": packing.op3_mixture_packing,
     "op4_progressive_jpeg": media.op4_progressive_jpeg,
     "op5_hilbert_shards": sharding.op5_hilbert_shards,
+    "op6_similarity_sketch": neardup.op6_similarity_sketch,
     "op7_id_store": idstore.op7_id_store,
     "op8_language_profiles": language.op8_language_profiles,
     "op9_line_quality": quality.op9_line_quality,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_secret_ledger": secrets.OP2_SQL,
+    "op6_similarity_sketch": neardup.OP6_SQL,
     "op9_line_quality": quality.OP9_SQL,
 }
