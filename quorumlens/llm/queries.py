@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import idstore, language, media, neardup, packing, quality, secrets, sharding
+from . import extraction, idstore, language, media, neardup, packing, quality, secrets, sharding
 
 QUERIES = {
+    "op1_wrapper_induction": extraction.op1_wrapper_induction,
     "op2_secret_ledger": secrets.op2_secret_ledger,
     "op3_mixture_packing": packing.op3_mixture_packing,
     "op4_progressive_jpeg": media.op4_progressive_jpeg,
