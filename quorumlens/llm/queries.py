@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, idstore, language, media, neardup, packing, quality, secrets, sharding
+from . import extraction, idstore, language, media, mixing, neardup, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_wrapper_induction": extraction.op1_wrapper_induction,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_id_store": idstore.op7_id_store,
     "op8_language_profiles": language.op8_language_profiles,
     "op9_line_quality": quality.op9_line_quality,
+    "op10_soft_mixing": mixing.op10_soft_mixing,
 }
 
 ORACLE_SQL = {
