@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, shared_dir, text_or_empty
+from .common import let, materialize, shared_dir, text_or_empty
 
 SPANS = "array<struct<kind:string,start:int,stop:int>>"
 
@@ -106,7 +106,8 @@ def scan_ledger(docs: DataFrame, ledger: str, text: str = "text", rules: Sequenc
     by_blob = findings.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
     keyed = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), order[x["kind"]].alias("k"), x["stop"].alias("stop"), x["kind"].alias("kind")))
     ordered = F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
-    return docs.join(by_blob.select("blob", ordered.alias("spans")), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    # a table of known size: the join broadcasts it only if it is small
+    return docs.join(materialize(by_blob.select("blob", ordered.alias("spans")), "spans"), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
 
 def fresh_ledger(spark: SparkSession) -> str:
