@@ -280,11 +280,11 @@ def connected_components(spark, sf_dir):
 
 
 _CHAINS = """dec AS (SELECT * FROM ctx WHERE memory_type = 'decision'),
-walk AS (SELECT memory_id AS start, memory_id AS at, superseded_by AS nxt, 1 AS k FROM dec WHERE superseded_by IS NOT NULL AND memory_id NOT IN (SELECT superseded_by FROM dec WHERE superseded_by IS NOT NULL)
+walk AS (SELECT memory_id AS start, memory_id AS tip, superseded_by AS nxt, 1 AS k FROM dec WHERE superseded_by IS NOT NULL AND memory_id NOT IN (SELECT superseded_by FROM dec WHERE superseded_by IS NOT NULL)
   UNION ALL SELECT w.start, d.memory_id, d.superseded_by, w.k + 1 FROM walk w JOIN dec d ON d.memory_id = w.nxt)"""
 
 
-@query("decision_lineage", "SELECT start, max_by(at, k) AS latest, max(k) AS length FROM walk GROUP BY 1 HAVING max(k) > 1", more=_CHAINS, recursive=True)
+@query("decision_lineage", "SELECT start, max_by(tip, k) AS latest, max(k) AS length FROM walk GROUP BY 1 HAVING max(k) > 1", more=_CHAINS, recursive=True)
 def decision_lineage(spark, sf_dir):
     _, mem, meet = sample.store(spark, sf_dir)
     c = insight.context(mem, meet)
@@ -381,8 +381,8 @@ _INSIGHTS = f"""ins AS (
     {_QUOTED} || ' was discussed in ' || meetings || ' separate meetings without a durable resolution.', meetings, content_hash FROM rec WHERE memory_type = 'decision'
   UNION ALL SELECT 'commitment-overload-' || {_SLUG('responsible')}, 'open_commitment_overload', 'person', {_SEV('count(*)', 3, 5, 8)}, responsible || ' owns ' || count(*) || ' open commitments',
     responsible || ' is responsible for ' || count(*) || ' unresolved commitments, indicating a possible workload bottleneck.', count(*), responsible FROM ctx WHERE memory_type = 'commitment' AND status = 'active' GROUP BY responsible HAVING count(*) >= 3
-  UNION ALL SELECT 'decision-superseded-' || {_SLUG('at')}, 'repeatedly_superseded_decision', 'decision', {_SEV('k - 1', 2, 3, 5)}, 'Decision changed ' || (k - 1) || ' times', {_QUOTED} || ' has been superseded ' || (k - 1) || ' times, suggesting an unsettled decision.', k - 1, at
-    FROM (SELECT start, max_by(at, k) AS at, max(k) AS k FROM walk GROUP BY 1) JOIN dec ON memory_id = at WHERE k > 2
+  UNION ALL SELECT 'decision-superseded-' || {_SLUG('tip')}, 'repeatedly_superseded_decision', 'decision', {_SEV('k - 1', 2, 3, 5)}, 'Decision changed ' || (k - 1) || ' times', {_QUOTED} || ' has been superseded ' || (k - 1) || ' times, suggesting an unsettled decision.', k - 1, tip
+    FROM (SELECT start, max_by(tip, k) AS tip, max(k) AS k FROM walk GROUP BY 1) JOIN dec ON memory_id = tip WHERE k > 2
   UNION ALL SELECT 'decision-unstable', 'unstable_decisions', 'decision', 'medium', 'Decision stability is low (' || CAST(round(100 * a / n) AS INT) || '%)', 'Only ' || a || ' of ' || n || ' decisions remain active; the rest were superseded or archived.', round(a / n, 4), NULL
     FROM (SELECT count(*) AS n, count(*) FILTER (status = 'active') AS a FROM dec) WHERE n >= 4 AND a / n < 0.5
   UNION ALL SELECT 'commitment-resolution', 'low_commitment_resolution', 'commitment', CASE WHEN r / n < 0.2 THEN 'high' ELSE 'medium' END, 'Commitment resolution rate is low (' || CAST(round(100 * r / n) AS INT) || '%)', 'Only ' || r || ' of ' || n || ' commitments have been resolved across the analysed meetings.', round(r / n, 4), NULL
