@@ -147,8 +147,9 @@ def parse(source: str | None) -> Page:
         if node.depth >= MOST_DEPTH:
             continue  # its text joins the element above
         keeps = tag in ("html", "body", *MAIN)
-        own = hidden or tag in OUTSIDE or (not keeps and bool(words & OUTSIDE_WORDS)) or (tag == "header" and not node.main)
-        child = Node(tag, tag + label, node, node.depth + 1, node.outside or own, node.main or tag in MAIN or "main" in words and tag in ("div", "section"), node.header or tag == "header")
+        header = not keeps and (tag == "header" or "header" in words)
+        own = hidden or tag in OUTSIDE or (not keeps and bool(words & OUTSIDE_WORDS)) or (header and not node.main)
+        child = Node(tag, tag + label, node, node.depth + 1, node.outside or own, node.main or tag in MAIN or "main" in words and tag in ("div", "section"), node.header or header)
         node.children.append(child)
         node = child
     flush()

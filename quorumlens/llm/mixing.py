@@ -85,14 +85,15 @@ def train_domains(docs: DataFrame, labels: DataFrame, text: str = "text", most_r
     return Classifier(domains, base, weights)
 
 
-def fit_rates(table: DataFrame, targets: Sequence[float], rounds: int = 25, tolerance: float = 1e-6) -> tuple[Column, list[list[float]], float]:
+def fit_rates(table: DataFrame, targets: Sequence[float], rounds: int = 20, tolerance: float = 1e-6) -> tuple[Column, list[list[float]], float]:
     """Rates x >= 0 for the rows of table (n: tokens, p: posteriors) with sum of n * p_d * x near targets[d].
 
-    Projected gradient on the least-squares error, from x = 1. Errors are weighted by the inverse of
+    Projected gradient with momentum on the least-squares error, from x = 1. Errors are weighted by the inverse of
     H = sum of n * p p', and a row's step by 1 / n, so that a full step is the best one where no rate meets 0 and
     rows of equal posteriors get equal rates. A round is one aggregation of a few numbers; rates are a fold over
-    the rounds' directions, so nothing but those leaves the table. Returns the rate as a column of p, the
-    directions, and the error relative to the targets.
+    the rounds' steps, so nothing but those leaves the table. Stops when the error is under tolerance, when
+    three rounds in a row lower the objective by less than a thousandth, or after `rounds` of them. Returns the rate as a column of p, the steps
+    (momentum, then direction), and the error relative to the targets.
     """
     k = len(targets)
     t = np.array(targets, float)
@@ -100,28 +101,33 @@ def fit_rates(table: DataFrame, targets: Sequence[float], rounds: int = 25, tole
     h = table.agg(*[F.sum(F.col("n") * p[i] * p[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]).first()
     H = np.array([[h[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
     inverse = np.linalg.pinv(H, rcond=1e-9, hermitian=True)
-    directions: list[list[float]] = []
-
-    def rate() -> Column:
-        steps = F.from_json(F.lit(json.dumps(directions)), "array<array<double>>")
-        dot = lambda g: F.aggregate(F.zip_with(g, F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        return F.aggregate(steps, F.lit(1.0), lambda x, g: F.greatest(F.lit(0.0), x - dot(g)))
-
-    best, error = [], math.inf
-    for _ in range(rounds):
-        got = table.withColumn("x", rate()).agg(*[F.sum(F.col("n") * p[i] * F.col("x")).alias(f"t{i}") for i in range(k)])
-        row = got.first()
-        r = np.array([row[f"t{i}"] or 0.0 for i in range(k)]) - t
-        now = float(np.abs(r).sum() / max(np.abs(t).sum(), 1.0))
-        if now < error * (1 - 1e-3):
-            best, error = list(directions), now
-        elif len(directions) > len(best) + 3:
-            break
-        if now <= tolerance:
-            break
-        directions.append((inverse @ r).tolist())
-    directions[:] = best
-    return rate(), directions, error
+
+    def state(steps: list[list[float]]) -> Column:
+        """(x, y): the rate after these steps, and the point ahead of it that the next gradient is taken at."""
+        table_ = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
+        dot = lambda g, p: F.aggregate(F.zip_with(F.slice(g, 2, k), p, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+        def step(s: Column, g: Column, p: Column) -> Column:
+            return let(F.greatest(F.lit(0.0), s["y"] - dot(g, p)), lambda x: F.struct(x.alias("x"), (x + g[0] * (x - s["x"])).alias("y")))
+
+        # p is bound once a row: the optimizer may put the whole classifier in its place
+        return let(F.col("p"), lambda p: F.aggregate(table_, F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y")), lambda s, g: step(s, g, p)))
+
+    steps: list[list[float]] = []
+    best, least, error, momentum, stalled = [], math.inf, math.inf, 1.0, 0
+    while True:
+        at = table.withColumn("s", state(steps))
+        row = at.agg(*[F.sum(F.col("n") * p[i] * F.col(f"s.{c}")).alias(f"{c}{i}") for i in range(k) for c in "xy"]).first()
+        rx, ry = (np.array([row[f"{c}{i}"] or 0.0 for i in range(k)]) - t for c in "xy")
+        value = float(rx @ inverse @ rx)
+        stalled = stalled + 1 if value > least * (1 - 1e-3) else 0
+        if value < least:
+            best, least, error = list(steps), value, float(np.abs(rx).sum() / max(np.abs(t).sum(), 1.0))
+        if stalled >= 3 or error <= tolerance or len(steps) >= rounds:
+            return state(best)["x"], best, error
+        ahead = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
+        steps.append([(momentum - 1) / ahead, *(inverse @ ry).tolist()])
+        momentum = ahead
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | Callable[[dict[str, float]], Mapping[str, float]], text: str = "text") -> DataFrame:
@@ -142,7 +148,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | Calla
         return docs.withColumns({"n_tokens": tokens, "domains": F.create_map().cast("map<string,double>"), "rate": F.lit(1.0)})
     names = classifier.domains
     rated = docs.drop("n_tokens", "domains", "rate", "_p").withColumns({"n_tokens": tokens, "_p": classifier.posterior(body)})
-    table = materialize(rated.select(F.col("n_tokens").alias("n"), F.col("_p").alias("p")), "posteriors")
+    # rates depend on posteriors alone, and texts with the same features of the vocabulary share theirs
+    table = materialize(rated.select(F.col("n_tokens").alias("n"), F.col("_p").alias("p")).groupBy("p").agg(F.sum("n").alias("n")), "posteriors")
     sums = table.agg(*[F.sum(F.col("n") * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(len(names))]).first()
     have = {d: float(sums[f"t{i}"] or 0.0) for i, d in enumerate(names)}
     want = dict(targets(have) if callable(targets) else targets)

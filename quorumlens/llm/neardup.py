@@ -40,7 +40,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 
     A-Z are lower-cased; words are parted by ASCII white space.
     """
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     out = []
     with np.errstate(over="ignore"):
@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     1. Fingerprints. Documents with equal sets (128-bit digest) fall together as one node, so copies cost nothing
        later. Band keys miss a pair at the threshold with a chance of 1e-8, and fewer the more alike it is.
     2. Candidates. Nodes that share a band key, directly or through others, form a group. A group is found by
-       linking each node with the least node of each of its bands, so a band of n nodes gives n rows.
+       linking each node with the least node of each of its bands, so a band of n nodes gives n rows; these heads
+       hang on the least of them, so most of a group's edges are one a node.
     3. Verification. Full sets are made again from the texts of nodes in groups. A group is dealt into chunks of
        about `chunk` nodes and chunk_shingles shingles, a few nodes (anchors) standing in all chunks; a chunk
        computes all its intersections and returns a spanning star for each component.
@@ -217,7 +218,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     reps = prints.join(nodes.select("d0", "d1", F.col("node").alias("doc_id")), ["d0", "d1", "doc_id"])
     keyed = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head")
-    near = keyed.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    # a node and all its heads hang on the least of them, so a group has few edges besides one a node
+    hung = keyed.join(heads, "key").groupBy("node").agg(F.min("head").alias("a"), F.collect_set("head").alias("heads"))  # a head a band at most
+    near = hung.select("a", F.explode(F.array_union("heads", F.array("node"))).alias("b")).where("a <> b").distinct()
     groups = components(materialize(near, "candidates"))
 
     sized = narrow.join(nodes, ["d0", "d1"]).where("doc_id = node").select("node", "n_shingles").dropDuplicates(["node"]).join(groups.withColumnRenamed("label", "group"), "node")

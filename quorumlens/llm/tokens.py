@@ -38,7 +38,7 @@ class Encoder:
     its space-separated chunks in order. Chunks recur, so each is encoded once and kept, up to `keep` of them.
     """
 
-    def __init__(self, path: str, keep: int = 700_000, end_id: int = END_ID):
+    def __init__(self, path: str, keep: int = 1_000_000, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -52,9 +52,12 @@ class Encoder:
         self.offset, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        found, counts = [], []
+        for s in range(0, len(chunks), 10_000):  # an encoding takes some hundred times its chunk's memory
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(chunks[s : s + 10_000], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            found.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(counts[-1].sum())))
+        new, sizes = np.concatenate(found), np.concatenate(counts)
         if self.used + len(new) > len(self.store):
             self.store = np.concatenate([self.store[: self.used], np.zeros(max(len(self.store), len(new)), np.uint32)])
         self.store[self.used : self.used + len(new)] = new

@@ -346,6 +346,7 @@ def test_extraction(spark):
     body = lambda i: f"<div><h2>Head {i}</h2><p>First &amp; {i}<br>more\n words<p>Second <b>bold {i}<p>Read  &lt;{i}&gt;</div>"
     rows = [(i, f"http://Host.example/{i}", shell.format(body(i))) for i in range(8)]
     rows += [(20, "http://host.example/x", None), (21, None, ""), (22, "http://one.example/", "<article><script>var a='<p>'</script><h1>T</h1><aside>ad</aside><p>x<form>f</form></article><p>out"), (23, "http://one.example/b", "<p>cut &am")]
+    rows += [(26, "http://head.example/", '<div class="site-header"><h2>Site</h2></div><article><header><h1>Title</h1><span>by A</span></header><p>Text<div id="post-comments">no</div></article>')]
     rows += [(24, "http://deep.example/", "<div>" * 3000 + "deep"), (25, "http://deep.example/", "a < b <c")]
     out = {r["page_id"]: r for r in extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(out) == len(rows)
@@ -353,6 +354,7 @@ def test_extraction(spark):
         assert out[i]["text"] == f"Head {i}\nFirst & {i} more words\nSecond bold {i}\nRead <{i}>"
         assert out[i]["n_chars"] == len(out[i]["text"])
     assert out[20]["text"] == out[21]["text"] == "" and out[22]["text"] == "T\nx" and out[23]["text"] == "cut &am" and out[24]["text"] == "deep" and out[25]["text"] == "a < b"
+    assert out[26]["text"] == "Title\nText"
     assert extraction.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
