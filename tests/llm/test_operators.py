@@ -412,7 +412,7 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     good = [prose(100 + i, 80) for i in range(12)]
-    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate([*good, good[0], good[1] + " extra", "short", None, "", good[2] + " password = hunter2hunter2."])]
+    rows = [(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate([*good, good[0], good[1] + " extra", "short", None, "", good[2] + " password = hunter2hunter2."])]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
