@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +17,31 @@ BOILERPLATE = (
     r"(?i)all rights reserved|licensed under|released under the .{0,40}licen[cs]e|general public license"
     r"|accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|subscribe to our|sign up for our|click here to"
 )
+#: Parts of the notices above, one of which stands in every match.
+NOTICE_PARTS = ("rights reserved", "licen", "cookie", "privacy policy", "terms of ", "subscribe to our", "sign up for our", "click here to")
 SENTENCE_END = r"[.!?:;…\"'”’)\]]\s*$"
 
 
-def line_fails(line: Column, menu_words: int = 3, noise_percent: int = 10) -> Column:
-    """True for a line of noise marks, a menu entry (few words and no end of sentence) or a standing notice."""
+def may_hold_notice(text: Column) -> Column:
+    """False only where no line of text matches BOILERPLATE: plain substring searches, far cheaper than the pattern."""
+    return let(F.lower(text), lambda t: F.array_contains(F.array(*[F.contains(t, F.lit(part)) for part in NOTICE_PARTS]), True))
+
+
+def line_fails(line: Column, menu_words: int = 3, noise_percent: int = 10, notices: Column | None = None) -> Column:
+    """True for a line of noise marks, a menu entry (few words and no end of sentence) or a standing notice.
+
+    notices: may_hold_notice() of the text that the line is from, if known.
+    """
     size = F.char_length(line)
-    noise = size - F.char_length(F.regexp_replace(line, NOISE, ""))
-    few = F.size(F.filter(F.split(line, SPACE + "+"), lambda w: w != "")) <= menu_words
-    return (noise * 100 > size * noise_percent) | (few & ~line.rlike(SENTENCE_END)) | line.rlike(BOILERPLATE)
+    noise = F.char_length(F.array_join(F.regexp_extract_all(line, F.lit(NOISE), F.lit(0)), ""))
+    few = line.rlike(rf"^{SPACE}*({WORD}({SPACE}+|\z)){{0,{menu_words}}}\z")
+    notice = line.rlike(BOILERPLATE) if notices is None else notices & line.rlike(BOILERPLATE)
+    return (noise * 100 > size * noise_percent) | (few & ~line.rlike(SENTENCE_END)) | notice
+
+
+def _joined(ahead: int, runs: Column) -> Column:
+    """Each run's hash with that of the run `ahead` places on; runs that reach over the end are of no use."""
+    return F.transform(runs, lambda h, i: F.xxhash64(h, F.get(runs, i + ahead)))
 
 
 def clean_lines(docs: DataFrame, text: str = "text", max_lost_percent: int = 50, min_words: int = 20, max_repeat_percent: int = 30, window: int = 8) -> DataFrame:
@@ -39,8 +57,12 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost_percent: int = 50,
     Everything is one narrow projection: no shuffle, and nothing depends on other rows.
     """
     body = text_or_empty(text)
-    words = F.filter(F.split(body, SPACE + "+"), lambda w: w != "")
-    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))
+    split = {
+        "_words": F.array_remove(F.split(body, SPACE + "+"), ""),
+        "_lines": F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD)),
+        "_notices": may_hold_notice(body),
+    }
+    words, lines = F.col("_words"), F.col("_lines")
 
     def repeated(hashes: Column) -> Column:
         """Words covered by windows whose hash comes twice; hashes: one for each window, by place."""
@@ -51,15 +73,21 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost_percent: int = 50,
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered).otherwise(F.lit(0).cast("long"))
 
     def windows(hashed: Column) -> Column:
+        """Hashes of all windows: each pass hashes two overlapping or adjoining shorter runs into a longer one."""
+        covered, runs = 1, hashed
+        while covered < window:
+            ahead = min(covered, window - covered)
+            runs = let(runs, partial(_joined, ahead))
+            covered += ahead
         last = F.size(hashed) - window + 1
-        return F.when(last >= 2, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(hashed, i, window)))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(last >= 2, F.slice(runs, 1, last)).otherwise(F.array().cast("array<bigint>"))
 
     hashed = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
-    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails")))
+    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x, notices=F.col("_notices")).alias("fails")))
     added = {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
-        "n_symbols": (F.char_length(body) - F.char_length(F.regexp_replace(body, SYMBOLS, ""))).cast("long"),
+        "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": let(hashed, repeated),
         # equal lines fail alike, so the distinct ones that pass are each line's first occurrence
@@ -67,7 +95,7 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost_percent: int = 50,
         "_line_chars": F.char_length(F.array_join(lines, "")).cast("long"),
         "_n_lines": F.size(lines).cast("long"),
     }
-    out = docs.withColumns(added)
+    out = docs.withColumns(split).withColumns(added)
     kept_chars = F.char_length(F.array_join("_kept_lines", ""))
     out = out.withColumns({
         "base_failed": (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent),
@@ -76,7 +104,7 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost_percent: int = 50,
         "clean_text": F.array_join("_kept_lines", "\n"),
     })
     kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("_line_chars") * max_lost_percent)
-    return out.withColumn("kept", kept).drop("_kept_lines", "_line_chars", "_n_lines")
+    return out.withColumn("kept", kept).drop(*split, "_kept_lines", "_line_chars", "_n_lines")
 
 
 def op9_line_quality(spark, sf_dir: str) -> DataFrame:
