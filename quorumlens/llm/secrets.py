@@ -26,12 +26,22 @@ class Rule:
     base: bool = True
 
 
+#: A private key runs from its BEGIN line to its END line. Without one it is the key's header lines and the base64
+#: that follow: runs of 16 or more signs, or whole lines. Line breaks may be escaped, as in JSON.
+_GAP = r"(?:[\r\n\t\x20]|\\+[rn])"
+_BREAK = r"(?:[\t\x20]*+(?:[\r\n]|\\+[rn]))"
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+"
+    rf"(?:{_GAP}*+[A-Za-z0-9+/=]{{16,}}+|{_BREAK}++[\t\x20]*+[A-Za-z0-9+/=]++(?=[\t\x20]*+(?:[\r\n\\\"']|\z)))*+)"
+)
+
 #: The order is the order of kinds that start at the same place.
 RULES = (
     Rule("assign", 1, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", 1, r"[0-9a-f]{24,}"),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", base=False),
+    Rule("pem", 2, PEM, base=False),
     Rule("bearer", 1, r"(?i)bearer\x20+([A-Za-z0-9+/_.=-]{20,})", 1, 20, base=False),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", base=False),
 )
