@@ -261,43 +261,64 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
     raise RuntimeError("the components did not settle")
 
 
-def chains(memories: DataFrame, most: int = 100) -> DataFrame:
-    """(start, latest, ids): supersession chains from the oldest memory on, at least two long.
+def chain_members(memories: DataFrame) -> DataFrame:
+    """(start, memory_id, position): the memories of each supersession chain, the oldest at position 0.
 
-    Pointers are followed all at once, one step a round, from memories that supersede none; a chain ends where a
-    pointer leads out of the table or back into the chain.
+    Chains begin at memories that supersede none and end where a pointer leads out of the table or back into the
+    chain. A round doubles how far all pointers reach, so a chain of n memories takes about log2(n) rounds. A round
+    that adds nothing is the last: positions of a chain have no gaps.
     """
     link = _cut(memories.where("superseded_by <> ''").select("memory_id", "superseded_by"))
-    known = memories.select(F.col("memory_id").alias("next"))
     starts = link.join(link.select(F.col("superseded_by").alias("memory_id")).distinct(), "memory_id", "left_anti")
-    live = starts.select(F.col("memory_id").alias("start"), F.array("memory_id").alias("ids"), F.col("superseded_by").alias("next"))
-    done = None
-    for _ in range(most):
-        on = live.join(known.withColumn("_known", F.lit(True)), "next", "left").withColumn("go", F.coalesce("_known", F.lit(False)) & ~F.array_contains("ids", F.col("next")))
-        on = _cut(on)
-        ended = on.where("not go").select("start", "ids")
-        done = ended if done is None else done.unionByName(ended)
-        grown = on.where("go").select("start", F.concat("ids", F.array("next")).alias("ids"), F.col("next").alias("memory_id"))
-        live = grown.join(link, "memory_id", "left").select("start", "ids", F.col("superseded_by").alias("next"))
-        stopped = live.where("next is null").select("start", "ids")
-        done = _cut(done.unionByName(stopped))
-        live = _cut(live.where("next is not null"))
-        if not live.limit(1).count():
-            break
-    return done.where(F.size("ids") > 1).select("start", F.element_at("ids", -1).alias("latest"), "ids")
-
-
-def lineage(edges: DataFrame, node: str, relationship: str = "supersedes") -> list[str]:
-    """The chain that a node stands in, oldest first: from the least newest node down to older ones."""
-    part = neighbors(edges, [node], depth=50, relationships=[relationship]).select("node_id")
-    own = edges.where(F.col("relationship") == relationship).join(part.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").select("source_id", "target_id").distinct()
+    known = memories.select(F.col("memory_id").alias("superseded_by"))
+    jump = _cut(link.join(known, "superseded_by", "left_semi").select("memory_id", F.col("superseded_by").alias("next")))
+    members = _cut(starts.select(F.col("memory_id").alias("start"), "memory_id", F.lit(0).cast("long").alias("position")))
+    have, reach = members.count(), 1
+    while True:
+        ahead = members.join(jump, "memory_id").select("start", F.col("next").alias("memory_id"), (F.col("position") + reach).alias("position"))
+        # a chain that leads back into itself meets its memories again, later
+        members = _cut(members.unionByName(ahead).groupBy("start", "memory_id").agg(F.min("position").alias("position")))
+        found = members.count()
+        if found == have:
+            return members
+        onward = jump.select(F.col("memory_id").alias("next"), F.col("next").alias("further"))
+        jump = _cut(jump.join(onward, "next").select("memory_id", F.col("further").alias("next")))
+        have, reach = found, reach * 2
+
+
+def chains(memories: DataFrame) -> DataFrame:
+    """(start, latest, ids): supersession chains from the oldest memory on, at least two long."""
+    placed = chain_members(memories).groupBy("start").agg(F.array_sort(F.collect_list(F.struct("position", "memory_id"))).alias("m")).where(F.size("m") > 1)
+    return placed.select("start", F.element_at("m", -1)["memory_id"].alias("latest"), F.col("m.memory_id").alias("ids"))
+
+
+def lineage(edges: DataFrame, node: str, relationship: str = "supersedes", depth: int = 256) -> list[str]:
+    """The chain that a node stands in, oldest first: from the least newest node down to older ones.
+
+    The chain is looked for within depth steps of the node.
+    """
+    every = _cut(edges.where(F.col("relationship") == relationship).select("source_id", "target_id").distinct())
+    ends = every.select(F.col("source_id").alias("node_id")).unionByName(every.select(F.col("target_id").alias("node_id"))).distinct()
+    label = _cut(connected_components(ends, every.withColumn("edge_id", F.lit(""))))
+    mine = label.join(label.where(F.col("node_id") == node).select("component"), "component", "left_semi").select(F.col("node_id").alias("source_id"))
+    pairs = [(r["source_id"], r["target_id"]) for r in every.join(mine, "source_id", "left_semi").collect()]  # one component of one relationship
+    beside: dict[str, list[str]] = {}
+    for a, b in pairs:
+        beside.setdefault(a, []).append(b)
+        beside.setdefault(b, []).append(a)
+    part, front = {node}, {node}
+    for _ in range(depth):
+        front = {b for a in front for b in beside.get(a, [])} - part
+        part |= front
     older: dict[str, list[str]] = {}
-    for r in own.collect():  # one component of one relationship
-        older.setdefault(r["source_id"], []).append(r["target_id"])
+    for a, b in pairs:
+        if a in part:
+            older.setdefault(a, []).append(b)
     targets = {t for ts in older.values() for t in ts}
     heads = sorted(set(older) - targets) or sorted(older)
-    walk, at = [], heads[0] if heads else node
-    while at and at not in walk:
+    walk, seen, at = [], set(), heads[0] if heads else node
+    while at and at not in seen:
         walk.append(at)
-        at = min((t for t in older.get(at, []) if t not in walk), default=None)
+        seen.add(at)
+        at = min((t for t in older.get(at, []) if t not in seen), default=None)
     return walk[::-1]

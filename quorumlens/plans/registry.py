@@ -288,7 +288,8 @@ walk AS (SELECT memory_id AS start, memory_id AS tip, superseded_by AS nxt, 1 AS
 def decision_lineage(spark, sf_dir):
     _, mem, meet = sample.store(spark, sf_dir)
     c = insight.context(mem, meet)
-    return graph.chains(c.of("decision")).select("start", "latest", F.size("ids").alias("length"))
+    members = graph.chain_members(c.of("decision")).groupBy("start").agg(F.max_by("memory_id", "position").alias("latest"), F.count("*").cast("int").alias("length"))
+    return members.where("length > 1")
 
 
 # ---- intelligence
