@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jpeg
+from .common import materialize
 
 UNIT = 576
 #: Rows in a batch that goes back to Spark, so that tensors of many rows are not held at once.
 ROWS = 256
+#: Bytes of a tensor in one row of a table of tensors, and in a batch that goes back to Spark, as near as whole pixel rows allow.
+BAND = 16 << 20
 
 
 def _extended(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
@@ -91,7 +94,59 @@ def read_media(stored: DataFrame, media: str = "media", tensors: bool = True) ->
     return src.mapInArrow(decode, _extended(src, [T.StructField(n, k) for n, k in zip(names, kinds)]))
 
 
+def store_tensors(stored: DataFrame, media: str = "media", band_bytes: int = BAND) -> DataFrame:
+    """Decode a column of progressive JPEGs and keep the pictures as a table in the shared folder, which is returned.
+
+    A picture is one row or more: `band` counts from 0, and rgb holds a band of whole pixel rows of at most band_bytes
+    (one pixel row at least). Bands in order are the tensor (height x width x 3 bytes), rgb_sha256 is its hash. Each
+    band has the columns of read_media() and stored's own, but for media. A null media gives one row of nulls.
+    """
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "height", "width", "feature", "rgb_sha256", "band", "rgb"]
+    kinds = [T.LongType(), T.StringType(), T.LongType(), T.IntegerType(), T.IntegerType(), T.StringType(), T.StringType(), T.IntegerType(), T.BinaryType()]
+    kept = [c for c in stored.columns if c not in (*names, media)]
+    src = stored.select(*kept, media)
+
+    def decode(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        arrow = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.binary())
+        for part in parts:
+            own = part.select(kept)
+            rows, out, held = [], [], 0
+
+            def batch():
+                taken = own.take(pa.array(rows, pa.int64()))
+                return pa.RecordBatch.from_arrays([*taken.columns, *[pa.array(c, t) for c, t in zip(zip(*out), arrow)]], names=[*kept, *names])
+
+            for i, data in enumerate(part.column(len(kept))):
+                data = data.as_py()
+                if data is None:
+                    rows.append(i)
+                    out.append((None,) * len(names))
+                else:
+                    image = jpeg.decode(data)
+                    payload, rgb = jpeg.payload_of(image), np.ascontiguousarray(image.rgb())
+                    digests = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), image.height, image.width, feature(rgb), hashlib.sha256(rgb).hexdigest())
+                    lines = max(1, band_bytes // (3 * image.width))
+                    for band, y in enumerate(range(0, image.height, lines)):
+                        piece = rgb[y : y + lines].tobytes()
+                        rows.append(i)
+                        out.append((*digests, band, piece))
+                        held += len(piece)
+                        if held >= band_bytes:
+                            yield batch()
+                            rows, out, held = [], [], 0
+                if len(rows) >= ROWS:
+                    yield batch()
+                    rows, out, held = [], [], 0
+            if rows:
+                yield batch()
+
+    return materialize(src.mapInArrow(decode, _extended(stored.select(*kept), [T.StructField(n, k) for n, k in zip(names, kinds)])), "tensors")
+
+
 def op4_progressive_jpeg(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    read = read_media(store_media(docs), tensors=False)
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "height", "width")
+    stored = materialize(store_media(docs), "media")
+    hashed = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    return store_tensors(hashed).where("band = 0").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb_sha256")
