@@ -157,14 +157,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | Calla
     return rated.withColumnRenamed("_p", "p").withColumn("rate", rate).withColumn("domains", F.map_from_arrays(F.array(*[F.lit(d) for d in names]), "p")).drop("p")
 
 
-def copies(rate: Column, key: Column, slack: float = 0.1) -> Column:
-    """How many copies of a row a mixture takes: the rate rounded up or down by the row's hash, on average the rate.
+def copies(rate: Column, key: Column) -> Column:
+    """How many copies of a row a mixture takes: the rate rounded up or down by the row's hash, on average the rate."""
+    draw = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return F.floor(rate + draw).cast("int")
+
 
-    A rate within slack of a whole number is that number, so that rows about right stay as they are.
+def kept_whole(domain: str, domains: Column, rate: Column) -> Column:
+    """Whether a row of mix() stays, once, where a document is kept or not: if it is of the domain more likely than not.
+
+    Nothing is left to chance. The rate decides only where no domain is known.
     """
-    near = F.abs(rate - F.round(rate)) <= slack
-    draw = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return F.when(near, F.round(rate)).otherwise(F.floor(rate + draw)).cast("int")
+    return F.when(F.size(domains) == 0, rate >= 0.5).otherwise(F.coalesce(domains[domain] > 0.5, F.lit(False)))
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
