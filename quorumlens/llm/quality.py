@@ -49,7 +49,8 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost_percent: int = 50,
 
     Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (words inside windows of `window` words
     that the text has twice or more), base_failed, n_failed_lines, lost_chars, clean_text and kept. A line is
-    removed if line_fails() says so or if it equals an earlier line; blank lines stay. A document is rejected
+    removed if line_fails() says so or if it equals an earlier line; blank lines stay, and a text of which no line is
+    removed stays as it is. A document is rejected
     if the base rules fail it, or if the removed lines hold more than max_lost_percent of its characters in lines.
 
     Null and empty texts have zero counts, an empty clean_text and fail the base rule on words. Rows are judged
@@ -59,6 +60,7 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost_percent: int = 50,
     body = text_or_empty(text)
     split = {
         "_words": F.array_remove(F.split(body, SPACE + "+"), ""),
+        "_all_lines": F.split(body, "\n", -1),
         "_lines": F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD)),
         "_notices": may_hold_notice(body),
     }
@@ -91,20 +93,25 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost_percent: int = 50,
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": let(hashed, repeated),
         # equal lines fail alike, so the distinct ones that pass are each line's first occurrence
-        "_kept_lines": F.transform(F.filter(F.array_distinct(judged), lambda x: ~x["fails"]), lambda x: x["line"]),
+        "_kept_lines": F.transform(F.filter("_judged", lambda x: ~x["fails"]), lambda x: x["line"]),
         "_line_chars": F.char_length(F.array_join(lines, "")).cast("long"),
         "_n_lines": F.size(lines).cast("long"),
     }
-    out = docs.withColumns(split).withColumns(added)
+    out = docs.withColumns(split).withColumn("_judged", F.array_distinct(judged)).withColumns(added)
     kept_chars = F.char_length(F.array_join("_kept_lines", ""))
     out = out.withColumns({
         "base_failed": (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent),
         "n_failed_lines": F.col("_n_lines") - F.size("_kept_lines"),
         "lost_chars": F.col("_line_chars") - kept_chars,
-        "clean_text": F.array_join("_kept_lines", "\n"),
     })
+    # blank lines get their place as a mark, so that each stays; no line holds a line feed, so marks are no lines
+    marked = F.transform("_all_lines", lambda x, i: F.when(x.rlike(WORD), x).otherwise(F.concat(F.lit("\n"), i.cast("string"), F.lit("\n"), x)))
+    left = F.array_except(marked, F.transform(F.filter("_judged", lambda x: x["fails"]), lambda x: x["line"]))
+    whole = F.array_join(F.transform(left, lambda x: F.substring_index(x, "\n", -1)), "\n")
+    no_blanks = F.size("_all_lines") == F.size("_lines")
+    out = out.withColumn("clean_text", F.when(F.col("n_failed_lines") == 0, body).when(no_blanks, F.array_join("_kept_lines", "\n")).otherwise(whole))
     kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("_line_chars") * max_lost_percent)
-    return out.withColumn("kept", kept).drop(*split, "_kept_lines", "_line_chars", "_n_lines")
+    return out.withColumn("kept", kept).drop(*split, "_judged", "_kept_lines", "_line_chars", "_n_lines")
 
 
 def op9_line_quality(spark, sf_dir: str) -> DataFrame:
