@@ -223,6 +223,27 @@ def neighbors(edges: DataFrame, start: Sequence[str], depth: int = 1, relationsh
     return seen
 
 
+def neighbors_of_all(memories: DataFrame, meetings: DataFrame, start: Sequence[str], depth: int = 1, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
+    """neighbors() over edges of every kind in both directions, without making the pairs of resolves_edges().
+
+    A front's commitments reach the issues of an entity up to the latest of their dates, and its issues the
+    commitments from the earliest of theirs on, so one date an entity stands for the front.
+    """
+    steps = _cut(_steps(edges(memories, meetings, vocabulary, resolves=False), "both", ()).select("a", "b").distinct())
+    commitments, issues = (_cut(x.select(memory_node().alias("node_id"), "entity_id", "date")) for x in _resolving(memories, meetings, vocabulary))
+    seen = memories.sparkSession.createDataFrame([(s, 0) for s in start], "node_id string, distance int")
+    front = seen
+    for d in range(1, depth + 1):
+        latest = commitments.join(front, "node_id").groupBy("entity_id").agg(F.max("date").alias("d"))
+        earliest = issues.join(front, "node_id").groupBy("entity_id").agg(F.min("date").alias("d"))
+        near = front.join(steps, front["node_id"] == steps["a"]).select(F.col("b").alias("node_id"))
+        near = near.unionByName(issues.join(latest, "entity_id").where("date <= d").select("node_id"))
+        near = near.unionByName(commitments.join(earliest, "entity_id").where("date >= d").select("node_id")).distinct()
+        front = _cut(near.join(seen, "node_id", "left_anti").withColumn("distance", F.lit(d)))
+        seen = seen.unionByName(front)
+    return seen
+
+
 def find_path(edges: DataFrame, source: str, target: str, max_depth: int = 6) -> list[str] | None:
     """The first shortest path that a search in order of (node, edge) finds, as nodes; edges count both ways.
 

@@ -279,6 +279,35 @@ def connected_components(spark, sf_dir):
     return node.join(found, "node_id").groupBy("content_hash").agg(F.countDistinct("component").alias("parts"), F.count("*").alias("n"))
 
 
+# ---- the graph with edges of every kind: no SQL, as it would make every pair of resolves
+
+
+@query("edge_summary_all")
+def edge_summary_all(spark, sf_dir):
+    _, mem, meet = sample.store(spark, sf_dir)
+    total = graph.resolves_counts(mem, meet).agg(F.lit("resolves").alias("relationship"), F.sum("n").alias("n")).where("n > 0")
+    return graph.edges(mem, meet, resolves=False).groupBy("relationship").agg(F.count("*").alias("n")).unionByName(total)
+
+
+@query("edge_ids_all")
+def edge_ids_all(spark, sf_dir):
+    _, mem, meet = sample.store(spark, sf_dir)
+    return graph.edges(mem, meet).select("edge_id", "relationship")
+
+
+@query("neighbors_depth2_all")
+def neighbors_depth2_all(spark, sf_dir):
+    _, mem, meet = sample.store(spark, sf_dir)
+    return graph.neighbors_of_all(mem, meet, ["technology:postgres"], 2)
+
+
+@query("connected_components_all")
+def connected_components_all(spark, sf_dir):
+    _, mem, meet = sample.store(spark, sf_dir)
+    # what a resolves edge joins is joined by the entity that both its ends mention
+    return graph.connected_components(graph.nodes(mem, meet).select("node_id"), graph.edges(mem, meet, resolves=False))
+
+
 _CHAINS = """dec AS (SELECT * FROM ctx WHERE memory_type = 'decision'),
 walk AS (SELECT memory_id AS start, memory_id AS tip, superseded_by AS nxt, 1 AS k FROM dec WHERE superseded_by IS NOT NULL AND memory_id NOT IN (SELECT superseded_by FROM dec WHERE superseded_by IS NOT NULL)
   UNION ALL SELECT w.start, d.memory_id, d.superseded_by, w.k + 1 FROM walk w JOIN dec d ON d.memory_id = w.nxt)"""
