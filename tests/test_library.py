@@ -56,7 +56,7 @@ def test_extraction(spark):
     assert (got["m:risk:4"].evidence_start, got["m:risk:4"].evidence_end) == (13, 17)
     assert got["m:question:5"].confidence == 0.95 and got["m:question:5"].evidence_end == 10
     assert got["m:fact:6"].confidence == 0.75
-    assert extraction.extract(u, types=["risk"]).count() == 2 and extraction.extract(u, min_confidence=0.9).count() == 3
+    assert extraction.extract(u, types=["risk"]).count() == 2 and extraction.extract(u, min_confidence=0.9).count() == 4
     checked = extraction.problems(extraction.extract(u).withColumn("confidence", F.when(F.col("memory_type") == "risk", 2.0).otherwise(F.col("confidence"))), u)
     assert checked.where("problem is not null").count() == 2
 
