@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, prefix_totals, shared_dir, text_or_empty
-from .tokens import batches, encoder, vocabulary
+from .tokens import encoder, id_width, slices, vocabulary
 
 BLOCKS = "block long, first_id long, last_id long, doc_ids array<long>, n_tokens array<int>, ends array<int>, dict_sha256 string, width int, payload binary"
 DOCS = "doc_id long, block long, place int, local_start long, ids binary"
@@ -32,40 +32,57 @@ def _frames(dictionary: bytes):
     return zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True, write_checksum=False, write_dict_id=False), zstandard.ZstdDecompressor(dict_data=shared)
 
 
-def train_dictionary(docs: DataFrame, path: str, text: str = "text", samples: int = 2000, most_chars: int = 4096, size: int = 65536, width: int = 2) -> bytes:
-    """A dictionary trained on the id arrays of at most `samples` documents of at most most_chars characters.
+def id_arrays(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """A table in the shared folder of doc_id, n (its number of ids) and ids, in as many bytes an id as needed."""
+    rows, width = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("t")), id_width(path)
 
-    Documents are chosen by the hash of their text, so equal tables give equal dictionaries. Where they are too
-    few to train on, the dictionary is their ids as they are; without any it is empty and frames stand alone.
+    def encode(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in parts:
+            texts = part.column(1)
+            for s in slices(texts):
+                ids, sizes = encoder(path).encode(texts[s])
+                raw, ends = ids.astype(f"<u{width}").tobytes(), np.cumsum(sizes) * width
+                frames = [raw[e - width * n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0)[s], pa.array(sizes, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "n", "ids"])
+
+    return materialize(rows.mapInArrow(encode, "doc_id long, n long, ids binary"), "id_arrays")
+
+
+def train_dictionary(arrays: DataFrame, samples: int = 2000, most_ids: int = 1024, size: int = 65536) -> bytes:
+    """A dictionary trained on at most `samples` serialized id arrays (n, ids) of at most most_ids ids.
+
+    Arrays are chosen by their hash, so equal tables give equal dictionaries. Where they are too few to train on,
+    the dictionary is these arrays as they are; without any it is empty and frames stand alone.
     """
     import zstandard
 
-    short = docs.where(F.char_length(text).between(1, most_chars)).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    short = arrays.where(F.col("n").between(2, most_ids)).select(F.xxhash64("ids").alias("h"), "ids")
     n = short.count()
     few = short.where(F.pmod(F.shiftrightunsigned("h", 8), F.lit(1 << 20)) < F.lit(min(1 << 20, int((1 << 20) * 2 * samples / n) + 1))) if n else short
-    texts = [r["t"] for r in few.dropDuplicates(["h"]).orderBy("h").limit(samples).collect()]
-    ids, sizes = encoder(path).encode(texts)
-    parts = [x.astype(f"<u{width}").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+    parts = [bytes(r["ids"]) for r in few.dropDuplicates(["h"]).orderBy("h").limit(samples).collect()]
     try:
         return zstandard.train_dictionary(size, parts).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b"".join(parts)[:size]
 
 
-def write_ids(docs: DataFrame, folder: str, path: str, text: str = "text", width: int = 2, block_bytes: int = 1 << 20) -> None:
+def write_ids(docs: DataFrame, folder: str, path: str, text: str = "text", block_bytes: int = 1 << 20) -> None:
     """Encode docs (doc_id and text) and write them to folder, in ascending doc_id order.
 
-    Null texts have the end id alone. Rows with the same doc_id are kept apart, in the order of their texts'
-    hashes; a null doc_id comes first. An empty table gives an empty store. Other columns are not read.
+    Texts are encoded where they lie; only their ids are range-partitioned and sorted. Null texts have the end id
+    alone. Rows with the same doc_id are kept apart, in the order of their ids' hashes; a null doc_id comes first.
+    An empty table gives an empty store. Other columns are not read.
     """
-    spark = docs.sparkSession
-    dictionary = train_dictionary(docs, path, text, width=width)
+    spark, width = docs.sparkSession, id_width(path)
+    arrays = id_arrays(docs, path, text)
+    dictionary = train_dictionary(arrays)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "sha256 string, bytes binary").coalesce(1).write.parquet(f"{folder}/dictionary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("t"), F.xxhash64(text_or_empty(text)).alias("h"))
     shared = spark.sparkContext.broadcast(dictionary)  # at most `size` bytes
 
-    def encode(parts: Iterator) -> Iterator:
+    def compress(parts: Iterator) -> Iterator:
         import pyarrow as pa
 
         schema = pa.schema([("block", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("dict_sha256", pa.string()), ("width", pa.int32()), ("payload", pa.binary())])
@@ -83,24 +100,19 @@ def write_ids(docs: DataFrame, folder: str, path: str, text: str = "text", width
             return pa.RecordBatch.from_pylist([row], schema)
 
         for part in parts:
-            doc_ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for s in batches(texts):
-                ids, sizes = encoder(path).encode(texts[s])
-                raw = ids.astype(f"<u{width}").tobytes()
-                end = np.cumsum(sizes) * width
-                for name, n, e in zip(doc_ids[s], sizes.tolist(), end.tolist()):
-                    payload += pack.compress(raw[e - n * width : e])
-                    names.append(name)
-                    counts.append(n)
-                    ends.append(len(payload))
-                    if len(payload) >= block_bytes:
-                        yield flush()
+            for name, n, raw in zip(*(c.to_pylist() for c in part.columns)):
+                payload += pack.compress(raw)
+                names.append(name)
+                counts.append(n)
+                ends.append(len(payload))
+                if len(payload) >= block_bytes:
+                    yield flush()
         if names:
             yield flush()
 
     order = ["doc_id", "h"]
-    dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "t")
-    dealt.mapInArrow(encode, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    dealt = arrays.withColumn("h", F.xxhash64("ids")).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    dealt.select("doc_id", "n", "ids").mapInArrow(compress, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def _dictionary(spark: SparkSession, folder: str) -> bytes:
@@ -144,10 +156,17 @@ def read_ids(spark: SparkSession, folder: str, doc_id: int | None = None) -> Dat
     return blocks.mapInArrow(decode, DOCS)
 
 
+def block_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """(block, before): the ids before each block, by totals of the parts that blocks were written in, then inside each part."""
+    totals = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").select("block", F.shiftright("block", 32).alias("part"), F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    parts = prefix_totals(totals.groupBy("part").agg(F.sum("n").alias("n")), "part", ["n"])
+    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = totals.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, "part")
+    return materialize(placed.select("block", (F.col("before_n") + F.col("inside")).alias("before")), "block_starts")
+
+
 def op7_id_store(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/idstores/{uuid.uuid4().hex}"
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder, vocabulary())
     docs = read_ids(spark, folder).select("doc_id", "block", "local_start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    totals = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").select("block", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    before = materialize(prefix_totals(totals, "block", ["n"]), "block_starts")
-    return docs.join(before, "block").select("doc_id", (F.col("before_n") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(block_starts(spark, folder), "block").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

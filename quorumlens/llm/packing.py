@@ -10,16 +10,16 @@ windows and partitions without any task reading more than its own rows.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from fractions import Fraction
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
-from .tokens import batches, encoder, vocabulary
+from .common import materialize, prefix_totals, text_or_empty
+from .tokens import encoder, id_width, slices, vocabulary
 
 #: The queue of all sources that are too small to have a token in every window.
 POOL = "\x00pool"
@@ -94,27 +94,29 @@ class Schedule:
 
 
 def token_table(docs: DataFrame, path: str, text: str = "text", source: str = "source") -> DataFrame:
-    """docs' ids as a table in the shared folder: doc_id, source, block, local_start, doc_tokens, ids (16-bit).
+    """docs' ids as a table in the shared folder: doc_id, source, block, local_start, doc_tokens, ids.
 
-    A block is one input partition; local_start counts the ids of the same source before the document in it.
+    Ids have as many bytes as the vocabulary needs. A block is one input partition; local_start counts the ids of
+    the same source before the document in it.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("source"), text_or_empty(text).alias("t"))
+    width = id_width(path)
 
     def encode(parts: Iterator) -> Iterator:
         import pyarrow as pa
 
         block, given = TaskContext.get().partitionId(), {}
         for part in parts:
-            texts, sources = part.column(2).to_pylist(), part.column(1).to_pylist()
-            for s in batches(texts):
+            texts, sources = part.column(2), part.column(1).to_pylist()
+            for s in slices(texts):
                 ids, sizes = encoder(path).encode(texts[s])
-                raw = ids.astype("<u2").tobytes()
-                ends = (np.cumsum(sizes) * 2).tolist()
+                raw = ids.astype(f"<u{width}").tobytes()
+                ends = (np.cumsum(sizes) * width).tolist()
                 starts = []
                 for name, n in zip(sources[s], sizes.tolist()):
                     starts.append(given.get(name, 0))
                     given[name] = starts[-1] + n
-                frames = [raw[e - 2 * n : e] for e, n in zip(ends, sizes.tolist())]
+                frames = [raw[e - width * n : e] for e, n in zip(ends, sizes.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0)[s], part.column(1)[s], pa.array([block] * len(frames), pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(frames, pa.binary())],
                     names=["doc_id", "source", "block", "local_start", "doc_tokens", "ids"],
@@ -124,45 +126,46 @@ def token_table(docs: DataFrame, path: str, text: str = "text", source: str = "s
     return materialize(rows.mapInArrow(encode, schema), "tokens")
 
 
-def pack(docs: DataFrame, path: str, window: int = 4096, targets: Mapping[str, float] | None = None, text: str = "text", source: str = "source") -> DataFrame:
+def tempered(power: float) -> Callable[[Mapping[str, int]], dict[str, float]]:
+    """Targets in proportion to a power of each source's tokens: under 1, small sources get more than their share."""
+    return lambda totals: {s: float(n) ** power for s, n in totals.items() if n}
+
+
+def pack(docs: DataFrame, path: str, window: int = 4096, targets: Mapping[str, float] | Callable[[Mapping[str, int]], Mapping[str, float]] | None = None, text: str = "text", source: str = "source") -> DataFrame:
     """Cut docs into pieces that fill windows of `window` tokens; only the last window is short.
 
     Returns a row a piece: doc_id, source, start (the document's ids before the piece), length, ids (binary,
     unsigned 32-bit little-endian), doc_tokens, sequence_id (the window) and offset (place in it, gapless).
 
-    targets maps sources to weights; each must come to at least a token a window. Windows hold these proportions
-    until a source runs out, then those left share the windows; sources without a target come last. Without
-    targets the proportions are those of the corpus, so all windows hold them. Sources with under two tokens a
-    window share one queue, which keeps the queues at window / 2. A null source is a source of its own; a null or
-    empty text is one end id; repeated rows are packed each; an empty table gives no rows.
+    targets maps sources to weights, or is a function that makes such a map from the sources' token totals (the
+    shared queue being the source POOL). Windows hold these proportions until a source runs out, then those left
+    share the windows; sources without a target come last. Without targets the proportions are those of the corpus,
+    so all windows hold them. Sources with under two tokens a window share one queue, unless targets is a map that
+    names them; that keeps the queues at window / 2. A null source is a source of its own; a null or empty text is
+    one end id; repeated rows are packed each; an empty table gives no rows.
     """
-    tokens = token_table(docs, path, text, source)
+    tokens, width = token_table(docs, path, text, source), id_width(path)
     sums = materialize(tokens.groupBy("source", "block").agg(F.sum("doc_tokens").alias("n")), "source_blocks")
     total = sums.agg(F.sum("n")).first()[0] or 0
     by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
-    if targets is None:  # at most window / 2 rows
+    if targets is None or callable(targets):  # at most window / 2 rows
         large = sorted((r["source"], r["n"]) for r in by_source.where(F.col("n") * window >= 2 * total).collect())
-        pooled = total - sum(n for _, n in large)
-        if large and 0 < pooled * window < 2 * total:
-            small = min(large, key=lambda x: (x[1], x[0]))
-            large.remove(small)
-            pooled += small[1]
-        weights = None
-    else:
-        if min(targets.values()) * window < sum(targets.values()):
-            raise ValueError("a target is smaller than one token a window")
+    else:  # as many as the caller names
         large = sorted((r["source"], r["n"]) for r in by_source.where(F.col("source").isin(*targets)).collect())
-        pooled = total - sum(n for _, n in large)
-        weights = [targets[s] / sum(targets.values()) for s, _ in large] + [0.0]
     names = [s for s, _ in large]
-    schedule = Schedule(phases([*[n for _, n in large], pooled], weights), window)
+    totals = dict(large) | {POOL: total - sum(n for _, n in large)}
+    wanted = targets(totals) if callable(targets) else targets
+    weights = None if wanted is None else [wanted.get(s, 0.0) / sum(wanted.values()) for s in totals] if wanted else [0.0] * len(totals)
+    schedule = Schedule(phases(list(totals.values()), weights), window)
     place = {s: k for k, s in enumerate(names)}
 
-    from pyspark.sql import Window
-
+    # a queue's tokens are in order of block, then source: a window over blocks and one inside each block
     queue = F.when(F.col("source").isin(*names), F.col("source")).otherwise(F.lit(POOL)) if names else F.lit(POOL)
-    w = Window.partitionBy("queue").orderBy("block", "source").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("queue", queue).select("source", "block", "queue", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    queued = sums.withColumn("queue", queue)
+    before = prefix_totals(queued.groupBy("queue", "block").agg(F.sum("n").alias("n")), "block", ["n"], ["queue"])
+    inside = Window.partitionBy("queue", "block").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    starts = queued.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before, ["queue", "block"])
+    starts = starts.select("source", "block", "queue", (F.col("before_n") + F.col("inside")).alias("before"))
     placed = tokens.join(materialize(starts, "queue_starts"), ["source", "block"])
     k_pool = len(names)
 
@@ -173,7 +176,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, targets: Mapping[str, f
             rows = zip(*[part.column(i).to_pylist() for i in (1, 2, 3, 4)])
             take, out = [], []
             for i, (queue, begin, n, raw) in enumerate(rows):
-                ids = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
+                ids = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()
                 for start, length, window_no, offset in schedule.pieces(place.get(queue, k_pool), begin, n):
                     take.append(i)
                     out.append((start, length, ids[4 * start : 4 * (start + length)], n, window_no, offset))
@@ -196,4 +199,4 @@ def packed_digests(pieces: DataFrame) -> DataFrame:
 
 def op3_mixture_packing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return packed_digests(pack(docs, vocabulary()))
+    return packed_digests(pack(docs, vocabulary(), targets=tempered(0.7)))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 
 #: Ends each document; an ordinary id of word_bpe_49k.json.
 END_ID = 2
+#: Marks that may follow a word in its chunk; none of them composes or changes case with its neighbours.
+_TAIL = "#*$%&|<>.,;:!?)]}\"-_=+~^/"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -18,74 +20,152 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class _Codes(dict):
-    """Numbers chunks as they are first asked for."""
+class _Known:
+    """Strings that were seen, in an Arrow array, and the id sequence of each."""
 
     def __init__(self):
-        super().__init__({None: 0})
-        self.new: list[str] = []
+        import pyarrow as pa
 
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = code = len(self)
-        self.new.append(chunk)
-        return code
+        self.strings = pa.array([], pa.string())
+        self.store, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.offset, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, strings, ids: np.ndarray, sizes: np.ndarray) -> None:
+        import pyarrow as pa
+
+        self.strings = pa.concat_arrays([self.strings, strings])
+        if self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store[: self.used], np.zeros(max(len(self.store), len(ids)), np.uint32)])
+        self.store[self.used : self.used + len(ids)] = ids
+        self.offset = np.concatenate([self.offset, self.used + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.used += len(ids)
+
+    def ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences of these codes one after another, and the size of each."""
+        sizes = self.size[codes]
+        after = np.cumsum(sizes)
+        return self.store[np.repeat(self.offset[codes] - after + sizes, sizes) + np.arange(sizes.sum())], sizes
+
+    def codes(self, strings, learn) -> np.ndarray:
+        """Each string's code; learn(new strings) gives the ids and sizes of those not seen before."""
+        import pyarrow.compute as pc
+
+        numbered = strings.dictionary_encode()
+        distinct = numbered.dictionary
+        found = pc.index_in(distinct, value_set=self.strings)
+        if found.null_count:
+            new = distinct.filter(pc.is_null(found))
+            codes = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).copy()
+            codes[codes < 0] = np.arange(len(new)) + len(self.strings)
+            self.add(new, *learn(new))
+        else:
+            codes = found.to_numpy(zero_copy_only=False)
+        return codes[numbered.indices.to_numpy(zero_copy_only=False)]
 
 
 class Encoder:
     """The ids of whole texts, each followed by the end id.
 
-    The tokenizer normalises and splits texts in a way that never crosses a space, so a text's ids are those of
-    its space-separated chunks in order. Chunks recur, so each is encoded once and kept, up to `keep` of them.
+    The tokenizer normalises and splits texts in a way that never crosses a space (which is checked for the file),
+    so a text's ids are those of its space-separated chunks in order. Arrow splits texts and numbers the distinct
+    chunks of a batch. A chunk of letters with marks behind is a word and a tail, A-Z in lower case. The tokenizer
+    sees each word and tail once while it is known; all are forgotten as they come to more than `keep` chunks or
+    keep_bytes bytes.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000, end_id: int = END_ID):
+    def __init__(self, path: str, keep: int = 1_000_000, keep_bytes: int = 30_000_000, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.end_id = Tokenizer.from_file(path), keep, end_id
+        self.tokenizer, self.keep, self.keep_bytes, self.end_id = Tokenizer.from_file(path), keep, keep_bytes, end_id
+        vocab = self.tokenizer.get_vocab()
+        self.largest = max(vocab.values(), default=0)
+        self.ends = np.zeros(self.largest + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        probe = ["ab", ".,", "It's", "x1", "é"]
+        if self._each([" ".join(probe)])[0].tolist() != self._each(probe)[0].tolist():
+            raise ValueError("this tokenizer does not part texts at spaces")
         self._reset()
 
     def _reset(self) -> None:
-        self.codes = _Codes()
-        self.store, self.used = np.zeros(1 << 20, np.uint32), 1
-        self.store[0] = self.end_id
-        self.offset, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def _learn(self, chunks: list[str]) -> None:
-        found, counts = [], []
-        for s in range(0, len(chunks), 10_000):  # an encoding takes some hundred times its chunk's memory
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(chunks[s : s + 10_000], add_special_tokens=False)]
+        self.chunks, self.words = _Known(), _Known()
+
+    def _each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings one after another, and each one's number of ids."""
+        found, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for s in range(0, len(strings), 10_000):  # an encoding takes some hundred times its string's memory
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(strings[s : s + 10_000], add_special_tokens=False)]
             counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
             found.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(counts[-1].sum())))
-        new, sizes = np.concatenate(found), np.concatenate(counts)
-        if self.used + len(new) > len(self.store):
-            self.store = np.concatenate([self.store[: self.used], np.zeros(max(len(self.store), len(new)), np.uint32)])
-        self.store[self.used : self.used + len(new)] = new
-        self.offset = np.concatenate([self.offset, self.used + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.used += len(new)
-
-    def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and each text's number of ids; a null text has the end id alone."""
-        if not len(texts):
+        return np.concatenate(found), np.concatenate(counts)
+
+    def _encode_words(self, new) -> tuple[np.ndarray, np.ndarray]:
+        """As _each(), but many words of letters to a string: each has an end or more, so as many ends mean one each."""
+        import pyarrow.compute as pc
+
+        letters = pc.utf8_is_alpha(new)
+        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        words = new.filter(letters).to_pylist()
+        for s in range(0, len(words), 1000):
+            some = words[s : s + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(some) and ends[-1] == len(ids) - 1:
+                n = np.diff(ends, prepend=-1)
+            else:
+                ids, n = self._each(some)
+            found.append(ids)
+            sizes.append(n)
+        ids, n = self._each(new.filter(pc.invert(letters)).to_pylist())
+        mask = letters.to_numpy(zero_copy_only=False)
+        order = np.empty(len(new), np.int64)  # each string's place among words, then the others
+        order[mask] = np.arange(mask.sum())
+        order[~mask] = mask.sum() + np.arange((~mask).sum())
+        both = _Known()
+        both.add(new.slice(0, 0), np.concatenate([*found, ids]), np.concatenate([*sizes, n]))
+        return both.ids(order)
+
+    def _encode_chunks(self, new) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        new = pc.ascii_lower(new)
+        words = pc.utf8_rtrim(new, characters=_TAIL)
+        split = pc.and_(pc.utf8_is_alpha(words), pc.less(pc.binary_length(words), pc.binary_length(new)))
+        # words and tails in turn, from the bytes of the chunks; a chunk that is not parted has an empty tail
+        size = pc.binary_length(new).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(size) - size
+        cut = begin + np.where(split.to_numpy(zero_copy_only=False), pc.binary_length(words).to_numpy(zero_copy_only=False), size)
+        offsets = np.append(np.stack([begin, cut], axis=1).ravel(), size.sum()).astype(np.int32)
+        data = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(new)], pa.int64()), new), "")[0].as_buffer()
+        pieces = pa.StringArray.from_buffers(2 * len(new), pa.py_buffer(offsets), data)
+        ids, sizes = self.words.ids(self.words.codes(pieces, self._encode_words))
+        return ids, sizes.reshape(-1, 2).sum(axis=1)
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and each text's number of ids; a null text has the end id alone.
+
+        texts: an Arrow array of strings, or a list of them.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(column):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.codes) > self.keep:
+        if len(self.chunks.strings) > self.keep or self.chunks.strings.nbytes > self.keep_bytes:
             self._reset()
-        chunks: list[str | None] = []
-        ends = []
-        for t in texts:
-            if t:
-                chunks += t.replace("\n", " ").split(" ")
-            chunks.append(None)
-            ends.append(len(chunks))
-        codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int32, len(chunks))
-        if new := self.codes.new:
-            self._learn(new)
-            self.codes.new = []
-        sizes = self.size[codes]
-        after = np.cumsum(sizes)
-        ids = self.store[np.repeat(self.offset[codes] - after + sizes, sizes) + np.arange(after[-1])]
-        return ids, np.diff(np.concatenate([[0], after[np.array(ends, np.int64) - 1]]))
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+        per = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        body, sizes = self.chunks.ids(self.chunks.codes(lists.flatten(), self._encode_chunks))
+        after = np.concatenate([[0], np.cumsum(sizes)])
+        sizes = np.diff(after[np.concatenate([[0], np.cumsum(per)])]) + 1
+        ids = np.full(len(body) + len(sizes), self.end_id, np.uint32)
+        inside = np.ones(len(ids), bool)
+        inside[np.cumsum(sizes) - 1] = False
+        ids[inside] = body
+        return ids, sizes
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -98,7 +178,27 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def batches(texts: Sequence[str | None], most_chars: int = 2_000_000):
+def id_width(path: str) -> int:
+    """Bytes that hold any id of a vocabulary file and the end id: 2 or 4."""
+    return 2 if max(encoder(path).largest, END_ID) < 1 << 16 else 4
+
+
+def slices(texts, most_bytes: int = 8_000_000) -> Iterator[slice]:
+    """Slices of an Arrow array of strings with about most_bytes bytes, one text at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > most_bytes:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
+def batches(texts: list[str | None], most_chars: int = 2_000_000) -> Iterator[slice]:
     """Slices of texts with about most_chars characters, one text at least."""
     begin, chars = 0, 0
     for i, t in enumerate(texts):
