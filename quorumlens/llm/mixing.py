@@ -92,8 +92,8 @@ def fit_rates(table: DataFrame, targets: Sequence[float], rounds: int = 20, tole
     H = sum of n * p p', and a row's step by 1 / n, so that a full step is the best one where no rate meets 0 and
     rows of equal posteriors get equal rates. A round is one aggregation of a few numbers; rates are a fold over
     the rounds' steps, so nothing but those leaves the table. Stops when the error is under tolerance, when
-    three rounds in a row lower the objective by less than a thousandth, or after `rounds` of them. Returns the rate as a column of p, the steps
-    (momentum, then direction), and the error relative to the targets.
+    three rounds in a row lower the objective by less than a thousandth, or after `rounds` of them. Returns the rate
+    as a column of p, the steps (momentum, then direction), and the error relative to the targets.
     """
     k = len(targets)
     t = np.array(targets, float)
@@ -130,31 +130,41 @@ def fit_rates(table: DataFrame, targets: Sequence[float], rounds: int = 20, tole
         momentum = ahead
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | Callable[[dict[str, float]], Mapping[str, float]], text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | Callable[[dict[str, float]], Mapping[str, float]], text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """Add n_tokens (words), domains (a map from domain to posterior) and rate to docs.
 
     targets gives the token total wanted of each domain, or is a function that makes it from the totals that the
     corpus has. A domain that it does not name keeps its total. rate says how many copies of the document a
-    mixture holds on average; rates sum to the targets as near as nonnegative rates can.
+    mixture holds on average; rates sum to the targets as near as nonnegative rates can. How near that is, relative
+    to the targets, is the attribute `mixing_error` of the result.
+
+    Each text is classified once: rows with their posteriors are written to the shared folder, with the columns
+    `keep` of docs (all by default; leave the text out where it is not needed).
 
     A null or empty text has no tokens, the prior as posterior and a rate by it. Rows are rated one by one, equal
     texts equally. Without any labelled row no domain is known, `domains` is empty and every rate is 1. Columns
-    with the added names are overwritten.
+    with the added names are overwritten; all other names may be used.
     """
     classifier = train_domains(docs, labels, text)
     body = text_or_empty(text)
     tokens = F.size(F.filter(F.split(body, SPACE + "+"), lambda w: w != "")).cast("long")
-    if not classifier.domains:
-        return docs.withColumns({"n_tokens": tokens, "domains": F.create_map().cast("map<string,double>"), "rate": F.lit(1.0)})
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "domains", "rate")]
     names = classifier.domains
-    rated = docs.drop("n_tokens", "domains", "rate", "_p").withColumns({"n_tokens": tokens, "_p": classifier.posterior(body)})
+    if not names:
+        out = docs.select(*kept, tokens.alias("n_tokens"), F.create_map().cast("map<string,double>").alias("domains"), F.lit(1.0).alias("rate"))
+        out.mixing_error = 0.0
+        return out
+    rated = materialize(docs.select(F.struct(*kept).alias("row"), tokens.alias("n"), classifier.posterior(body).alias("p")), "rated")
     # rates depend on posteriors alone, and texts with the same features of the vocabulary share theirs
-    table = materialize(rated.select(F.col("n_tokens").alias("n"), F.col("_p").alias("p")).groupBy("p").agg(F.sum("n").alias("n")), "posteriors")
+    table = materialize(rated.groupBy("p").agg(F.sum("n").alias("n")), "posteriors")
     sums = table.agg(*[F.sum(F.col("n") * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(len(names))]).first()
     have = {d: float(sums[f"t{i}"] or 0.0) for i, d in enumerate(names)}
     want = dict(targets(have) if callable(targets) else targets)
-    rate, _, _ = fit_rates(table, [want.get(d, have[d]) for d in names])
-    return rated.withColumnRenamed("_p", "p").withColumn("rate", rate).withColumn("domains", F.map_from_arrays(F.array(*[F.lit(d) for d in names]), "p")).drop("p")
+    rate, _, error = fit_rates(table, [want.get(d, have[d]) for d in names])
+    domains = F.map_from_arrays(F.array(*[F.lit(d) for d in names]), "p")
+    out = rated.select("row.*", F.col("n").alias("n_tokens"), domains.alias("domains"), rate.alias("rate"))
+    out.mixing_error = error
+    return out
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -183,6 +193,6 @@ SHARES = {"clean": 0.94, "low": 0.04, "toxic": 0.02}
 def op10_soft_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = mix(docs, labels, lambda have: {d: SHARES.get(d, 0.0) * sum(have.values()) for d in have})
+    out = mix(docs, labels, lambda have: {d: SHARES.get(d, 0.0) * sum(have.values()) for d in have}, keep=["doc_id"])
     posterior = [F.round(F.coalesce(F.col("domains")[d], F.lit(0.0)), 9).alias(f"p_{d}") for d in sorted(SHARES)]
-    return out.select("doc_id", "n_tokens", *posterior, F.round("rate", 9).alias("rate"), copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return out.select("doc_id", "n_tokens", *posterior, F.round("rate", 9).alias("rate"), copies(F.col("rate"), F.col("doc_id")).alias("copies"), F.lit(round(out.mixing_error, 9)).alias("mixing_error"))

@@ -6,10 +6,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, text_or_empty
+from .common import materialize, ordered_blocks, partitions, row_numbers, text_or_empty
 from .graphs import components
 from .tokens import batches
 
@@ -83,8 +83,15 @@ def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     return out
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """A 128-bit digest of each set, as two numbers."""
+    import xxhash
+
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+
+
 def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
-    bands = sketch.reshape(len(sketch), -1, rows)
+    bands = sketch.reshape(len(sketch), sketch.shape[1] // rows, rows)
     with np.errstate(over="ignore"):
         acc = np.broadcast_to(np.arange(bands.shape[1], dtype=np.uint64), bands.shape[:2]).copy()
         for j in range(rows):
@@ -103,7 +110,6 @@ def fingerprints(docs: DataFrame, k: int, percent: int, rows: int, text: str = "
 
     def make(parts: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
 
         for part in parts:
             ids, texts = part.column(0), part.column(1).to_pylist()
@@ -111,7 +117,7 @@ def fingerprints(docs: DataFrame, k: int, percent: int, rows: int, text: str = "
                 sets = shingle_sets(texts[s], k)
                 full = [x for x in sets if len(x)]
                 keys = iter(band_keys(sketches(full, t), rows))
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+                digests = _digests(sets)
                 yield pa.RecordBatch.from_arrays(
                     [ids[s], pa.array([len(x) for x in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([next(keys) if len(x) else [] for x in sets], pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "d0", "d1", "bands"],
@@ -198,7 +204,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     Two documents are linked if 100 * intersection >= percent * union of their sets of k-word shingles.
 
     1. Fingerprints. Documents with equal sets (128-bit digest) fall together as one node, so copies cost nothing
-       later. Band keys miss a pair at the threshold with a chance of 1e-8, and fewer the more alike it is.
+       later. Nodes are numbered in order of their least doc_id. Band keys miss a pair at the threshold with a
+       chance of 1e-8, and fewer the more alike it is.
     2. Candidates. Nodes that share a band key, directly or through others, form a group. A group is found by
        linking each node with the least node of each of its bands, so a band of n nodes gives n rows; these heads
        hang on the least of them, so most of a group's edges are one a node.
@@ -210,66 +217,103 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
        holds more than two chunks.
 
     A null or empty text, or one of white space, has no shingles and is linked with nothing. Rows with the same
-    doc_id stand for one document: links of either hold for both. Only doc_id and the text are read.
+    doc_id stand for one document: links of either hold for both. A null doc_id is no document's name: such rows
+    are linked by their texts alone, come after all others, and where a component has no other row its component_id
+    is null and all its rows are kept. Only doc_id and the text are read.
     """
     prints = fingerprints(docs, k, percent, rows, text)
     narrow = prints.select("doc_id", "n_shingles", "d0", "d1")
-    nodes = materialize(narrow.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("node")), "nodes")
-    reps = prints.join(nodes.select("d0", "d1", F.col("node").alias("doc_id")), ["d0", "d1", "doc_id"])
-    keyed = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    different = narrow.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"))
+    placed = different.withColumn("place", F.coalesce("first", F.lit(2**63 - 1)))
+    order = ["place", "d0", "d1"]
+    nodes = materialize(row_numbers(ordered_blocks(placed, order, "numbered"), order, "node").select("node", "first", "n_shingles", "d0", "d1"), "nodes")
+    mine = nodes.select(F.col("d0").alias("e0"), F.col("d1").alias("e1"), "first", "node")
+    reps = prints.join(mine, (F.col("d0") == F.col("e0")) & (F.col("d1") == F.col("e1")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    keyed = reps.select("node", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head")
     # a node and all its heads hang on the least of them, so a group has few edges besides one a node
     hung = keyed.join(heads, "key").groupBy("node").agg(F.min("head").alias("a"), F.collect_set("head").alias("heads"))  # a head a band at most
     near = hung.select("a", F.explode(F.array_union("heads", F.array("node"))).alias("b")).where("a <> b").distinct()
     groups = components(materialize(near, "candidates"))
 
-    sized = narrow.join(nodes, ["d0", "d1"]).where("doc_id = node").select("node", "n_shingles").dropDuplicates(["node"]).join(groups.withColumnRenamed("label", "group"), "node")
-    stats = sized.groupBy("group").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    # tables of known size: joins broadcast them only if they are small
+    sized = materialize(nodes.join(groups.withColumnRenamed("label", "group"), "node"), "grouped")
+    stats = materialize(sized.groupBy("group").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")), "group_sizes")
     parts = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("s") / chunk_shingles)).cast("long")
-    members = materialize(sized.join(stats, "group").select("node", "group", "n", parts.alias("parts")), "members")
-    sets = _sets(docs, members.select("node"), k, text)
+    members = materialize(sized.join(stats, "group").withColumn("parts", parts), "members")
+    sets = _sets(docs, members.select("node", "first", "d0", "d1"), k, text)
 
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     everywhere = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / anchors).cast("long")) == 0)
     first = members.withColumn("chunk", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own))))
     links = _verified(first.select("node", "group", "chunk").join(sets, "node"), ["group", "chunk"], percent)
+    links = materialize(links.unionByName(_same_document(narrow, nodes)), "all_links")
     labels = components(links)
 
-    state = members.where("parts > 1").join(labels, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label"))
-    counts = state.groupBy("group", "label").agg(F.count("*").alias("n"))
-    split = counts.groupBy("group").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") < chunk // 2, F.col("n")).otherwise(0)).alias("small")).where("labels > 1")
-    placed = state.join(counts, ["group", "label"]).join(split, "group")
-    large = F.col("n") >= chunk // 2
-    slot = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / chunk).cast("long"))).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.ceil(F.col("small") / chunk), F.lit(1)).cast("long")))
-    chunked = materialize(placed.select("node", "group", F.when(large, F.col("label")).alias("whole"), F.concat_ws(":", F.when(large, F.col("label").cast("string")).otherwise(F.lit("s")), slot.cast("string")).alias("chunk")), "chunked")
+    state = members.where("parts > 1").join(labels, "node", "left").select("node", "n_shingles", "group", F.coalesce("label", "node").alias("label"))
+    state = materialize(state, "state")
+    counts = state.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    counts = materialize(counts.withColumns({"large": (F.col("n") >= chunk // 2) | (F.col("s") >= chunk_shingles // 2), "slots": _chunks("n", "s", chunk, chunk_shingles)}), "label_sizes")
+    small = [F.sum(F.when(~F.col("large"), F.col(c)).otherwise(0)).alias(f"small_{c}") for c in "ns"]
+    split = counts.groupBy("group").agg(F.count("*").alias("labels"), *small).where("labels > 1")
+    split = materialize(split.select("group", _chunks("small_n", "small_s", chunk, chunk_shingles).alias("small_slots")), "split_groups")
+    dealt = state.join(counts.select("label", "large", "slots"), "label").join(split, "group")
+    slot = F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.col("slots"))).otherwise(F.pmod(F.xxhash64("label"), F.col("small_slots")))
+    chunked = materialize(dealt.select("node", "group", F.when(F.col("large"), F.col("label")).alias("whole"), F.concat_ws(":", F.when(F.col("large"), F.col("label").cast("string")).otherwise(F.lit("s")), slot.cast("string")).alias("chunk")), "chunked")
     if chunked.limit(1).count():
+        # each chunk meets those of its group from its own number on: a row a chunk, then a row a pair
         names = chunked.select("group", "chunk", "whole").distinct()
-        other = names.select("group", F.col("chunk").alias("chunk2"), F.col("whole").alias("whole2"))
-        pairs = names.join(other, "group").where("chunk <= chunk2 and (whole is null or whole2 is null or whole <> whole2)")
+        names = names.withColumn("no", F.row_number().over(Window.partitionBy("group").orderBy("chunk")))
+        names = materialize(names, "chunk_names")
+        last = materialize(names.groupBy("group").agg(F.max("no").alias("last")), "chunk_counts")
+        mates = names.join(last, "group").select("group", "chunk", "whole", F.explode(F.sequence("no", "last")).alias("no"))
+        mates = mates.repartition(partitions(docs.sparkSession))
+        other = names.select("group", "no", F.col("chunk").alias("chunk2"), F.col("whole").alias("whole2"))
+        pairs = mates.join(other, ["group", "no"]).where("whole is null or whole2 is null or whole <> whole2")
         pairs = materialize(pairs.select("group", F.array_distinct(F.array("chunk", "chunk2")).alias("both"), F.concat_ws("|", "chunk", "chunk2").alias("pair")), "chunk_pairs")
-        dealt = chunked.select("node", "group", "chunk").join(pairs.withColumn("chunk", F.explode("both")), ["group", "chunk"])
-        more = _verified(dealt.select("node", "group", "pair").join(sets, "node"), ["group", "pair"], percent)
+        again = chunked.select("node", "group", "chunk").join(pairs.withColumn("chunk", F.explode("both")), ["group", "chunk"])
+        more = _verified(again.select("node", "group", "pair").join(sets, "node"), ["group", "pair"], percent)
         labels = components(links.unionByName(more))
 
-    final = nodes.join(labels, "node", "left").select("d0", "d1", F.coalesce("label", "node").alias("component_id"))
-    out = narrow.join(final, ["d0", "d1"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # the least doc_id of a component is its least node's
+    final = nodes.select("node", "d0", "d1").join(labels, "node", "left").select("d0", "d1", F.coalesce("label", "node").alias("head"))
+    named = final.join(nodes.select(F.col("node").alias("head"), F.col("first").alias("component_id")), "head").select("d0", "d1", "component_id")
+    out = narrow.join(named, ["d0", "d1"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _chunks(n: str, s: str, chunk: int, chunk_shingles: int):
+    """How many chunks hold n nodes with s shingles."""
+    return F.greatest(F.ceil(F.col(n) / chunk), F.ceil(F.col(s) / chunk_shingles), F.lit(1)).cast("long")
+
+
+def _same_document(narrow: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the nodes of each doc_id that has rows with different sets."""
+    rows = narrow.where("n_shingles > 0 and doc_id is not null")
+    several = rows.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("d0", "d1") for f in (F.min, F.max)]).where("min_d0 <> max_d0 or min_d1 <> max_d1")
+    named = rows.join(materialize(several.select("doc_id"), "several_texts"), "doc_id", "left_semi").join(nodes.select("d0", "d1", "node"), ["d0", "d1"])
+    return named.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("bs")).select("a", F.explode("bs").alias("b")).where("a <> b")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame:
-    """node and shingles (binary) of the wanted nodes, from their texts."""
+    """node and shingles (binary) of the wanted nodes (node, first, d0, d1), from the texts of documents `first`."""
 
     def make(parts: Iterator) -> Iterator:
         import pyarrow as pa
 
+        seen: set[int] = set()  # repeated rows of a document give its set once
         for part in parts:
-            texts = part.column(1).to_pylist()
+            node, d0, d1 = (part.column(i).to_numpy() for i in range(3))
+            texts = part.column(3).to_pylist()
             for s in batches(texts, 1_000_000):
                 sets = shingle_sets(texts[s], k)
-                yield pa.RecordBatch.from_arrays([part.column(0)[s], pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
+                good = ((_digests(sets) == np.stack([d0[s], d1[s]], axis=1)).all(axis=1)).tolist()
+                out = [(n, x) for n, x, g in zip(node[s].tolist(), sets, good) if g and n not in seen and not seen.add(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([x.tobytes() for _, x in out], pa.binary())], names=["node", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty(text).alias("t")).join(wanted, "node")
-    return materialize(texts.mapInArrow(make, "node long, shingles binary"), "shingles")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty(text).alias("t"))
+    rows = texts.join(wanted, F.col("_id").eqNullSafe(F.col("first"))).select("node", "d0", "d1", "t")
+    return materialize(rows.mapInArrow(make, "node long, shingles binary"), "shingles")
 
 
 def op6_similarity_sketch(spark, sf_dir: str) -> DataFrame:

@@ -183,7 +183,7 @@ def id_width(path: str) -> int:
     return 2 if max(encoder(path).largest, END_ID) < 1 << 16 else 4
 
 
-def slices(texts, most_bytes: int = 8_000_000) -> Iterator[slice]:
+def slices(texts, most_bytes: int = 16_000_000) -> Iterator[slice]:
     """Slices of an Arrow array of strings with about most_bytes bytes, one text at least."""
     import pyarrow.compute as pc
 
