@@ -34,6 +34,9 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?(?=[\s/]|$)""", re.I)
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
+#: Elements that can hold an article; text stands in the others.
+CONTAINERS = frozenset("html body div section article main center td table tbody tr blockquote fieldset details form nav aside header footer".split())
+#: Deeper elements are parsed, but not aligned: they belong to the deepest element above them that is.
 MOST_DEPTH = 150
 
 
@@ -49,6 +52,18 @@ class Node:
     children: list[Node] = field(default_factory=list)
     slot: int = -1
 
+    @property
+    def key(self) -> str:
+        """What makes neighbours one run: the label, and for elements of no meaning whether they hold others."""
+        return self.label if self.children or self.tag not in ("div", "section") else self.label + " "
+
+    def at(self) -> int:
+        """The slot of this element, or of the nearest one above it that was matched."""
+        n = self
+        while n.slot < 0 and n.parent:
+            n = n.parent
+        return n.slot
+
 
 @dataclass
 class Page:
@@ -90,7 +105,7 @@ def parse(source: str | None) -> Page:
     while at < len(source):
         m = _TAG.search(source, at)
         stop = m.start() if m else len(source)
-        if stop > at and not inline_outside and not node.outside:
+        if stop > at and not inline_outside:
             text.append(html.unescape(source[at:stop]))
         if not m:
             break
@@ -144,8 +159,6 @@ def parse(source: str | None) -> Page:
         if tag in ("html", "body") and any(c.tag == tag for c in (node, *node.children)):
             continue
         label, words, hidden = _attributes(m[3] or m[6] or "")
-        if node.depth >= MOST_DEPTH:
-            continue  # its text joins the element above
         keeps = tag in ("html", "body", *MAIN)
         header = not keeps and (tag == "header" or "header" in words)
         own = hidden or tag in OUTSIDE or (not keeps and bool(words & OUTSIDE_WORDS)) or (header and not node.main)
@@ -157,53 +170,77 @@ def parse(source: str | None) -> Page:
 
 
 def fold(node: Node) -> list[tuple[str, list[Node]]]:
-    """node's children with runs of one label as one: the label and its elements."""
+    """node's children with runs of one key as one: the key and its elements."""
     out: list[tuple[str, list[Node]]] = []
-    for c in node.children:
-        if out and out[-1][0] == c.label:
+    for c in node.children if node.depth < MOST_DEPTH else ():
+        if out and out[-1][0] == c.key:
             out[-1][1].append(c)
         else:
-            out.append((c.label, [c]))
+            out.append((c.key, [c]))
     return out
 
 
+def runs_of(nodes: list[Node]) -> list[tuple[str, list[Node]]]:
+    """The folded children of a run of elements, those of one key together."""
+    if len(nodes) == 1:
+        return fold(nodes[0])
+    merged: dict[str, list[Node]] = {}
+    for n in nodes:
+        for name, run in fold(n):
+            merged.setdefault(name, []).extend(run)
+    return list(merged.items())
+
+
 class Template:
-    """The folded tree of a host's reference page; each of its nodes is a slot."""
+    """The folded tree of a reference page. Its nodes are slots, numbered so that a subtree is a range of numbers."""
+
+    def __init__(self, labels: list[str], children: list[list[int]]):
+        self.labels, self.children = labels, children
 
-    def __init__(self, page: Page):
-        self.labels: list[str] = []
-        self.children: list[list[int]] = []
-        self.root = self._add("#root", [page.root])
+    @staticmethod
+    def of(page: Page) -> Template:
+        out = Template([], [])
+        out._add("#root", [page.root])
+        return out
 
     def _add(self, label: str, nodes: list[Node]) -> int:
         me = len(self.labels)
         self.labels.append(label)
         self.children.append([])
-        merged: list[tuple[str, list[Node]]] = []
-        for n in nodes:
-            for name, run in fold(n):
-                known = next((x for x in merged if x[0] == name), None) if len(nodes) > 1 else None
-                if known:
-                    known[1].extend(run)
-                else:
-                    merged.append((name, run))
-        self.children[me] = [self._add(name, run) for name, run in merged]
+        self.children[me] = [self._add(name, run) for name, run in runs_of(nodes)]
         return me
 
-    def align(self, page: Page) -> None:
-        """Write into each matched element of the page the slot that simple tree matching gives it."""
+    def regions(self) -> list[tuple[int, int, int, bool]]:
+        """(slot, end, depth, whole) of each container: its subtree is slot to end - 1; whole: the page or its body.
+
+        Nothing inside an article or main element is listed, as such an element is an article by its name.
+        """
+        out = []
+
+        def walk(slot: int, depth: int, inside: bool) -> int:
+            tag = self.labels[slot].strip().split(".")[0]
+            place = None
+            if not inside and (slot == 0 or tag in CONTAINERS):
+                place = len(out)
+                out.append((slot, 0, depth, slot == 0 or tag in ("html", "body")))
+            end = slot + 1
+            for k in self.children[slot]:
+                end = walk(k, depth + 1, inside or tag in MAIN)
+            if place is not None:
+                out[place] = (slot, end, depth, out[place][3])
+            return end
+
+        walk(0, 0, False)
+        return out
+
+    def align(self, page: Page) -> int:
+        """Write into each matched element of the page the slot that simple tree matching gives it; how many matched."""
         memo: dict[tuple[int, int], tuple[int, list]] = {}
 
         def weight(slot: int, nodes: list[Node]) -> int:
             if (slot, id(nodes[0])) in memo:
                 return memo[slot, id(nodes[0])][0]
-            runs = fold(nodes[0]) if len(nodes) == 1 else [r for n in nodes for r in fold(n)]
-            if len(nodes) > 1:
-                merged: dict[str, list[Node]] = {}
-                for name, run in runs:
-                    merged.setdefault(name, []).extend(run)
-                runs = list(merged.items())
-            kids = self.children[slot]
+            runs, kids = runs_of(nodes), self.children[slot]
             table = [[0] * (len(runs) + 1) for _ in range(len(kids) + 1)]
             for i, k in enumerate(kids, 1):
                 for j, (name, run) in enumerate(runs, 1):
@@ -223,10 +260,11 @@ class Template:
             memo[slot, id(nodes[0])] = (table[-1][-1] + 1, pairs)
             return table[-1][-1] + 1
 
-        weight(self.root, [page.root])
-        todo = [(self.root, [page.root])]
+        matched = weight(0, [page.root])
+        todo = [(0, [page.root])]
         while todo:
             slot, nodes = todo.pop()
             for n in nodes:
                 n.slot = slot
             todo += memo[slot, id(nodes[0])][1]
+        return matched

@@ -359,7 +359,7 @@ def test_extraction(spark):
 
 
 def test_tree_matching():
-    template = dom.Template(dom.parse("<body><nav></nav><div><h1>a</h1><p>b<p>c</div></body>"))
+    template = dom.Template.of(dom.parse("<body><nav></nav><div><h1>a</h1><p>b<p>c</div></body>"))
     page = dom.parse("<body><section>new</section><nav></nav><div><p>x</div></body>")
     template.align(page)
     slots = {t: (template.labels[n.slot] if n.slot >= 0 else None) for n, t in page.blocks}
