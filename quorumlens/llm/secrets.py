@@ -47,6 +47,30 @@ RULES = (
 )
 
 
+def running_totals(sizes: Column, chunk: int = 500) -> Column:
+    """For an array of whole numbers the sum before each place, as an array.
+
+    A fold that appends copies its array each time, so sums run inside chunks and over the chunks' totals.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def prefixes(xs: Column, start: Column) -> Column:
+        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(xs, F.struct(start.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    def over(xs: Column) -> Column:
+        count = F.ceil(F.size(xs) / chunk).cast("int")
+        chunks = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(xs, i * chunk + 1, chunk))).otherwise(F.array().cast("array<array<bigint>>"))
+
+        def placed(cs: Column) -> Column:
+            totals = F.transform(cs, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x))
+            return F.flatten(F.zip_with(cs, prefixes(totals, F.lit(0).cast("bigint")), prefixes))
+
+        return let(chunks, placed)
+
+    return let(F.transform(sizes, lambda x: x.cast("bigint")), over)
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """The rule's spans in code points, end exclusive.
 
@@ -54,16 +78,11 @@ def spans_of(text: Column, rule: Rule) -> Column:
     """
 
     def places(m: Column) -> Column:
-        pieces = F.split(text, rule.pattern, -1)
-        sizes = F.zip_with(F.transform(pieces, lambda p: F.char_length(p)), F.transform(m, lambda x: F.char_length(x)), lambda p, x: F.struct(p.alias("gap"), x.alias("size")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-
-        def step(a: Column, x: Column) -> Column:
-            begin = a["at"] + x["gap"]
-            end = begin + F.coalesce(x["size"], F.lit(0))
-            return F.struct(end.alias("at"), F.when(x["size"].isNotNull(), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("stop"))))).otherwise(a["out"]).alias("out"))
-
-        return F.aggregate(sizes, start, step, lambda a: a["out"])
+        gaps = F.transform(F.split(text, rule.pattern, -1), lambda p: F.char_length(p))
+        both = F.zip_with(gaps, F.transform(m, lambda x: F.char_length(x)), lambda p, x: F.struct(p.alias("gap"), x.alias("size")))
+        matched = F.filter(both, lambda x: x["size"].isNotNull())
+        spans = lambda xs: F.zip_with(running_totals(F.transform(xs, lambda x: x["gap"] + x["size"])), xs, lambda at, x: F.struct((at + x["gap"]).cast("int").alias("start"), (at + x["gap"] + x["size"]).cast("int").alias("stop")))
+        return let(matched, spans)
 
     found = let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), places)
     if rule.group:
@@ -81,14 +100,15 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def scan_ledger(docs: DataFrame, ledger: str, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+def scan_ledger(docs: DataFrame, ledger: str, text: str = "text", rules: Sequence[Rule] = RULES, path: str | None = None, version: str = "") -> DataFrame:
     """Add `blob` (SHA-256 of the text) and `spans` (array of kind, start, stop) to docs, scanning only what is new.
 
-    ledger is a folder that every executor sees, with two tables: `scanned` (blob, rule, version) and `findings`
-    (blob, rule, version, spans). A blob whose (rule, version) pairs are all in `scanned` is not read again, so a
-    later version of a corpus costs what changed in it, and a raised rule version costs one search by that rule.
-    Findings are appended before scanned pairs; a job lost between the two repeats its scan and the repeated
-    findings, being equal, fall together on reading.
+    ledger is a folder that every executor sees, with three tables: `scanned` (blob, rule, version), `findings`
+    (blob, rule, version, spans) and, where `path` names a column, `versions` (path, version, blob): the content that
+    each path had in each version of the corpus. A blob whose (rule, version) pairs are all in `scanned` is not read
+    again: its text does not leave its task. So a later version of a corpus costs what changed in it, and a raised
+    rule version costs one search by that rule. Findings are appended before scanned pairs; a job lost between the
+    two repeats its scan and the repeated findings, being equal, fall together on reading.
 
     A null text counts as empty and has no spans. Equal texts share a blob and get equal spans, each row its own.
     docs' own columns stay, but for `blob` and `spans`, which are overwritten. Spans of one blob are ordered by
@@ -97,22 +117,24 @@ def scan_ledger(docs: DataFrame, ledger: str, text: str = "text", rules: Sequenc
     spark = docs.sparkSession
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     docs = docs.drop("blob", "spans").withColumn("blob", F.sha2(F.encode(text_or_empty(text), "utf-8"), 256))
+    asked = materialize(docs.select("blob").distinct(), "asked")
     scanned = _stored(spark, f"{ledger}/scanned", "blob string, rule string, version int")
+    known = scanned.join(asked, "blob", "left_semi").groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("done"))
     want = [F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules]
-    known = scanned.groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("done"))
-    blobs = docs.select("blob", text_or_empty(text).alias("_text")).dropDuplicates(["blob"])
     todo = F.array_except(F.array(*want), F.coalesce(F.col("done"), F.array().cast("array<struct<rule:string,version:int>>")))
-    fresh = blobs.join(known, "blob", "left").withColumn("todo", todo).where(F.size("todo") > 0)
+    fresh = materialize(asked.join(known, "blob", "left").select("blob", todo.alias("todo")).where(F.size("todo") > 0), "fresh")
+    blobs = docs.select("blob", text_or_empty(text).alias("_text")).join(fresh.select("blob"), "blob", "left_semi").dropDuplicates(["blob"]).join(fresh, "blob")
     each = [F.when(F.array_contains("todo", w), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans_of(F.col("_text"), r).alias("spans"))) for r, w in zip(rules, want)]
-    results = fresh.select("blob", F.filter(F.array(*each), lambda x: x.isNotNull()).alias("results"))
+    results = blobs.select("blob", F.filter(F.array(*each), lambda x: x.isNotNull()).alias("results"))
     new = f"{ledger}/batches/{uuid.uuid4().hex}"
     results.select("blob", F.transform("results", lambda x: F.struct(x["rule"], x["version"])).alias("pairs"), F.filter("results", lambda x: F.size(x["spans"]) > 0).alias("found")).write.option("compression", "zstd").parquet(new)
     batch = spark.read.parquet(new)
     batch.select("blob", F.explode("found").alias("x")).select("blob", "x.rule", "x.version", "x.spans").write.mode("append").parquet(f"{ledger}/findings")
     batch.select("blob", F.explode("pairs").alias("x")).select("blob", "x.*").write.mode("append").option("compression", "zstd").parquet(f"{ledger}/scanned")
+    if path is not None:
+        docs.select(F.col(path).cast("string").alias("path"), F.lit(version).alias("version"), "blob").write.mode("append").option("compression", "zstd").parquet(f"{ledger}/versions")
 
-    live = " or ".join(f"(rule = '{r.kind}' and version = {r.version})" for r in rules) or "false"
-    findings = spark.read.schema(f"blob string, rule string, version int, spans {SPANS}").parquet(f"{ledger}/findings").where(live)
+    findings = _findings(spark, ledger, rules).join(asked, "blob", "left_semi")
     by_blob = findings.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
     keyed = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), order[x["kind"]].alias("k"), x["stop"].alias("stop"), x["kind"].alias("kind")))
     ordered = F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
@@ -120,6 +142,21 @@ def scan_ledger(docs: DataFrame, ledger: str, text: str = "text", rules: Sequenc
     return docs.join(materialize(by_blob.select("blob", ordered.alias("spans")), "spans"), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
 
+def _findings(spark: SparkSession, ledger: str, rules: Sequence[Rule]) -> DataFrame:
+    live = " or ".join(f"(rule = '{r.kind}' and version = {r.version})" for r in rules) or "false"
+    return _stored(spark, f"{ledger}/findings", f"blob string, rule string, version int, spans {SPANS}").where(live)
+
+
+def findings_by_path(spark: SparkSession, ledger: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """(path, version, blob, kind, start, stop): every finding of every version that any path ever had.
+
+    A path that was scanned twice with one content in one version counts once.
+    """
+    versions = _stored(spark, f"{ledger}/versions", "path string, version string, blob string").distinct()
+    found = _findings(spark, ledger, rules).select("blob", F.explode("spans").alias("s")).select("blob", "s.*").distinct()
+    return versions.join(materialize(found, "findings"), "blob").select("path", "version", "blob", "kind", "start", "stop")
+
+
 def fresh_ledger(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/ledgers/{uuid.uuid4().hex}"
 
@@ -141,32 +178,33 @@ def _digest(spans: Column) -> Column:
 
 def op2_secret_ledger(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = scan_ledger(docs, fresh_ledger(spark)).drop("text")
+    found = scan_ledger(docs, fresh_ledger(spark), path="doc_id").drop("text")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"].isin(*[r.kind for r in RULES if r.base]))
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.encode(_digest(base), "utf-8"), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
 
 
-#: Pieces and matches of a text alternate, so summed lengths give each match's place.
+#: Pieces and matches of a text alternate, so summed lengths give each match's place. A private key without an END line
+#: spans its BEGIN line alone here, as DuckDB's patterns cannot look ahead.
 OP2_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 r(k, kind, base, pat, grp, least) AS (VALUES
   (0, 'assign', true, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', true, 6),
   (1, 'access', true, 'AKIA[A-Z0-9]{16,}', false, 20), (2, 'hex', true, '[0-9a-f]{24,}', false, 24),
-  (3, 'pem', false, '-----BEGIN [A-Z ]*PRIVATE KEY-----', false, 1), (4, 'bearer', false, '(?i)bearer\x20+([A-Za-z0-9+/_.=-]{20,})', false, 1),
+  (3, 'pem', false, '-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-[^-]|--[^-]|---[^-]|----[^-])*-----END [A-Z ]*PRIVATE KEY-----)?', false, 1), (4, 'bearer', false, '(?i)bearer\x20+([A-Za-z0-9+/_.=-]{20,})', false, 1),
   (5, 'github', false, 'gh[pousr]_[A-Za-z0-9]{36,}', false, 1)),
 m AS (
   SELECT rid, 0 AS k, t, regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS ms,
     regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS ks FROM d
   UNION ALL SELECT rid, 1, t, regexp_extract_all(t, 'AKIA[A-Z0-9]{16,}') AS ms, ms FROM d
   UNION ALL SELECT rid, 2, t, regexp_extract_all(t, '[0-9a-f]{24,}') AS ms, ms FROM d
-  UNION ALL SELECT rid, 3, t, regexp_extract_all(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----') AS ms, ms FROM d
+  UNION ALL SELECT rid, 3, t, regexp_extract_all(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-[^-]|--[^-]|---[^-]|----[^-])*-----END [A-Z ]*PRIVATE KEY-----)?') AS ms, ms FROM d
   UNION ALL SELECT rid, 4, t, regexp_extract_all(t, '(?i)bearer\x20+[A-Za-z0-9+/_.=-]{20,}') AS ms, ms FROM d
   UNION ALL SELECT rid, 5, t, regexp_extract_all(t, 'gh[pousr]_[A-Za-z0-9]{36,}') AS ms, ms FROM d),
 p AS (SELECT rid, m.k, ms, ks, least, kind, base, CASE m.k
     WHEN 0 THEN regexp_split_to_array(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
     WHEN 1 THEN regexp_split_to_array(t, 'AKIA[A-Z0-9]{16,}') WHEN 2 THEN regexp_split_to_array(t, '[0-9a-f]{24,}')
-    WHEN 3 THEN regexp_split_to_array(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----') WHEN 4 THEN regexp_split_to_array(t, '(?i)bearer\x20+[A-Za-z0-9+/_.=-]{20,}')
+    WHEN 3 THEN regexp_split_to_array(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-[^-]|--[^-]|---[^-]|----[^-])*-----END [A-Z ]*PRIVATE KEY-----)?') WHEN 4 THEN regexp_split_to_array(t, '(?i)bearer\x20+[A-Za-z0-9+/_.=-]{20,}')
     ELSE regexp_split_to_array(t, 'gh[pousr]_[A-Za-z0-9]{36,}') END AS ps FROM m JOIN r ON r.k = m.k WHERE len(ms) > 0),
 u AS (SELECT rid, k, kind, base, least, unnest(range(1, len(ms) + 1)) AS i, ms, ks, ps FROM p),
 s AS (SELECT rid, k, kind, base, length(ks[i]) >= least AS good, length(ms[i]) AS size,
