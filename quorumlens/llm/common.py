@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     if path := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quorumlens-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -56,18 +58,18 @@ def prefix_totals(blocks: DataFrame, block: str, values: Sequence[str], by: Sequ
 
 
 def ordered_blocks(df: DataFrame, order: Sequence[str], name: str = "ordered") -> DataFrame:
-    """df range-partitioned and sorted by order, with its block number, as a table in the shared folder.
+    """df range-partitioned and sorted by order, with its block number as _block, as a table in the shared folder.
 
     order should end in columns that tell most rows apart, so that no block gets all ties.
     """
     n = partitions(df.sparkSession)
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("block", F.spark_partition_id())
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_block", F.spark_partition_id())
     return materialize(dealt, name)
 
 
 def row_numbers(blocks: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
     """Gapless numbers from 0 in the order of ordered_blocks(): a count a block, then a window inside each block."""
-    counts = blocks.groupBy("block").agg(F.count("*").alias("n"))
-    before = materialize(prefix_totals(counts, "block", ["n"]), "block_counts")
-    inside = F.row_number().over(Window.partitionBy("block").orderBy(*order)) - 1
-    return blocks.withColumn("_inside", inside).join(before, "block").withColumn(out, F.col("_inside") + F.col("before_n")).drop("_inside", "before_n")
+    counts = blocks.groupBy("_block").agg(F.count("*").alias("n"))
+    before = materialize(prefix_totals(counts, "_block", ["n"]), "block_counts")
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy(*order)) - 1
+    return blocks.withColumn("_inside", inside).join(before, "_block").withColumn(out, F.col("_inside") + F.col("before_n")).drop("_inside", "before_n", "_block")

@@ -64,6 +64,8 @@ def feature(rgb: np.ndarray) -> str:
 def read_media(stored: DataFrame, media: str = "media", tensors: bool = True) -> DataFrame:
     """Decode a column of progressive JPEGs that store_media() wrote.
 
+    A tensor is one value, so a picture has at most 2 GB of it; store_tensors() has no such limit.
+
     Adds payload_bytes, payload_sha256 and tail_crc32 (of its last 32 bytes) of the bytes read back, height, width
     and feature of the picture and, with tensors, rgb (height x width x 3 bytes). A null media gives nulls. A
     column with one of these names is overwritten; a file that is no such JPEG fails the job.
@@ -79,17 +81,18 @@ def read_media(stored: DataFrame, media: str = "media", tensors: bool = True) ->
 
         arrow = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * tensors)
         for part in parts:
-            for s in range(0, part.num_rows, ROWS):
-                piece = part.slice(s, ROWS)
-                out = []
-                for data in piece.column(at).to_pylist():
-                    if data is None:
-                        out.append((None,) * len(names))
-                        continue
+            begin, out, held = 0, [], 0
+            for i, data in enumerate(part.column(at)):
+                if (data := data.as_py()) is None:
+                    out.append((None,) * len(names))
+                else:
                     image = jpeg.decode(data)
                     payload, rgb = jpeg.payload_of(image), image.rgb()
                     out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), image.height, image.width, feature(rgb), *[rgb.tobytes()] * tensors))
-                yield pa.RecordBatch.from_arrays([*piece.columns, *[pa.array(c, t) for c, t in zip(zip(*out), arrow)]], names=[*columns, *names])
+                    held += rgb.nbytes * tensors
+                if len(out) >= ROWS or held >= BAND or i + 1 == part.num_rows:
+                    yield pa.RecordBatch.from_arrays([*part.slice(begin, len(out)).columns, *[pa.array(c, t) for c, t in zip(zip(*out), arrow)]], names=[*columns, *names])
+                    begin, out, held = i + 1, [], 0
 
     return src.mapInArrow(decode, _extended(src, [T.StructField(n, k) for n, k in zip(names, kinds)]))
 

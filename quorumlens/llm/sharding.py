@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, ordered_blocks, row_numbers, text_or_empty
+from .common import let, materialize, ordered_blocks, row_numbers, text_or_empty
 
 
 def hilbert_index(dims: Sequence[Column], bits: int) -> Column:
@@ -72,40 +72,89 @@ def quantise_log(value: Column, bits: int) -> Column:
     return F.least(cell, F.lit(2**bits - 1)).cast("long")
 
 
-def quantise_key(value: Column, bits: int) -> Column:
-    """A key's cell: its hash, so that any number of keys fits; null is a key of its own."""
-    return F.pmod(F.xxhash64(F.coalesce(value.cast("string"), F.lit("\x00null"))), F.lit(2**bits)).cast("long")
+def rank_cells(docs: DataFrame, column: str, bits: int) -> DataFrame:
+    """(value, cell) for each value of a column: the share of rows with smaller values, in 2**bits steps.
+
+    Cells follow the order of values, so a range of values is a range of cells, and each cell holds about as many
+    rows unless one value has more. Null comes first. A value is one row, however many rows have it.
+    """
+    counts = materialize(docs.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")), "values")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    blocks = ordered_blocks(counts, ["value"], "ordered_values")
+    sums = blocks.groupBy("_block").agg(F.sum("n").alias("rows"))
+    ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    before = materialize(sums.select("_block", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("before")), "value_blocks")
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("_block").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.withColumn("_inside", inside).join(before, "_block")
+    return materialize(placed.select("value", F.floor((F.col("_inside") + F.col("before")) * 2**bits / total).cast("long").alias("cell")), "cells")
+
+
+def with_cells(docs: DataFrame, column: str, bits: int, out: str) -> DataFrame:
+    """docs with the cell of a column; the table of cells is of known size, so it is broadcast only if it is small."""
+    cells = rank_cells(docs, column, bits).select(F.col("value").alias("_value"), F.col("cell").alias(out))
+    return docs.join(cells, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
 
 
 def hilbert_shards(docs: DataFrame, dims: Sequence[Column], shards: int, bits: int = 6, ties: Sequence[str] = ("doc_id",), keep: Sequence[str] | None = None) -> DataFrame:
     """Deal docs into runs of the Hilbert order with row counts at most one apart.
 
     dims are coordinates from 0 to 2**bits - 1. Adds curve (long), shard (int, from 0 to shards - 1) and slot
-    (long, gapless from 0 in each shard); keep names the columns of docs that go along (default: all). Give keep
-    where rows are wide, as rows are range-partitioned by curve and ties. Rows equal in curve and ties are dealt
-    in any order. Rows are told apart by nothing but their values, so repeated rows each get their own slot.
-    An empty table gives no rows; more shards than rows leave the last ones empty by the same law.
+    (long, gapless from 0 in each shard); columns of these names are overwritten. keep names the columns of docs that
+    go along (default: all). Give keep where rows are wide, as rows are range-partitioned by curve and ties. Rows
+    equal in curve and ties are dealt in any order. Rows are told apart by nothing but their values, so repeated rows
+    each get their own slot. An empty table gives no rows; more shards than rows leave the last ones empty by the
+    same law.
     """
-    cols = list(keep if keep is not None else docs.columns)
-    placed = docs.select(*cols, hilbert_index(dims, bits).alias("curve"))
-    blocks = ordered_blocks(placed, ["curve", *ties], "hilbert")
-    numbered = row_numbers(blocks, ["curve", *ties])
-    total = blocks.groupBy().agg(F.count("*").alias("_rows"))  # one row
+    cols = [c for c in (docs.columns if keep is None else keep) if c not in ("curve", "shard", "slot")]
+    order = ["curve", *[f"_tie{i}" for i in range(len(ties))]]
+    placed = docs.select(F.struct(*cols).alias("_row"), *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(ties)], hilbert_index(dims, bits).alias("curve"))
+    numbered = row_numbers(ordered_blocks(placed, order, "hilbert"), order)
+    n = placed.count()
     # the first (rows mod shards) shards get one row more
-    small, extra = F.floor(F.col("_rows") / shards), F.col("_rows") % shards
+    small, extra = n // shards, n % shards
     edge = extra * (small + 1)
-    shard = F.when(F.col("position") < edge, F.floor(F.col("position") / (small + 1))).otherwise(extra + F.floor((F.col("position") - edge) / F.greatest(small, F.lit(1))))
+    position = F.col("position")
+    shard = F.when(position < edge, F.floor(position / (small + 1))).otherwise(extra + F.floor((position - edge) / max(small, 1))).cast("int")
     begin = F.when(F.col("shard") < extra, F.col("shard") * (small + 1)).otherwise(edge + (F.col("shard") - extra) * small)
-    n = total.collect()[0][0]
-    out = numbered.withColumn("_rows", F.lit(n)).withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("position") - begin).cast("long"))
-    return out.drop("_rows", "position", "block")
+    return numbered.withColumn("shard", shard).select("_row.*", "curve", "shard", (position - begin).cast("long").alias("slot"))
 
 
-def op5_hilbert_shards(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+def shard_ranges(sharded: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row a shard: its rows and the least and greatest value of each column, as low_<column> and high_<column>."""
+    ends = [f(c).alias(f"{name}_{c}") for c in columns for f, name in ((F.min, "low"), (F.max, "high"))]
+    return sharded.groupBy("shard").agg(F.count("*").alias("rows"), *ends)
+
+
+def shards_that_may_hold(ranges: DataFrame, wanted: Mapping[str, tuple]) -> DataFrame:
+    """The shards whose ranges meet every wanted (low, high); a shard with nulls alone in a column meets nothing."""
+    out = ranges
+    for column, (low, high) in wanted.items():
+        out = out.where((F.col(f"low_{column}") <= high) & (F.col(f"high_{column}") >= low))
+    return out.select("shard")
+
+
+def write_shards(sharded: DataFrame, folder: str) -> None:
+    """A folder of files a shard. Rows lie in blocks of the curve's order, so each task writes to a shard or two."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+
+
+DIMS = ("lang", "source", "size")
+
+
+def metadata_shards(docs: DataFrame, shards: int = 24, bits: int = 6) -> DataFrame:
+    """doc_id, lang, source, size and text_crc32 of docs in Hilbert order of lang, source and size, as a table in the shared folder."""
     body = F.encode(text_or_empty(), "utf-8")
-    bits = 6
     narrow = docs.select("doc_id", "lang", "source", (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    dims = [quantise_key(F.col("lang"), bits), quantise_key(F.col("source"), bits), quantise_log(F.col("size") - 8, bits)]
-    out = hilbert_shards(narrow, dims, 24, bits, ("doc_id", "text_crc32"), ["doc_id", "size", "text_crc32"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    narrow = materialize(narrow, "metadata")
+    celled = with_cells(with_cells(narrow, "lang", bits, "_lang"), "source", bits, "_source")
+    dims = [F.col("_lang"), F.col("_source"), quantise_log(F.col("size") - 8, bits)]
+    return materialize(hilbert_shards(celled, dims, shards, bits, ("doc_id", "text_crc32"), narrow.columns), "shards")
+
+
+def op5_hilbert_shards(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    out = metadata_shards(docs)
+    ranges = shard_ranges(out, DIMS).drop("rows")  # 24 rows
+    return out.join(F.broadcast(ranges), "shard").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", *[f"{e}_{c}" for c in DIMS for e in ("low", "high")]
+    )

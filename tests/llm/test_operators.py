@@ -136,8 +136,10 @@ def test_hilbert_curve(spark, n, bits):
 def test_shards(spark, docs, empty, shards):
     from pyspark.sql import functions as F
 
-    dims = lambda d: [sharding.quantise_key(F.col("lang"), 4), sharding.quantise_log(F.char_length("text"), 4)]
-    rows = sharding.hilbert_shards(docs, dims(docs), shards, 4).collect()
+    celled = lambda d: sharding.with_cells(d, "lang", 4, "cell")
+    dims = [F.col("cell"), sharding.quantise_log(F.char_length("text"), 4)]
+    rows = sharding.hilbert_shards(celled(docs), dims, shards, 4, keep=docs.columns).collect()
+    assert {r["block"] for r in rows} == {"mine"}
     slots = {}
     for r in rows:
         slots.setdefault(r["shard"], []).append(r["slot"])
@@ -146,7 +148,7 @@ def test_shards(spark, docs, empty, shards):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     curve = sorted((r["shard"], r["slot"], r["curve"]) for r in rows)
     assert [c for *_, c in curve] == sorted(c for *_, c in curve)
-    assert sharding.hilbert_shards(empty, dims(empty), 3, 4).count() == 0
+    assert sharding.hilbert_shards(celled(empty), dims, 3, 4).count() == 0
 
 
 # ---- 3, 7
