@@ -16,7 +16,9 @@ class Profiler:
 
     Each letter has a random vector of +1 and -1, drawn by its code point. An n-gram binds (multiplies) its
     letters' vectors, each permuted (rotated) by its place; a text bundles (adds) its n-grams. Letters are
-    lower-cased; everything else parts words and counts as one blank.
+    lower-cased; everything else parts words and counts as one blank. There are `codes` - 1 vectors, which letters
+    from that code point on share by their remainder: scripts beyond 4095 (as Han) are told from others, but some of
+    their letters look alike.
     """
 
     def __init__(self, dims: int = 1024, n: int = 3, seed: int = 7, codes: int = 4096):
