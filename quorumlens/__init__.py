@@ -1 +1 @@
-"""Meeting-memory analytics on Spark DataFrames."""
+"""Memories of meetings from transcripts, kept, searched, linked and counted as Spark DataFrames."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_whitespace
@@ -46,11 +46,11 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def mermaid_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, place, line) of a Mermaid drawing; edges without both ends are left out.
 
-    Nodes are numbered in order of their ids. A drawing is for reading, so its nodes fit one sorted window.
+    Nodes are named by their ids' hashes, so that no task needs to number them all.
     """
-    numbered = nodes.withColumn("_n", F.row_number().over(Window.orderBy("node_id")) - 1)
-    alias = lambda c, name: numbered.select(F.col("node_id").alias(c), F.concat(F.lit("n"), F.col("_n").cast("string")).alias(name))
-    box = numbered.select(F.lit(1).alias("part"), F.col("node_id").alias("place"), F.concat(F.lit("    n"), F.col("_n").cast("string"), F.lit('["'), F.replace(_label(nodes), F.lit('"'), F.lit("'")), F.lit('"]')).alias("line"))
+    named = nodes.withColumn("_n", F.concat(F.lit("n"), F.substring(F.sha1("node_id"), 1, 16)))
+    alias = lambda c, name: named.select(F.col("node_id").alias(c), F.col("_n").alias(name))
+    box = named.select(F.lit(1).alias("part"), F.col("node_id").alias("place"), F.concat(F.lit("    "), F.col("_n"), F.lit('["'), F.replace(_label(nodes), F.lit('"'), F.lit("'")), F.lit('"]')).alias("line"))
     both = edges.join(alias("source_id", "_a"), "source_id").join(alias("target_id", "_b"), "target_id")
     arrow = both.select(F.lit(2).alias("part"), F.concat_ws("\u001f", "source_id", "relationship", "target_id", "discriminator").alias("place"), F.concat(F.lit("    "), F.col("_a"), F.lit(" -->|"), F.replace("relationship", F.lit("_"), F.lit(" ")), F.lit("| "), F.col("_b")).alias("line"))
     return nodes.sparkSession.createDataFrame([(0, "", "graph TD")], "part int, place string, line string").unionByName(box).unionByName(arrow)
@@ -73,20 +73,42 @@ def meeting_summaries(memories: DataFrame, meetings: DataFrame) -> DataFrame:
     return heads.unionByName(rows)
 
 
-def report(insights: DataFrame, health: DataFrame, recommendations: DataFrame, most: int = 50) -> dict:
-    """The head of a report as plain values: the scores and the `most` gravest insights and recommendations."""
-    from .intelligence import ordered
+def report(insights: DataFrame, health: DataFrame, recommendations: DataFrame, most: int = 50, projects: DataFrame | None = None, people: DataFrame | None = None) -> dict:
+    """The head of a report as plain values: the scores, and the `most` gravest insights and recommendations and first projects and people."""
+    from .intelligence import ordered, ordered_recommendations
 
-    top = [r.asDict() for r in ordered(insights).limit(most).collect()]
-    return {"health": health.first().asDict(), "insights": top, "recommendations": [r.asDict() for r in recommendations.limit(most).collect()]}
+    rows = lambda df, order: [r.asDict() for r in (df.orderBy(*order) if order else df).limit(most).collect()]
+    out = {"health": health.first().asDict(), "insights": rows(ordered(insights), ()), "recommendations": rows(ordered_recommendations(recommendations), ())}
+    if projects is not None:
+        out["projects"] = rows(projects, ("name", "project_id"))
+    if people is not None:
+        out["people"] = rows(people, ("name",))
+    return out
+
+
+def _sections(data: dict) -> list[tuple[str, list[str]]]:
+    """(heading, lines) of a report."""
+    out = [("Health", [f"{k.replace('_', ' ')}: {v}" for k, v in data["health"].items()])]
+    out += [(name.title(), [f"{x['severity']} - {x['title']}: {x['detail']}" for x in data[name]]) for name in ("insights", "recommendations")]
+    numbers = lambda x: ", ".join(f"{k.replace('_', ' ')} {v}" for k, v in x.items() if k not in ("name", "project_id"))
+    return out + [(name.title(), [f"{x['name']}: {numbers(x)}" for x in data[name]]) for name in ("projects", "people") if name in data]
 
 
 def report_markdown(data: dict) -> str:
-    lines = ["# Report", "", "## Health", ""]
-    lines += [f"- {k.replace('_', ' ')}: {v}" for k, v in data["health"].items()]
-    for name in ("insights", "recommendations"):
-        lines += ["", f"## {name.title()}", ""] + [f"- **{x['severity']}** {x['title']}: {x['detail']}" for x in data[name]]
-    return "\n".join(lines) + "\n"
+    return "\n".join(["# Report", *(line for head, lines in _sections(data) for line in ("", f"## {head}", "", *(f"- {x}" for x in lines)))]) + "\n"
+
+
+def report_text(data: dict) -> str:
+    return "\n".join(["REPORT", *(line for head, lines in _sections(data) for line in ("", head.upper(), *(f"  {x}" for x in lines)))]) + "\n"
+
+
+def report_html(data: dict) -> str:
+    """One page; its insights are those on decisions, commitments and risks."""
+    import html
+
+    chosen = {**data, "insights": [x for x in data["insights"] if x["category"] in ("decision", "commitment", "risk")]}
+    body = "".join(f"<h2>{html.escape(head)}</h2><ul>{''.join(f'<li>{html.escape(x)}</li>' for x in lines)}</ul>" for head, lines in _sections(chosen))
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Report</title></head><body><h1>Report</h1>{body}</body></html>'
 
 
 def report_json(data: dict) -> str:

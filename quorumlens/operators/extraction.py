@@ -19,32 +19,45 @@ def _java(pattern: str) -> str:
 
 
 def is_question(text: Column) -> Column:
-    return text.rlike(r"(?U)\?\s*$")
+    return text.contains("?") & text.rlike(r"(?U)\?\s*$")
 
 
-def matches(text: Column, rules: Sequence[tuple[str, float]]) -> Column:
+def _holds(lower: Column, parts: Sequence[str]) -> Column:
+    out = lower.contains(parts[0])
+    for p in parts[1:]:
+        out = out | lower.contains(p)
+    return out
+
+
+def matches(text: Column, rules: Sequence[tuple[str, float]], lower: Column, parts: Sequence[Sequence[str]] | None) -> Column:
     """The rules that match, each as (base, neg_start, neg_rule, trigger); their greatest is the best.
 
-    That is the strongest, then the earliest match, then the first rule.
+    That is the strongest, then the earliest match, then the first rule. parts: for each rule the strings one of
+    which stands in every match in lower case; a rule is tried only on texts with one of them.
     """
     found = []
     for i, (pattern, base) in enumerate(rules):
         p = _java(pattern)
         before = F.char_length(F.regexp_extract(text, f"(?is)^(.*?)(?:{p})", 1))
         hit = F.struct(F.lit(base).alias("base"), (-before).alias("neg_start"), F.lit(-i).alias("neg_rule"), F.regexp_extract(text, f"(?i){p}", 0).alias("trigger"))
-        found.append(F.when(text.rlike(f"(?i){p}"), hit))
+        test = text.rlike(f"(?i){p}")
+        found.append(F.when(_holds(lower, parts[i]) & test if parts else test, hit))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def candidates(text: Column, kind: str, rules: Sequence[tuple[str, float]]) -> Column:
-    """An array with the type's CANDIDATE for a text, or empty."""
+def candidates(text: Column, kind: str, rules: Sequence[tuple[str, float]], lower: Column | None = None, asks: Column | None = None) -> Column:
+    """An array with the type's CANDIDATE for a text, or empty. lower and asks: the text in lower case, and is_question(), if known."""
     none = F.array().cast(f"array<{CANDIDATE}>")
-    best = F.filter(F.array(F.array_max(matches(text, rules))), lambda x: x.isNotNull())
+    lower, asks = F.lower(text) if lower is None else lower, is_question(text) if asks is None else asks
+    parts = R.PARTS[kind] if rules is R.RULES.get(kind) else None
+    best = F.filter(F.transform(F.array(matches(text, rules, lower, parts)), lambda m: F.array_max(m)), lambda x: x.isNotNull())
     hit = F.transform(best, lambda b: F.struct(F.lit(kind).alias("memory_type"), b["base"].alias("base"), (-b["neg_start"]).alias("start"), b["trigger"].alias("trigger"), F.lit(False).alias("marked")))
+    if parts:
+        hit = F.when(_holds(lower, sorted({x for p in parts for x in p})), hit).otherwise(none)
     if kind == "question":
         mark = F.struct(F.lit(kind).alias("memory_type"), F.lit(R.VERY_HIGH).alias("base"), F.lit(0).alias("start"), F.lit("?").alias("trigger"), F.lit(True).alias("marked"))
-        return F.when(is_question(text), F.array(mark)).otherwise(hit)
-    return F.when(is_question(text), none).otherwise(hit) if kind == "fact" else hit
+        return F.when(asks, F.array(mark)).otherwise(hit)
+    return F.when(asks, none).otherwise(hit) if kind == "fact" else hit
 
 
 def owner_of_text(text: Column, speaker: Column) -> Column:
@@ -67,8 +80,9 @@ def extract(utterances: DataFrame, types: Sequence[str] = R.TYPES, min_confidenc
     text fall together; the most confident stays, of equals the earliest. Confidence is checked after that.
     """
     text, speaker = F.col("text"), F.col("speaker")
-    each = [candidates(text, t, rules[t]) for t in R.TYPES if t in types] + [x(text, speaker) for x in extra]
-    rows = utterances.where("text is not null").withColumn("_c", F.explode(F.concat(F.array().cast(f"array<{CANDIDATE}>"), *each))).withColumns({
+    each = [candidates(text, t, rules[t], F.col("_lower"), F.col("_asks")) for t in R.TYPES if t in types] + [x(text, speaker) for x in extra]
+    known = utterances.where("text is not null").withColumns({"_lower": F.lower(text), "_asks": is_question(text)})
+    rows = known.withColumn("_c", F.explode(F.concat(F.array().cast(f"array<{CANDIDATE}>"), *each))).drop("_lower", "_asks").withColumns({
         "memory_type": F.col("_c.memory_type"), "trigger": F.col("_c.trigger"), "evidence_start": F.col("_c.start"),
     })
     commits = F.col("memory_type") == "commitment"
@@ -85,7 +99,13 @@ def extract(utterances: DataFrame, types: Sequence[str] = R.TYPES, min_confidenc
     if deduplicate:
         w = Window.partitionBy("meeting_id", "memory_type", normalize_text(F.col("text"))).orderBy(F.desc("confidence"), "utterance_index")
         rows = rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
-    return rows.drop("_c").where(F.col("confidence") >= min_confidence)
+    rows = rows.drop("_c")
+    return rows.where(F.col("confidence") >= min_confidence) if min_confidence > 0 else rows
+
+
+def ordered(memories: DataFrame) -> DataFrame:
+    """Memories of each meeting in order of utterance, then of the types' canonical order."""
+    return memories.orderBy("meeting_id", "utterance_index", F.array_position(F.array(*map(F.lit, R.TYPES)), F.col("memory_type")))
 
 
 def problems(memories: DataFrame, utterances: DataFrame) -> DataFrame:

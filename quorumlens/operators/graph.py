@@ -200,7 +200,10 @@ def _cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the session's folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quorumlens-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quorumlens-"))
     return df.checkpoint()
 
 
@@ -211,8 +214,12 @@ def _steps(edges: DataFrame, direction: str, relationships: Sequence[str]) -> Da
     return {"out": out, "in": back}.get(direction, out.unionByName(back))
 
 
-def neighbors(edges: DataFrame, start: Sequence[str], depth: int = 1, relationships: Sequence[str] = (), direction: str = "both") -> DataFrame:
-    """(node_id, distance) of all nodes within depth steps of start; start itself has distance 0."""
+def neighbors(edges: DataFrame, start: Sequence[str], depth: int = 1, relationships: Sequence[str] = (), direction: str = "both", node_types: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """(node_id, distance) of all nodes within depth steps of start; start itself has distance 0.
+
+    node_types choose among what was found (the part of node_id before the colon), not where the search goes. limit
+    keeps the first nodes in order of node_id.
+    """
     steps = _steps(edges, direction, relationships).select("a", "b")
     seen = edges.sparkSession.createDataFrame([(s, 0) for s in start], "node_id string, distance int")
     front = seen
@@ -220,7 +227,19 @@ def neighbors(edges: DataFrame, start: Sequence[str], depth: int = 1, relationsh
         near = front.join(steps, front["node_id"] == steps["a"]).select(F.col("b").alias("node_id")).distinct()
         front = _cut(near.join(seen, "node_id", "left_anti").withColumn("distance", F.lit(d)))
         seen = seen.unionByName(front)
-    return seen
+    if node_types:
+        seen = seen.where(F.substring_index("node_id", ":", 1).isin(*node_types))
+    return seen if limit is None else seen.orderBy("node_id").limit(limit)
+
+
+#: Node types of what related() looks for.
+MEMORY_NODES = ("decision", "commitment", "memory", "risk", "assumption", "question", "fact")
+
+
+def related(edges: DataFrame, node: str, node_types: Sequence[str] = (), depth: int = 2, limit: int | None = None) -> DataFrame:
+    """(node_id, distance): the neighbours of a node without itself; all memories by MEMORY_NODES, else ("meeting",), ("person",) or ("project",)."""
+    found = neighbors(edges, [node], depth, node_types=node_types).where(F.col("distance") > 0)
+    return found if limit is None else found.orderBy("node_id").limit(limit)
 
 
 def neighbors_of_all(memories: DataFrame, meetings: DataFrame, start: Sequence[str], depth: int = 1, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
@@ -282,18 +301,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
     raise RuntimeError("the components did not settle")
 
 
-def chain_members(memories: DataFrame) -> DataFrame:
-    """(start, memory_id, position): the memories of each supersession chain, the oldest at position 0.
+def _walked(members: DataFrame, jump: DataFrame) -> DataFrame:
+    """(start, memory_id, position): members and all that their pointers (memory_id, next) lead to.
 
-    Chains begin at memories that supersede none and end where a pointer leads out of the table or back into the
-    chain. A round doubles how far all pointers reach, so a chain of n memories takes about log2(n) rounds. A round
-    that adds nothing is the last: positions of a chain have no gaps.
+    A round doubles how far all pointers reach, so a chain of n takes about log2(n) rounds. A round that adds
+    nothing is the last: positions of a chain have no gaps. A chain that leads back into itself ends there.
     """
-    link = _cut(memories.where("superseded_by <> ''").select("memory_id", "superseded_by"))
-    starts = link.join(link.select(F.col("superseded_by").alias("memory_id")).distinct(), "memory_id", "left_anti")
-    known = memories.select(F.col("memory_id").alias("superseded_by"))
-    jump = _cut(link.join(known, "superseded_by", "left_semi").select("memory_id", F.col("superseded_by").alias("next")))
-    members = _cut(starts.select(F.col("memory_id").alias("start"), "memory_id", F.lit(0).cast("long").alias("position")))
+    members, jump = _cut(members), _cut(jump)
     have, reach = members.count(), 1
     while True:
         ahead = members.join(jump, "memory_id").select("start", F.col("next").alias("memory_id"), (F.col("position") + reach).alias("position"))
@@ -307,39 +321,61 @@ def chain_members(memories: DataFrame) -> DataFrame:
         have, reach = found, reach * 2
 
 
+def chain_members(memories: DataFrame) -> DataFrame:
+    """(start, memory_id, position): the memories of each supersession chain, the oldest at position 0.
+
+    Chains begin at memories that supersede none and end where a pointer leads out of the table or back into the
+    chain.
+    """
+    link = _cut(memories.where("superseded_by <> ''").select("memory_id", "superseded_by"))
+    starts = link.join(link.select(F.col("superseded_by").alias("memory_id")).distinct(), "memory_id", "left_anti")
+    known = memories.select(F.col("memory_id").alias("superseded_by"))
+    jump = link.join(known, "superseded_by", "left_semi").select("memory_id", F.col("superseded_by").alias("next"))
+    return _walked(starts.select(F.col("memory_id").alias("start"), "memory_id", F.lit(0).cast("long").alias("position")), jump)
+
+
 def chains(memories: DataFrame) -> DataFrame:
     """(start, latest, ids): supersession chains from the oldest memory on, at least two long."""
     placed = chain_members(memories).groupBy("start").agg(F.array_sort(F.collect_list(F.struct("position", "memory_id"))).alias("m")).where(F.size("m") > 1)
     return placed.select("start", F.element_at("m", -1)["memory_id"].alias("latest"), F.col("m.memory_id").alias("ids"))
 
 
-def lineage(edges: DataFrame, node: str, relationship: str = "supersedes", depth: int = 256) -> list[str]:
-    """The chain that a node stands in, oldest first: from the least newest node down to older ones.
+def lineages(edges: DataFrame, relationship: str = "supersedes") -> DataFrame:
+    """(component, node_id, position): the lineage of each component of edges from newer to older, the newest at position 0.
 
-    The chain is looked for within depth steps of the node.
+    It begins at the least node that nothing is newer than (in a ring, at the least newer one) and goes on to the
+    least older node each time, until there is none or it was there before.
     """
     every = _cut(edges.where(F.col("relationship") == relationship).select("source_id", "target_id").distinct())
     ends = every.select(F.col("source_id").alias("node_id")).unionByName(every.select(F.col("target_id").alias("node_id"))).distinct()
     label = _cut(connected_components(ends, every.withColumn("edge_id", F.lit(""))))
+    newer = every.select(F.col("source_id").alias("node_id")).distinct()
+    top = newer.join(every.select(F.col("target_id").alias("node_id"), F.lit(False).alias("top")).distinct(), "node_id", "left").withColumn("top", F.coalesce("top", F.lit(True)))
+    heads = top.join(label, "node_id").groupBy("component").agg(F.min_by("node_id", F.struct(~F.col("top"), "node_id")).alias("memory_id"))
+    jump = every.groupBy(F.col("source_id").alias("memory_id")).agg(F.min("target_id").alias("next"))
+    walked = _walked(heads.select(F.col("component").alias("start"), "memory_id", F.lit(0).cast("long").alias("position")), jump)
+    return walked.select(F.col("start").alias("component"), F.col("memory_id").alias("node_id"), "position")
+
+
+def lineage(edges: DataFrame, node: str, relationship: str = "supersedes", depth: int = 256) -> list[str]:
+    """The lineage of the component that a node stands in, oldest first; the node alone if no such edge meets it.
+
+    As a search from the node goes depth steps, nodes further than that up or one step more down are left out;
+    lineages() has the whole of each. Only this one lineage comes to the driver.
+    """
+    every = edges.where(F.col("relationship") == relationship).select("source_id", "target_id")
+    ends = every.select(F.col("source_id").alias("node_id")).unionByName(every.select(F.col("target_id").alias("node_id"))).distinct()
+    label = _cut(connected_components(ends, every.withColumn("edge_id", F.lit(""))))
     mine = label.join(label.where(F.col("node_id") == node).select("component"), "component", "left_semi").select(F.col("node_id").alias("source_id"))
-    pairs = [(r["source_id"], r["target_id"]) for r in every.join(mine, "source_id", "left_semi").collect()]  # one component of one relationship
-    beside: dict[str, list[str]] = {}
-    for a, b in pairs:
-        beside.setdefault(a, []).append(b)
-        beside.setdefault(b, []).append(a)
-    part, front = {node}, {node}
-    for _ in range(depth):
-        front = {b for a in front for b in beside.get(a, [])} - part
-        part |= front
-    older: dict[str, list[str]] = {}
-    for a, b in pairs:
-        if a in part:
-            older.setdefault(a, []).append(b)
-    targets = {t for ts in older.values() for t in ts}
-    heads = sorted(set(older) - targets) or sorted(older)
-    walk, seen, at = [], set(), heads[0] if heads else node
-    while at and at not in seen:
-        walk.append(at)
-        seen.add(at)
-        at = min((t for t in older.get(at, []) if t not in seen), default=None)
-    return walk[::-1]
+    one = lineages(every.join(mine, "source_id", "left_semi").withColumn("relationship", F.lit(relationship)), relationship)
+    if place := one.where(F.col("node_id") == node).first():
+        one = one.where(F.col("position").between(place["position"] - depth, place["position"] + depth + 1))
+    return [r["node_id"] for r in one.orderBy(F.desc("position")).collect()] or [node]
+
+
+def decision_lineage(edges: DataFrame, node: str) -> list[str]:
+    return lineage(edges, node, "supersedes")
+
+
+def risk_lineage(edges: DataFrame, node: str) -> list[str]:
+    return lineage(edges, node, "connected_to")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -227,6 +227,23 @@ def risk_insights(c: Context, projects: DataFrame) -> list[DataFrame]:
 PROVIDERS = {"commitment": lambda c, p: commitment_insights(c), "decision": lambda c, p: decision_insights(c), "risk": risk_insights}
 
 
+#: Metric providers by name, from (context, projects) to a table, and recommendation providers, from (context, insights).
+METRICS = {
+    "commitment": lambda c, p: commitment_metrics(c), "decision": lambda c, p: decision_metrics(c), "health": lambda c, p: health(c, p),
+    "meeting": lambda c, p: meeting_metrics(c), "person": lambda c, p: person_metrics(c), "project": lambda c, p: p, "risk": lambda c, p: risk_metrics(c, p),
+}
+ADVISERS = {"actions": lambda c, found: recommendations(c, found)}
+
+
+def advice(c: Context, found: DataFrame) -> DataFrame:
+    """The recommendations of all providers, in order of their names."""
+    out = None
+    for name in sorted(ADVISERS):
+        part = ADVISERS[name](c, found)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def insights(c: Context, projects: DataFrame, types: Sequence[str] = ()) -> DataFrame:
     out = None
     for name in sorted(PROVIDERS):
@@ -243,6 +260,10 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.orderBy(_rank(R.SEVERITIES, "severity").desc(), "category", "type", "insight_id")
 
 
+def ordered_recommendations(found: DataFrame) -> DataFrame:
+    return found.orderBy(_rank({"low": 0, "medium": 1, "high": 2, "urgent": 3}, "priority").desc(), _rank(R.SEVERITIES, "severity").desc(), "category", "recommendation_id")
+
+
 def evidence(c: Context, found: DataFrame) -> DataFrame:
     """(insight_id, memory_id, meeting_id): the memories behind insights whose subject is a memory, content or owner."""
     m = c.memories.select("memory_id", "meeting_id", "content_hash", "memory_type", "status", "responsible")
@@ -270,12 +291,18 @@ def recommendations(c: Context, found: DataFrame) -> DataFrame:
 def replay(memories: DataFrame, meetings: DataFrame) -> DataFrame:
     """Meetings in order of date (undated first) and id, with memories so far, in all and by type.
 
-    The running sums are over one row a meeting.
+    Running sums are over one row a meeting, in blocks of meetings.
     """
-    from pyspark.sql import Window
-
     per = memories.groupBy("meeting_id").agg(F.count("*").alias("n"), *[_count(F.col("memory_type") == t).alias(f"n_{t}") for t in R.TYPES])
     rows = meetings.select("meeting_id", F.coalesce("date", F.lit("")).alias("date"), "title").join(per, "meeting_id", "left").fillna(0)
-    w = Window.orderBy("date", "meeting_id").rowsBetween(Window.unboundedPreceding, 0)
-    place = F.row_number().over(Window.orderBy("date", "meeting_id"))
-    return rows.select("meeting_id", "date", "title", place.alias("position"), "n", F.sum("n").over(w).alias("total"), *[F.sum(f"n_{t}").over(w).alias(f"total_{t}") for t in R.TYPES])
+    # blocks of meetings in order, then running sums in each: no task sees all meetings
+    n = int(memories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = G._cut(rows.repartitionByRange(n, "date", "meeting_id").withColumn("_block", F.spark_partition_id()))
+    counts = {"position": F.lit(1), "total": F.col("n"), **{f"total_{t}": F.col(f"n_{t}") for t in R.TYPES}}
+    ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    sums = blocks.groupBy("_block").agg(*[F.sum(v).alias(k) for k, v in counts.items()])
+    before = sums.select("_block", *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"_{k}") for k in counts])
+    w = Window.partitionBy("_block").orderBy("date", "meeting_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = blocks.withColumns({f"_in_{k}": F.sum(v).over(w) for k, v in counts.items()}).join(before, "_block")
+    place = (F.col("_in_position") + F.col("_position")).cast("int").alias("position")
+    return placed.select("meeting_id", "date", "title", place, "n", *[(F.col(f"_in_{k}") + F.col(f"_{k}")).alias(k) for k in counts if k != "position"])

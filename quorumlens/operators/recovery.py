@@ -44,3 +44,8 @@ def read_snapshot(spark: SparkSession, path: str, schemas: dict[str, str], verif
             if (found["rows"], found["checksum"]) != (said[name]["rows"], said[name]["checksum"]):
                 raise ValueError(f"table {name} is not what the manifest says")
     return out
+
+
+def restore_snapshot(spark: SparkSession, path: str, schemas: dict[str, str], store, keys: dict[str, str], verify: bool = True) -> dict[str, int]:
+    """Append a snapshot's tables to a store, and say how many rows of each were new; rows with a known key stay as they are."""
+    return {name: store.append(name, table, keys[name]) for name, table in read_snapshot(spark, path, schemas, verify).items()}

@@ -154,10 +154,16 @@ def order_columns(order: str) -> list[Column]:
     return recent if order == "reverse_chronological" else [F.col("score").desc(), *recent]
 
 
-def retrieve(memories: DataFrame, meetings: DataFrame, query: Query, explain: bool = False) -> DataFrame:
-    """One page of results, best first; names in the text are looked up among speakers and participants."""
+def retrieve(memories: DataFrame, meetings: DataFrame, query: Query, explain: bool = False, weights: Mapping[str, float] = R.RANKING, names: tuple[Sequence[str], Sequence[str]] | None = None) -> DataFrame:
+    """One page of results, best first.
+
+    Names in the text are looked up among the tables' speakers and participants, or in `names` (of both) if given.
+    weights: how much each part of the score counts.
+    """
     words = re.findall("[a-z0-9]+", query.text.lower())
-    p = plan(query, *(vocabulary(memories, meetings, words) if words else ((), ())))
+    if names is None:
+        names = vocabulary(memories, meetings, words) if words else ((), ())
+    p = replace(plan(query, *names), weights=weights)
     rows = scored(memories, meetings, p).orderBy(*order_columns(query.order))
     if query.offset:
         rows = rows.offset(query.offset)
@@ -230,6 +236,19 @@ def reasons(p: Plan) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(fallback)
 
 
+def explain(memories: DataFrame, meetings: DataFrame, utterances: DataFrame, memory_id: str, size: int = 2, weights: Mapping[str, float] = R.RANKING) -> DataFrame:
+    """One memory (no row if there is none) with its score, the reasons for its own type, status and speaker, and its context.
+
+    It is compared with no others, so its recency is 1.
+    """
+    mine = memories.where(F.col("memory_id") == memory_id)
+    row = mine.select("memory_type", "status", "speaker").first()  # one memory
+    if row is None:
+        return context(scored(mine, meetings, Plan(Query())).withColumn("reasons", reasons(Plan(Query()))), utterances, size)
+    p = Plan(Query(), memory_types=frozenset([row["memory_type"]]), statuses=frozenset([row["status"]]), speakers=frozenset([row["speaker"]] if row["speaker"] else []), weights=weights)
+    return context(scored(mine, meetings, p).withColumn("reasons", reasons(p)), utterances, size)
+
+
 def context(results: DataFrame, utterances: DataFrame, size: int = 2) -> DataFrame:
     """results with `before` and `after`: up to `size` utterances on either side of each, from its meeting.
 

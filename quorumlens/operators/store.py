@@ -71,19 +71,26 @@ def list_meetings(meetings: DataFrame) -> DataFrame:
     return meetings.orderBy(F.col("date").asc_nulls_last(), "created_at", "meeting_id")
 
 
-def deduplicate(memories: DataFrame, threshold: float = 1.0) -> DataFrame:
-    """Of memories with one content hash, the first and those whose confidence is over threshold from all kept so far.
+def deduplicate(memories: DataFrame, threshold: float = 1.0, stored: DataFrame | None = None) -> DataFrame:
+    """Of a meeting's memories with one content hash, the first and those whose confidence is over threshold from all kept so far.
 
-    At 1 or more only the first stays, which is a window. Below that the outcome depends on the order, and one
-    hash's confidences are folded in order.
+    The same point may come up again in another meeting, so meetings are never compared. stored: memories that are
+    kept already (meeting_id, content_hash, created_at, memory_id, confidence); they come before all others and are
+    not in the result. At 1 or more one memory stays, which is a window inside a meeting. Below that the outcome
+    depends on the order, and the confidences of one hash in one meeting are folded in order.
     """
-    w = Window.partitionBy("content_hash").orderBy("created_at", "memory_id")
+    key = ["meeting_id", "content_hash"]
+    rows = memories.withColumn("_new", F.lit(True))
+    if stored is not None:
+        known = stored.select(*key, "created_at", "memory_id", "confidence", F.lit(False).alias("_new"))
+        rows = rows.unionByName(known.join(memories.select("meeting_id").distinct(), "meeting_id", "left_semi"), allowMissingColumns=True)
     if threshold >= 1:
-        return memories.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
-    item = F.struct("created_at", "memory_id", "confidence")
-    start = F.array().cast("array<struct<created_at:string,memory_id:string,confidence:double>>")
-    kept = F.aggregate(F.array_sort(F.collect_list(item)), start, lambda a, x: F.when(F.exists(a, lambda k: F.abs(k["confidence"] - x["confidence"]) <= threshold), a).otherwise(F.concat(a, F.array(x))))
-    ids = memories.groupBy("content_hash").agg(F.transform(kept, lambda x: x["memory_id"]).alias("ids")).select(F.explode("ids").alias("memory_id"))
+        w = Window.partitionBy(*key).orderBy("_new", "created_at", "memory_id")
+        return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1 and _new").drop("_rank", "_new")
+    item = F.struct("_new", "created_at", "memory_id", "confidence")
+    start = F.array().cast("array<struct<_new:boolean,created_at:string,memory_id:string,confidence:double>>")
+    kept = F.aggregate(F.array_sort(F.collect_list(item)), start, lambda a, x: F.when(x["_new"] & F.exists(a, lambda k: F.abs(k["confidence"] - x["confidence"]) <= threshold), a).otherwise(F.concat(a, F.array(x))))
+    ids = rows.groupBy(*key).agg(F.transform(kept, lambda x: x["memory_id"]).alias("ids")).select(F.explode("ids").alias("memory_id"))
     return memories.join(ids, "memory_id", "left_semi")
 
 
@@ -110,8 +117,20 @@ def stats(memories: DataFrame, meetings: DataFrame) -> DataFrame:
     return names.join(named, ["kind", "name"], "left").select("kind", "name", F.coalesce("n", F.lit(0)).cast("long").alias("n")).unionByName(total)
 
 
+def transitions(ids: DataFrame, status: str, seq: int, at: str, superseded_by: Column | str | None = None) -> DataFrame:
+    """Status log entries for memories (memory_id): `active` restores, `superseded` may name what supersedes (a column of ids)."""
+    if status not in R.STATUSES:
+        raise ValueError(f"unknown status {status!r}; one of {', '.join(R.STATUSES)}")
+    by = F.lit(None) if superseded_by is None else superseded_by if isinstance(superseded_by, Column) else F.col(superseded_by)
+    return ids.select("memory_id", F.lit(seq).alias("seq"), F.lit(status).alias("status"), by.cast("string").alias("superseded_by"), F.lit(at).alias("at"))
+
+
 class Store:
-    """Tables in a folder: `meetings`, `memories` and `status_log`, each appended to, never rewritten."""
+    """Tables in a folder: `meetings`, `memories`, `status_log`, `changes` and the graph's, each appended to, never rewritten.
+
+    changes holds whole rows that take the place of a memory's (updates), and deletions of memories or of meetings
+    with all their memories; the last entry by seq counts.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -120,20 +139,70 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def append(self, table: str, rows: DataFrame, key: str) -> None:
-        """Append the rows whose key the table has not seen; the first of rows with one key."""
+    def append(self, table: str, rows: DataFrame, key: str) -> int:
+        """Append the rows whose key the table has not seen, the first of rows with one key; how many there were."""
         rows = rows.dropDuplicates([key])
+        had = 0
         if self._there(table):
-            rows = rows.join(self.spark.read.parquet(f"{self.path}/{table}").select(key), key, "left_anti")
+            old = self.spark.read.parquet(f"{self.path}/{table}")
+            had = old.count()
+            rows = rows.join(old.select(key), key, "left_anti")
         rows.write.mode("append").parquet(f"{self.path}/{table}")
+        return self.spark.read.parquet(f"{self.path}/{table}").count() - had
 
     def set_status(self, changes: DataFrame) -> None:
         """changes: memory_id, seq, status, superseded_by, at; seq orders all changes of a memory."""
         changes.write.mode("append").parquet(f"{self.path}/status_log")
 
+    def archive(self, ids: DataFrame, seq: int, at: str) -> None:
+        self.set_status(transitions(ids, "archived", seq, at))
+
+    def resolve(self, ids: DataFrame, seq: int, at: str) -> None:
+        self.set_status(transitions(ids, "resolved", seq, at))
+
+    def mark_deleted(self, ids: DataFrame, seq: int, at: str) -> None:
+        self.set_status(transitions(ids, "deleted", seq, at))
+
+    def restore(self, ids: DataFrame, seq: int, at: str) -> None:
+        self.set_status(transitions(ids, "active", seq, at))
+
+    def supersede(self, pairs: DataFrame, seq: int, at: str) -> None:
+        """pairs: memory_id and superseded_by."""
+        self.set_status(transitions(pairs, "superseded", seq, at, "superseded_by"))
+
+    def update(self, rows: DataFrame, seq: int) -> None:
+        """rows: whole memories that take the place of those with their memory_id; unknown ones change nothing."""
+        columns = self.spark.read.parquet(f"{self.path}/memories").columns
+        rows.select("memory_id", F.lit(seq).alias("seq"), F.lit(False).alias("gone"), F.struct(*columns).alias("row")).write.mode("append").parquet(f"{self.path}/changes")
+
+    def delete(self, ids: DataFrame, seq: int) -> None:
+        """Drop memories (memory_id) for good."""
+        row = F.lit(None).cast(self.spark.read.parquet(f"{self.path}/memories").select(F.struct("*").alias("row")).schema["row"].dataType)
+        ids.select("memory_id", F.lit(seq).alias("seq"), F.lit(True).alias("gone"), row.alias("row")).write.mode("append").parquet(f"{self.path}/changes")
+
+    def delete_meetings(self, ids: DataFrame) -> None:
+        """Drop meetings (meeting_id) for good, and all their memories."""
+        ids.select("meeting_id").write.mode("append").parquet(f"{self.path}/gone_meetings")
+
+    def _left(self, rows: DataFrame) -> DataFrame:
+        if not self._there("gone_meetings"):
+            return rows
+        return rows.join(self.spark.read.parquet(f"{self.path}/gone_meetings").distinct(), "meeting_id", "left_anti").select(*rows.columns)
+
     def meetings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/meetings")
+        return self._left(self.spark.read.parquet(f"{self.path}/meetings"))
 
     def memories(self) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/memories")
+        rows = self._left(self.spark.read.parquet(f"{self.path}/memories"))
+        if self._there("changes"):
+            last = self.spark.read.parquet(f"{self.path}/changes").groupBy("memory_id").agg(F.max_by(F.struct("gone", "row"), "seq").alias("x"))
+            whole = rows.select("memory_id", F.struct("*").alias("_old")).join(last, "memory_id", "left").where("x is null or not x.gone")
+            rows = whole.select(F.coalesce("x.row", "_old").alias("row")).select("row.*")
         return apply_status(rows, self.spark.read.parquet(f"{self.path}/status_log")) if self._there("status_log") else rows
+
+    def save_graph(self, nodes: DataFrame, edges: DataFrame) -> tuple[int, int]:
+        """Append the nodes and edges that are new, and say how many were; what is there stays as it was first written."""
+        return self.append("graph_nodes", nodes, "node_id"), self.append("graph_edges", edges, "edge_id")
+
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        return self.spark.read.parquet(f"{self.path}/graph_nodes"), self.spark.read.parquet(f"{self.path}/graph_edges")

@@ -122,7 +122,7 @@ def store_stats(spark, sf_dir):
     return store.stats(mem, meet)
 
 
-@query("storage_dedup", "SELECT memory_id, content_hash FROM mem QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY created_at, memory_id) = 1")
+@query("storage_dedup", "SELECT memory_id, content_hash FROM mem QUALIFY row_number() OVER (PARTITION BY meeting_id, content_hash ORDER BY created_at, memory_id) = 1")
 def storage_dedup(spark, sf_dir):
     return store.deduplicate(sample.store(spark, sf_dir)[1]).select("memory_id", "content_hash")
 
@@ -162,7 +162,9 @@ def _search(name: str, q: retrieval.Query, terms: list[str], where: str = "true"
 _search("search_ranked", retrieval.Query("risk dependency atlas"), ["dependency", "atlas"], "memory_type = 'risk'")
 _search("search_and_filter", retrieval.Query("decisions postgres", statuses=["active"], min_confidence=0.6), ["postgres"], "memory_type = 'decision' AND status = 'active' AND confidence >= 0.6")
 _search("search_month", retrieval.Query("kafka in january"), ["kafka"], dated="CAST(substr(meeting_date, 6, 2) AS INT) = 1")
-_search("search_speaker", retrieval.Query("what did person3 say about redis"), ["say", "redis"], "speaker = 'Person3'")
+_search("search_speaker", retrieval.Query("which redis decisions were those of person3"), ["redis"], "speaker = 'Person3' AND memory_type = 'decision'")
+_search("search_participants", retrieval.Query("risk", participants=["Person3", "Person8"]), [], "memory_type = 'risk' AND list_contains(meet.participants, 'Person3') AND list_contains(meet.participants, 'Person8')")
+_search("search_phrase", retrieval.Query("open loops item pending"), ["item", "pending"], "memory_type = 'open_loop'")
 _search("timeline", retrieval.Query("open loops", order="chronological"), [], "memory_type = 'open_loop'")
 _search("latest_n", retrieval.Query(limit=10, order="reverse_chronological"), [], order="ORDER BY meeting_date DESC, created_at DESC, memory_id LIMIT 10", columns="memory_id")
 
@@ -246,59 +248,91 @@ def edges_collaboration(spark, sf_dir):
     return graph.collaboration_edges(sample.store(spark, sf_dir)[2])
 
 
-_ALL = f"""alle AS (SELECT {_EDGE} FROM edge UNION {_SEMANTIC} UNION {_REPEATED} UNION {_COLLABORATION}
-  UNION SELECT 'decision:' || n.memory_id, 'supersedes', 'decision:' || o.memory_id, '' FROM mem o JOIN mem n ON n.memory_id = o.superseded_by)"""
+_ALL = f"""res AS ({_RESOLVES}), alle AS (SELECT {_EDGE} FROM edge UNION {_SEMANTIC} UNION {_REPEATED} UNION {_COLLABORATION}
+  UNION SELECT 'decision:' || n.memory_id, 'supersedes', 'decision:' || o.memory_id, '' FROM mem o JOIN mem n ON n.memory_id = o.superseded_by
+  UNION SELECT 'commitment:' || memory_id, 'resolves', issue, '' FROM res)"""
+_SYM = "sym AS (SELECT DISTINCT source_id AS a, target_id AS b FROM {0} UNION SELECT target_id, source_id FROM {0})"
+_NEAR = "near1 AS (SELECT DISTINCT b FROM sym WHERE a = '{0}'), near2 AS (SELECT DISTINCT b FROM sym WHERE a IN (SELECT b FROM near1)), near AS (SELECT node_id, min(d) AS distance FROM (SELECT '{0}' AS node_id, 0 AS d UNION ALL SELECT b, 1 FROM near1 UNION ALL SELECT b, 2 FROM near2) GROUP BY 1)"
 
 
 @query("edge_summary", "SELECT relationship, count(*) AS n FROM alle GROUP BY 1", more=f"{GRAPH_SQL}, {_ALL}")
 def edge_summary(spark, sf_dir):
+    """Edges by kind; those of `resolves` are counted without being made."""
     _, mem, meet = sample.store(spark, sf_dir)
-    return graph.edges(mem, meet, resolves=False).groupBy("relationship").agg(F.count("*").alias("n"))
+    total = graph.resolves_counts(mem, meet).agg(F.lit("resolves").alias("relationship"), F.sum("n").alias("n")).where("n > 0")
+    return graph.edges(mem, meet, resolves=False).groupBy("relationship").agg(F.count("*").alias("n")).unionByName(total)
+
+
+@query("node_summary", f"SELECT node_type, count(*) AS n FROM (SELECT DISTINCT node_id, node_type FROM (SELECT 'meeting:' || meeting_id AS node_id, 'meeting' AS node_type FROM meet UNION ALL SELECT 'person:' || {_SLUG('name')}, 'person' FROM (SELECT name FROM part UNION ALL SELECT speaker FROM mem UNION ALL SELECT owner FROM mem) WHERE name <> '' UNION ALL SELECT mt || ':' || memory_id, mt FROM mem UNION ALL SELECT entity_id, kind FROM ment UNION ALL SELECT entity_id, kind FROM tment)) GROUP BY 1", more=GRAPH_SQL)
+def node_summary(spark, sf_dir):
+    _, mem, meet = sample.store(spark, sf_dir)
+    return graph.nodes(mem, meet).groupBy("node_type").agg(F.count("*").alias("n"))
 
 
-@query("edge_ids", f"SELECT sha1_ AS edge_id, relationship FROM (SELECT sha1(concat_ws(chr(31), source_id, relationship, target_id, discriminator)) AS sha1_, relationship FROM alle)", more=f"{GRAPH_SQL}, {_ALL}")
+@query("edge_ids", "SELECT sha1(concat_ws(chr(31), source_id, relationship, target_id, discriminator)) AS edge_id, relationship FROM alle", more=f"{GRAPH_SQL}, {_ALL}")
 def edge_ids(spark, sf_dir):
     _, mem, meet = sample.store(spark, sf_dir)
-    return graph.edges(mem, meet, resolves=False).select("edge_id", "relationship")
+    return graph.edges(mem, meet).select("edge_id", "relationship")
 
 
-@query("neighbors_depth2", """SELECT node_id, min(d) AS distance FROM (SELECT 'technology:postgres' AS node_id, 0 AS d UNION ALL SELECT b, 1 FROM sym WHERE a = 'technology:postgres'
-  UNION ALL SELECT t.b, 2 FROM sym s JOIN sym t ON t.a = s.b WHERE s.a = 'technology:postgres') GROUP BY 1""", more=f"{GRAPH_SQL}, sym AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edge UNION SELECT target_id, source_id FROM edge)")
+@query("neighbors_depth2", "SELECT node_id, distance FROM near", more=f"{GRAPH_SQL}, {_ALL}, {_SYM.format('alle')}, {_NEAR.format('technology:postgres')}")
 def neighbors_depth2(spark, sf_dir):
     _, mem, meet = sample.store(spark, sf_dir)
-    return graph.neighbors(graph.structural_edges(mem, meet).withColumn("edge_id", F.lit("")), ["technology:postgres"], 2)
+    return graph.neighbors_of_all(mem, meet, ["technology:postgres"], 2)
 
 
-@query("connected_components", """SELECT content_hash, count(DISTINCT c) AS parts, count(*) AS n FROM (SELECT content_hash, sum(fresh) OVER (PARTITION BY content_hash ORDER BY meeting_date, meeting_id, memory_id) AS c
-  FROM (SELECT *, CASE WHEN lag(meeting_id) OVER (PARTITION BY content_hash ORDER BY meeting_date, meeting_id, memory_id) <> meeting_id THEN 0 ELSE 1 END AS fresh FROM mem)) GROUP BY 1""")
-def connected_components(spark, sf_dir):
+@query("related_people", "SELECT node_id, distance FROM near WHERE distance > 0 AND starts_with(node_id, 'person:')", more=f"{GRAPH_SQL}, {_SYM.format('edge')}, {_NEAR.format('customer:acme5')}")
+def related_people(spark, sf_dir):
     _, mem, meet = sample.store(spark, sf_dir)
-    node = mem.select(graph.memory_node().alias("node_id"), "content_hash")
-    e = graph.repeated_content_edges(mem, meet).withColumn("edge_id", F.lit(""))
-    found = graph.connected_components(node.select("node_id"), e)
-    return node.join(found, "node_id").groupBy("content_hash").agg(F.countDistinct("component").alias("parts"), F.count("*").alias("n"))
+    return graph.related(graph.structural_edges(mem, meet).withColumn("edge_id", F.lit("")), "customer:acme5", ("person",))
 
 
-# ---- the graph with edges of every kind: no SQL, as it would make every pair of resolves
+@query("related_memories", "SELECT node_id, distance FROM near WHERE distance > 0 AND split_part(node_id, ':', 1) IN ('decision', 'commitment', 'memory', 'risk', 'assumption', 'question', 'fact') ORDER BY node_id LIMIT 40", more=f"{GRAPH_SQL}, {_SYM.format('edge')}, {_NEAR.format('technology:kafka')}")
+def related_memories(spark, sf_dir):
+    """The first 40 by id, as the limit of related() has it."""
+    _, mem, meet = sample.store(spark, sf_dir)
+    return graph.related(graph.structural_edges(mem, meet).withColumn("edge_id", F.lit("")), "technology:kafka", graph.MEMORY_NODES, limit=40)
 
 
-@query("edge_summary_all")
-def edge_summary_all(spark, sf_dir):
+@query("outgoing_edges", f"SELECT {_EDGE} FROM edge WHERE source_id = 'project:atlas'", more=GRAPH_SQL)
+def outgoing_edges(spark, sf_dir):
     _, mem, meet = sample.store(spark, sf_dir)
-    total = graph.resolves_counts(mem, meet).agg(F.lit("resolves").alias("relationship"), F.sum("n").alias("n")).where("n > 0")
-    return graph.edges(mem, meet, resolves=False).groupBy("relationship").agg(F.count("*").alias("n")).unionByName(total)
+    return graph.outgoing(graph.structural_edges(mem, meet).withColumn("edge_id", F.lit("")), "project:atlas").drop("edge_id")
 
 
-@query("edge_ids_all")
-def edge_ids_all(spark, sf_dir):
+@query("incoming_edges", f"SELECT {_EDGE} FROM edge WHERE target_id = 'project:atlas'", more=GRAPH_SQL)
+def incoming_edges(spark, sf_dir):
     _, mem, meet = sample.store(spark, sf_dir)
-    return graph.edges(mem, meet).select("edge_id", "relationship")
+    return graph.incoming(graph.structural_edges(mem, meet).withColumn("edge_id", F.lit("")), "project:atlas").drop("edge_id")
 
 
-@query("neighbors_depth2_all")
-def neighbors_depth2_all(spark, sf_dir):
+@query("shortest_path", "SELECT unnest(range(0, 3)) AS place, unnest(p) AS node_id FROM (SELECT min([s.a, s.b, t.b]) AS p FROM sym s JOIN sym t ON t.a = s.b WHERE s.a = 'person:person1' AND t.b = 'project:borealis')", more=f"{GRAPH_SQL}, {_SYM.format('edge')}")
+def shortest_path(spark, sf_dir):
     _, mem, meet = sample.store(spark, sf_dir)
-    return graph.neighbors_of_all(mem, meet, ["technology:postgres"], 2)
+    path = graph.find_path(graph.structural_edges(mem, meet).withColumn("edge_id", F.lit("")), "person:person1", "project:borealis") or []
+    return spark.createDataFrame(list(enumerate(path)), "place long, node_id string")
+
+
+@query("supersession_lineages", "SELECT min(n) OVER (PARTITION BY start) AS component, n AS node_id, max(k) OVER (PARTITION BY start) - k AS position FROM (SELECT start, 'decision:' || tip AS n, k FROM wl)", more="""md AS (SELECT memory_id, superseded_by FROM mem WHERE memory_type = 'decision'),
+wl AS (SELECT memory_id AS start, memory_id AS tip, superseded_by AS nxt, CAST(1 AS BIGINT) AS k FROM md WHERE superseded_by IS NOT NULL AND memory_id NOT IN (SELECT superseded_by FROM md WHERE superseded_by IS NOT NULL)
+  UNION ALL SELECT w.start, d.memory_id, d.superseded_by, w.k + 1 FROM wl w JOIN md d ON d.memory_id = w.nxt)""", recursive=True)
+def supersession_lineages(spark, sf_dir):
+    return graph.lineages(graph.supersedes_edges(sample.store(spark, sf_dir)[1]))
+
+
+@query("connected_components", """SELECT content_hash, count(DISTINCT c) AS parts, count(*) AS n FROM (SELECT content_hash, sum(fresh) OVER (PARTITION BY content_hash ORDER BY meeting_date, meeting_id, memory_id) AS c
+  FROM (SELECT *, CASE WHEN lag(meeting_id) OVER (PARTITION BY content_hash ORDER BY meeting_date, meeting_id, memory_id) <> meeting_id THEN 0 ELSE 1 END AS fresh FROM mem)) GROUP BY 1""")
+def connected_components(spark, sf_dir):
+    _, mem, meet = sample.store(spark, sf_dir)
+    node = mem.select(graph.memory_node().alias("node_id"), "content_hash")
+    e = graph.repeated_content_edges(mem, meet).withColumn("edge_id", F.lit(""))
+    found = graph.connected_components(node.select("node_id"), e)
+    return node.join(found, "node_id").groupBy("content_hash").agg(F.countDistinct("component").alias("parts"), F.count("*").alias("n"))
+
+
+# the same under the names that they had when the shorter names stood for a part of the graph
+for _name in ("edge_summary", "edge_ids", "neighbors_depth2"):
+    query(f"{_name}_all", ORACLE_SQL[_name], base=False)(QUERIES[_name])
 
 
 @query("connected_components_all")
@@ -475,3 +509,126 @@ def graph_export_lines(spark, sf_dir):
 
     _, mem, meet = sample.store(spark, sf_dir)
     return dot_edges(graph.structural_edges(mem, meet))
+
+
+# ---- analysis over a part, evidence, checks and summaries
+
+
+@query("analysis_of_a_part", "SELECT memory_type, count(*) AS n FROM ctx WHERE responsible = 'Person1' AND memory_id IN (SELECT memory_id FROM ment WHERE entity_id = 'project:borealis') GROUP BY 1", more=GRAPH_SQL)
+def analysis_of_a_part(spark, sf_dir):
+    _, mem, meet = sample.store(spark, sf_dir)
+    return insight.context(mem, meet, person="Person1", project="Borealis").memories.groupBy("memory_type").agg(F.count("*").alias("n"))
+
+
+@query("replay_of_a_part", "SELECT meeting_id FROM meet WHERE date BETWEEN '2024-01-05' AND '2024-01-20' AND (contains(lower(title), 'cobalt') OR meeting_id IN (SELECT meeting_id FROM mem WHERE contains(lower(text), 'cobalt'))) AND (list_contains(participants, 'Person2') OR meeting_id IN (SELECT meeting_id FROM mem WHERE lower(speaker) = 'person2'))")
+def replay_of_a_part(spark, sf_dir):
+    from ..operators.replay import select_meetings
+
+    _, mem, meet = sample.store(spark, sf_dir)
+    return select_meetings(mem, meet, date_from="2024-01-05", date_to="2024-01-20", project="Cobalt", person="person2").select("meeting_id")
+
+
+@query("evidence", """SELECT insight_id, memory_id, meeting_id FROM ins JOIN ctx ON subject = memory_id WHERE type IN ('aging_commitment', 'overdue_commitment', 'unresolved_risk')
+  UNION ALL SELECT insight_id, memory_id, meeting_id FROM ins JOIN ctx ON subject = content_hash AND category = memory_type
+  UNION ALL SELECT insight_id, memory_id, meeting_id FROM ins JOIN ctx ON subject = responsible WHERE type = 'open_commitment_overload' AND memory_type = 'commitment' AND status = 'active'
+  UNION ALL SELECT insight_id, w.tip, d.meeting_id FROM ins JOIN (SELECT start, max_by(tip, k) AS latest FROM walk GROUP BY 1) c ON c.latest = ins.subject JOIN walk w ON w.start = c.start JOIN dec d ON d.memory_id = w.tip
+    WHERE type IN ('repeatedly_superseded_decision', 'long_running_decision')""", more=_MORE, recursive=True)
+def evidence(spark, sf_dir):
+    c, found = _insights(spark, sf_dir)
+    return insight.evidence(c, found)
+
+
+_DATED = "CASE WHEN memory_type = 'commitment' AND utterance_index % 4 = 0 THEN date ELSE due END"
+
+
+def _dated_context(spark, sf_dir):
+    """The context with some commitments due on their meeting's date; due phrases as extracted are no dates."""
+    _, mem, meet = sample.store(spark, sf_dir)
+    due = F.when((F.col("memory_type") == "commitment") & (F.col("utterance_index") % 4 == 0), F.col("meeting_date")).otherwise(F.col("due"))
+    return insight.context(mem.withColumn("due", due), meet)
+
+
+@query("overdue_commitments", f"""SELECT 'commitment-overdue-' || {_SLUG('memory_id')} AS insight_id, {_SEV('late', 1, 14, 45)} AS severity, CAST(late AS DOUBLE) AS metric FROM (
+  SELECT memory_id, {_DAYS('date', '(SELECT reference_date FROM ref)')} AS late FROM ctx WHERE memory_type = 'commitment' AND status = 'active' AND utterance_index % 4 = 0) WHERE late > 0""")
+def overdue_commitments(spark, sf_dir):
+    found = insight.commitment_insights(_dated_context(spark, sf_dir))[1]
+    return found.select("insight_id", "severity", "metric")
+
+
+@query("overdue_counts", f"SELECT count(*) AS total, count(*) FILTER (status = 'active' AND utterance_index % 4 = 0 AND {_OLD} > 0) AS overdue FROM ctx WHERE memory_type = 'commitment'")
+def overdue_counts(spark, sf_dir):
+    return insight.commitment_metrics(_dated_context(spark, sf_dir)).select("total", "overdue")
+
+
+@query("memory_problems", """SELECT memory_id, CASE WHEN utterance_index % 11 = 0 THEN 'unknown memory type' WHEN memory_type = 'risk' THEN 'confidence is outside 0..1' WHEN utterance_index % 7 = 0 THEN 'text is empty'
+  WHEN utterance_index % 5 = 0 THEN 'utterance index is out of range' END AS problem FROM mem""")
+def memory_problems(spark, sf_dir):
+    u, mem, _ = sample.store(spark, sf_dir)
+    k = F.col("utterance_index")
+    broken = mem.select(
+        "memory_id", "meeting_id", F.when(k % 11 == 0, "rumour").otherwise(F.col("memory_type")).alias("memory_type"), F.when(F.col("memory_type") == "risk", 1.5).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(k % 7 == 0, "  ").otherwise(F.col("text")).alias("text"), F.when(k % 5 == 0, -1).otherwise(k).alias("utterance_index"),
+    )
+    return extraction.problems(broken, u).select("memory_id", "problem")
+
+
+@query("meeting_problems", "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS meeting_id, p AS problem FROM (SELECT conv_id, 'speaker has no name' AS p FROM conversations WHERE turn % 5 = 3 UNION ALL SELECT conv_id, 'timestamp is repeated' FROM conversations GROUP BY conv_id, turn // 2 HAVING count(*) > 1)", base=False)
+def meeting_problems(spark, sf_dir):
+    u = conversation_utterances(spark, sf_dir)
+    k = F.col("utterance_index")
+    return extraction.meeting_problems(u.withColumns({"speaker": F.when(k % 5 == 3, " ").otherwise(F.col("speaker")), "timestamp": F.floor(k / 2)}))
+
+
+@query("explain_memory", """SELECT memory_id, round(score, 6) AS score, before, after FROM (SELECT m.memory_id, 0.3 + 0.15 + 0.2 * confidence + 0.15 + 0.1 * CASE status WHEN 'active' THEN 1.0 WHEN 'resolved' THEN 0.7 WHEN 'archived' THEN 0.5 WHEN 'superseded' THEN 0.3 ELSE 0.1 END + 0.1 AS score,
+  (SELECT string_agg(u.text, '|' ORDER BY u.utterance_index) FROM u WHERE u.meeting_id = m.meeting_id AND u.utterance_index BETWEEN m.utterance_index - 2 AND m.utterance_index - 1) AS before,
+  (SELECT string_agg(u.text, '|' ORDER BY u.utterance_index) FROM u WHERE u.meeting_id = m.meeting_id AND u.utterance_index BETWEEN m.utterance_index + 1 AND m.utterance_index + 2) AS after FROM mem m WHERE memory_id = (SELECT max(memory_id) FROM mem WHERE memory_type = 'decision'))""")
+def explain_memory(spark, sf_dir):
+    u, mem, meet = sample.store(spark, sf_dir)
+    last = mem.where("memory_type = 'decision'").agg(F.max("memory_id")).first()[0]
+    side = lambda c: F.nullif(F.array_join(F.transform(c, lambda x: x["text"]), "|"), F.lit("")).alias(c)
+    return retrieval.explain(mem, meet, u, last or "").select("memory_id", F.round("score", 6).alias("score"), side("before"), side("after"))
+
+
+@query("meeting_summaries", """SELECT meeting_id, line FROM (SELECT meeting_id, unnest(['## ' || coalesce(title, '(untitled)') || ' (' || meeting_id || ')', '- date: ' || coalesce(date, 'n/a'), '- participants: ' || coalesce(nullif(array_to_string(participants, ', '), ''), 'n/a'), '- memories: ' || CAST(n AS VARCHAR)]) AS line
+  FROM meet LEFT JOIN (SELECT meeting_id, count(*) AS n FROM mem GROUP BY 1) USING (meeting_id)) UNION ALL SELECT meeting_id, '  - [' || memory_type || '] ' || coalesce(speaker, '?') || ': ' || text FROM mem""")
+def meeting_summaries(spark, sf_dir):
+    from ..operators.exports import meeting_summaries
+
+    _, mem, meet = sample.store(spark, sf_dir)
+    return meeting_summaries(mem, meet).select("meeting_id", "line")
+
+
+@query("import_statuses", "SELECT CASE WHEN bad = 0 THEN 'success' WHEN bad < n THEN 'partial' ELSE 'failure' END AS status, n - bad AS success, CAST(0 AS BIGINT) AS skipped, bad AS failure FROM (SELECT count(*) AS n, count(*) FILTER (conv_id % 4 = 1) AS bad FROM (SELECT DISTINCT conv_id FROM conversations))", base=False)
+def import_statuses(spark, sf_dir):
+    """Every fourth file has a line before any turn."""
+    import tempfile
+
+    from ..operators.store import Store
+    from ..sources.transcripts import problems
+    from ..streaming.ingest import import_results, import_status
+
+    files = sample.conversation_files(spark, sf_dir, formats=("txt",))
+    files = files.withColumn("content", F.when(F.col("conv_id") % 4 == 1, F.concat(F.lit("prose first\n"), "content")).otherwise(F.col("content")))
+    return import_status(import_results(files, Store(spark, tempfile.gettempdir() + "/no-such-store"), problems(files)))
+
+
+# ---- transcript files of three formats, made from conversations
+
+_PARSED = """f AS (SELECT conv_id, turn, role, trim(regexp_replace(replace(replace(text, ':', ' '), '"', ' '), '\\s+', ' ', 'g')) AS t, conv_id % 3 AS k FROM conversations),
+p AS (SELECT 'conv' || CAST(conv_id AS VARCHAR) AS meeting_id, CASE WHEN k < 2 THEN 'Talk ' || CAST(conv_id AS VARCHAR) END AS title, CASE WHEN k < 2 THEN '2024-02-03' END AS meeting_date,
+  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS utterance_index, role AS speaker, CASE WHEN k < 2 THEN CAST(turn * 7 AS DOUBLE) END AS timestamp, t AS text FROM f)"""
+
+
+@query("parsed_transcripts", f"WITH {_PARSED} SELECT * FROM p", base=False)
+def parsed_transcripts(spark, sf_dir):
+    from ..sources.transcripts import parse
+
+    return parse(sample.conversation_files(spark, sf_dir)).select("meeting_id", "title", "meeting_date", "utterance_index", "speaker", "timestamp", "text")
+
+
+@query("meeting_durations", f"WITH {_PARSED} SELECT meeting_id, max(timestamp) - min(timestamp) AS duration_seconds, list_sort(list(DISTINCT speaker))::VARCHAR AS participants FROM p GROUP BY 1", base=False)
+def meeting_durations(spark, sf_dir):
+    from ..sources.transcripts import meetings_of, parse
+
+    m = meetings_of(parse(sample.conversation_files(spark, sf_dir)))
+    return m.select("meeting_id", "duration_seconds", F.concat(F.lit("["), F.array_join("participants", ", "), F.lit("]")).alias("participants"))

@@ -29,11 +29,41 @@ def with_lifecycle(memories: DataFrame) -> DataFrame:
     return rows.withColumns({"superseded_by": later, "updated_at": updated, "metadata": meta})
 
 
+_STORES: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
 def store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(utterances, memories, meetings)."""
-    u = event_utterances(spark, sf_dir)
-    # queries read the store several times, and one session asks many of them
-    return u, with_lifecycle(extract(u)).persist(StorageLevel.MEMORY_AND_DISK), meetings(u).persist(StorageLevel.MEMORY_AND_DISK)
+    """(utterances, memories, meetings).
+
+    Queries read the store several times, and one session asks many of them, so it is kept once a session and folder.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        u = event_utterances(spark, sf_dir)
+        _STORES[key] = u, with_lifecycle(extract(u)).persist(StorageLevel.MEMORY_AND_DISK), meetings(u).persist(StorageLevel.MEMORY_AND_DISK)
+    return _STORES[key]
+
+
+def conversation_files(spark: SparkSession, sf_dir: str, formats: tuple[str, ...] = ("txt", "json", "csv")) -> DataFrame:
+    """A transcript file (path, content, transcript_hash, format, conv_id) for each conversation, in turn of each format.
+
+    Colons and quotes in what is said become blanks, as a colon in a continuation line may begin a turn.
+    """
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("said", F.translate("text", ':"', "  "))
+    turn = F.struct("turn", "role", "said")
+    per = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    title = F.concat(F.lit("Talk "), F.col("conv_id").cast("string"))
+    stamp = lambda x: F.format_string("[%02d:%02d:%02d]", F.floor(x["turn"] * 7 / 3600), F.floor(x["turn"] * 7 / 60) % 60, x["turn"] * 7 % 60)
+    lines = F.array_join(F.transform("turns", lambda x: F.concat(stamp(x), F.lit(" "), x["role"], F.lit(": "), x["said"])), "\n")
+    text = F.concat(F.lit("---\nTitle: "), title, F.lit("\ndate: 2024-02-03\n---\n"), lines)
+    heard = F.transform("turns", lambda x: F.struct(x["role"].alias("name"), x["said"].alias("content"), (x["turn"] * 7).alias("time")))
+    js = F.to_json(F.struct(title.alias("title"), F.lit("2024-02-03").alias("date"), heard.alias("utterances")))
+    cells = F.concat(F.lit("Owner,Action\n"), F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit(',"'), x["said"], F.lit('"'))), "\n"))
+    kind = F.array(*map(F.lit, formats))[(F.col("conv_id") % len(formats)).cast("int")]
+    content = F.when(kind == "txt", text).when(kind == "json", js).otherwise(cells)
+    named = per.select("conv_id", F.concat(F.lit("/talks/conv"), F.col("conv_id").cast("string"), F.lit("."), kind).alias("path"), content.alias("content"), kind.alias("_kind"))
+    known = F.create_map(*[x for k, v in {"txt": "text", "json": "json", "csv": "csv"}.items() for x in (F.lit(k), F.lit(v))])
+    return named.select("path", "content", F.sha2("content", 256).alias("transcript_hash"), known[F.col("_kind")].alias("format"), "conv_id")
 
 
 def _hits(kind: str) -> str:

@@ -7,7 +7,7 @@ parsed gives one row in problems(), not a failed job.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -135,7 +135,10 @@ def parse(files: DataFrame) -> DataFrame:
     text = framed.where("format = 'text'").unionByName(_markdown(framed.where("format = 'markdown'")))
     turns = _folded(_turn_lines(text))
     bad = turns.where("turn = 0").select("path")
-    return _finished(turns.join(bad, "path", "left_anti")).unionByName(_json(files.where("format = 'json'"))).unionByName(_csv(files.where("format = 'csv'")))
+    out = _finished(turns.join(bad, "path", "left_anti")).unionByName(_json(files.where("format = 'json'"))).unionByName(_csv(files.where("format = 'csv'")))
+    for name, reader in READERS.items():
+        out = out.unionByName(reader(files.where(F.col("format") == name)).select(*out.columns))
+    return out
 
 
 def problems(files: DataFrame) -> DataFrame:
@@ -146,6 +149,9 @@ def problems(files: DataFrame) -> DataFrame:
     date = F.col("fields")["date"]
     dates = framed.where(date.isNotNull() & F.try_to_date(date, "yyyy-MM-dd").isNull()).select("path", F.lit("date is not YYYY-MM-DD").alias("problem"))
     unknown = files.where("format is null").select("path", F.lit("unknown format").alias("problem"))
+    unread = unread.unionByName(files.where(~F.is_valid_utf8("content")).select("path", F.lit("not UTF-8").alias("problem")))
+    stamps = files.where("format = 'json'").where(F.col("content").rlike(r'"(?:' + "|".join(TIME_KEYS) + r')"\s*:\s*(?:true|false)\b')).select("path", F.lit("a timestamp is a truth value").alias("problem"))
+    unread = unread.unionByName(stamps)
     return framed.where("problem is not null").select("path", "problem").unionByName(early).unionByName(unread).unionByName(dates).unionByName(unknown)
 
 
@@ -165,12 +171,20 @@ def _json(files: DataFrame) -> DataFrame:
     )
 
 
+#: A CSV record, and a cell with the comma behind it. Possessive, so that they are read in one go whatever their length.
+RECORD = r'[^"\n]*+(?:"[^"]*+(?:"|\z)[^"\n]*+)*+(?:\n|\z)'
+CELL = r'[^",]*+(?:"[^"]*+(?:"|\z)[^",]*+)*+(?:,|\z)'
+
+
 def _csv(files: DataFrame) -> DataFrame:
     """Rows `owner, text` under a header whose names are looked up without regard to case; a quoted field may hold
-    commas and newlines, so records are cut at newlines outside quotes."""
-    records = F.split(normalize_newlines(F.col("content")), r'\n(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    cells = lambda x: F.transform(F.split(x, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.trim(F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"'))))
-    rows = files.select("path", "transcript_hash", F.transform(cells(F.element_at(records, 1)), lambda c: F.lower(c)).alias("h"), F.posexplode(records).alias("p", "r")).where("p > 0")
+    commas and newlines."""
+    records = F.regexp_extract_all(normalize_newlines(F.col("content")), F.lit(RECORD), F.lit(0))
+    bare = lambda c: F.trim(F.replace(F.regexp_replace(F.trim(F.regexp_replace(c, r",\z", "")), '^"|"$', ""), F.lit('""'), F.lit('"')))
+    cells = lambda x: F.transform(F.regexp_extract_all(F.regexp_replace(x, r"\n\z", ""), F.lit(CELL), F.lit(0)), bare)
+    rows = files.select("path", "transcript_hash", F.posexplode(records).alias("p", "r"))
+    heads = files.select("path", F.transform(cells(F.regexp_extract(normalize_newlines(F.col("content")), RECORD, 0)), lambda c: F.lower(c)).alias("h"))
+    rows = rows.where("p > 0").join(heads, "path")
     rows = rows.withColumn("c", cells(F.col("r")))
     pick = lambda names: F.coalesce(*[F.nullif(F.when(F.array_position("h", n) > 0, F.get("c", (F.array_position("h", n) - 1).cast("int"))), F.lit("")) for n in names])
     rows = rows.withColumns({"who": pick(OWNER_COLUMNS), "said": pick(BODY_COLUMNS)}).where("who is not null and said is not null")
@@ -179,6 +193,24 @@ def _csv(files: DataFrame) -> DataFrame:
     return rows.select(derive_meeting_id(F.col("path"), none).alias("meeting_id"), none.alias("title"), none.alias("meeting_date"), F.create_map().cast("map<string,string>").alias("extra"), normalize_speaker(F.col("who")).alias("speaker"), place.cast("int").alias("utterance_index"), F.lit(None).cast("double").alias("timestamp"), normalize_whitespace(F.col("said")).alias("text"), "path", "transcript_hash")
 
 
+def aliases(files: DataFrame) -> DataFrame:
+    """(path, speaker, aliases): the labels as written that stand for each speaker of text and Markdown files."""
+    framed = _front_matter(files.where("format in ('text', 'markdown')"))
+    text = framed.where("format = 'text'").unionByName(_markdown(framed.where("format = 'markdown'")))
+    said = _turn_lines(text).where("is_turn").select("path", normalize_speaker(F.col("who")).alias("speaker"), "who")
+    return said.groupBy("path", "speaker").agg(F.array_sort(F.collect_set("who")).alias("aliases"))
+
+
+#: Parsers by format, each a function from files (path, content, transcript_hash, format) to utterances. Add one's own here.
+READERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register(ending: str, name: str, reader: Callable[[DataFrame], DataFrame]) -> None:
+    """Files with this ending are read by this parser from now on."""
+    FORMATS[ending.lower().lstrip(".")] = name
+    READERS[name] = reader
+
+
 def meetings_of(utterances: DataFrame) -> DataFrame:
     """A row a meeting: its head, its length in seconds (0 for one timestamp, null for none) and its participants."""
     return utterances.groupBy("meeting_id").agg(

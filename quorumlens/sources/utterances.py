@@ -27,7 +27,9 @@ FROM (SELECT event_id, ts, event_type, CAST(user_id % 5 AS INT) AS team, CAST(ev
 
 
 def event_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(UTTERANCES_SQL.replace("{events}", "{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """Dealt by meeting, so that what follows (extraction, windows in a meeting) runs in all tasks and without a shuffle."""
+    rows = spark.sql(UTTERANCES_SQL, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "meeting_id")
 
 
 def conversation_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:

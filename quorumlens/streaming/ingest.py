@@ -24,12 +24,28 @@ def import_files(files: DataFrame, store: Store, now: str, min_confidence: float
     stamp = F.lit(now)
     found = extract(utterances, min_confidence=min_confidence, deduplicate=dedup).withColumns({"status": F.lit("active"), "created_at": stamp, "updated_at": stamp, "superseded_by": F.lit(None).cast("string")})
     if dedup:
-        found = deduplicate(found)
+        found = deduplicate(found, stored=store.memories() if store._there("memories") else None)
     store.append("memories", found.drop("extra"), "memory_id")
     store.append("meetings", meetings_of(utterances).withColumn("created_at", stamp), "meeting_id")
     utterances.unpersist()
 
 
+def import_results(files: DataFrame, store: Store, wrong: DataFrame) -> DataFrame:
+    """(path, status, detail) of files before they are imported: skipped (known), failure (in problems()) or success."""
+    known = store.meetings().select("transcript_hash", F.lit(True).alias("_known")).distinct() if store._there("meetings") else None
+    rows = files.select("path", "transcript_hash").join(wrong.groupBy("path").agg(F.min("problem").alias("detail")), "path", "left")
+    rows = rows.withColumn("_known", F.lit(None).cast("boolean")) if known is None else rows.join(known, "transcript_hash", "left")
+    status = F.when(F.col("_known"), "skipped").when(F.col("detail").isNotNull(), "failure").otherwise("success")
+    return rows.select("path", status.alias("status"), F.when(status == "failure", F.col("detail")).alias("detail"))
+
+
+def import_status(results: DataFrame) -> DataFrame:
+    """One row (status, success, skipped, failure): partial if some files failed, failure if all did."""
+    n = results.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("success", "skipped", "failure")])
+    good = F.col("success") + F.col("skipped")
+    return n.select(F.when(F.col("failure") == 0, "success").when(good > 0, "partial").otherwise("failure").alias("status"), "success", "skipped", "failure")
+
+
 def watch(spark: SparkSession, folder: str, store: Store, checkpoint: str, now: str) -> StreamingQuery:
     """Import what is new in a folder, then stop; run again for what came since."""
     lines = spark.readStream.format("text").option("wholetext", True).load(folder)

@@ -141,8 +141,9 @@ def test_store_queries(small):
     assert ids(date_from="2026-02-01", date_to="2026-02-28") == ["c1", "d2"] and ids(limit=2, offset=1) == ["c2", "d1"]
     with pytest.raises(ValueError, match="order"):
         ids(order_by="colour")
-    assert store.deduplicate(mem.where("memory_type = 'risk'")).count() == 1
-    close = mem.where("memory_type = 'risk'").withColumn("confidence", F.when(F.col("memory_id") == "r2", 0.9).otherwise(0.6))
+    risks = mem.where("memory_type = 'risk'")  # one content in two meetings, which are not compared
+    assert store.deduplicate(risks).count() == 2 and store.deduplicate(risks.withColumn("meeting_id", F.lit("m1"))).count() == 1
+    close = risks.withColumn("meeting_id", F.lit("m1")).withColumn("confidence", F.when(F.col("memory_id") == "r2", 0.9).otherwise(0.6))
     assert store.deduplicate(close, 0.1).count() == 2 and store.deduplicate(close, 0.5).count() == 1
 
 
