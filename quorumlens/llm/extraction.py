@@ -25,20 +25,20 @@ def host_of(url: str = "url"):
 
 def layout_of(html):
     """The structural elements that a page uses, in order of first use."""
-    return F.array_join(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(html, F.lit(""))), F.lit(LAYOUT), F.lit(1))), ">")
+    return F.lower(F.array_join(F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LAYOUT), F.lit(1))), ">"))
 
 
 def templates(rows: DataFrame) -> DataFrame:
     """A table (_host, _layout, _group, _template, _regions) for all hosts and layouts of rows (_host, _layout, _html).
 
     The reference of a layout is its least page by hash. A layout that has one different page only takes the template
-    of the host's most frequent layout, of equals the least; _group names that layout.
+    of the host's most frequent layout, of equals the last by name; _group names that layout.
     """
     hashed = rows.select("_host", "_layout", "_html", F.xxhash64("_html").alias("_hash"))
-    sizes = hashed.select("_host", "_layout", "_hash").distinct().groupBy("_host", "_layout").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("_host").agg(F.max_by("_layout", F.struct("n", "_layout")).alias("_most"))
-    groups = sizes.join(most, "_host").select("_host", "_layout", F.when(F.col("n") > 1, F.col("_layout")).otherwise(F.col("_most")).alias("_group"))
-    references = hashed.groupBy("_host", "_layout").agg(F.min_by("_html", "_hash").alias("_html"))
+    found = hashed.groupBy("_host", "_layout").agg(F.count("*").alias("n"), (F.min("_hash") < F.max("_hash")).alias("_several"), F.min_by("_html", "_hash").alias("_html"))
+    found = materialize(found, "references")
+    most = found.groupBy("_host").agg(F.max_by("_layout", F.struct("_several", "n", "_layout")).alias("_most"))
+    groups = found.join(most, "_host").select("_host", "_layout", F.when(F.col("_several"), F.col("_layout")).otherwise(F.col("_most")).alias("_group"))
 
     def induce(parts: Iterator) -> Iterator:
         import pyarrow as pa
@@ -50,16 +50,17 @@ def templates(rows: DataFrame) -> DataFrame:
             text = [json.dumps([t.labels, t.children]) for t in made]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(regions, pa.list_(kinds))], names=["_host", "_group", "_template", "_regions"])
 
-    made = references.select("_host", "_layout", "_html").mapInArrow(induce, f"_host string, _group string, _template string, _regions {REGIONS}")
-    return materialize(materialize(groups, "layouts").join(materialize(made, "references"), ["_host", "_group"]), "page_templates")
+    made = found.select("_host", "_layout", "_html").mapInArrow(induce, f"_host string, _group string, _template string, _regions {REGIONS}")
+    return materialize(materialize(groups, "layouts").join(materialize(made, "induced"), ["_host", "_group"]), "page_templates")
 
 
 def aligned_blocks(rows: DataFrame, induced_from: DataFrame) -> DataFrame:
-    """A table of rows (_row, _host, _layout, _html) and templates() with _row, _host, _group, _page (a hash of the page's blocks) and _blocks: all of them,
-    aligned.
+    """A table of rows (_row, _host, _layout, _html) and templates() with _row, _host, _group, _page (a hash of the page's
+    blocks) and _blocks: all of them, aligned.
 
     at: the slot of the block's element, or of the nearest one above it that was matched; listed: it stands in a
-    menu, advert or the like, by element, class, id, role and hiding; main: in an article or main element.
+    menu, advert or the like, by element, class, id, role and hiding, and has no text here; main: in an article or main
+    element.
     """
     # the templates are a table of known size: the join broadcasts them only if they are small
     joined = rows.join(induced_from.drop("_regions"), ["_host", "_layout"], "left").select("_row", "_host", "_group", "_html", "_template")
@@ -85,8 +86,10 @@ def aligned_blocks(rows: DataFrame, induced_from: DataFrame) -> DataFrame:
                     page = dom.parse(html_)
                     known[template].align(page)
                     blocks = [{"at": n.at(), "hash": signed(t.encode("utf-8", "replace")), "listed": n.outside or (n.header and n.tag not in dom.HEADINGS), "main": n.main, "text": t} for n, t in page.blocks]
+                    for b in blocks:  # what is listed is never content
+                        b["text"] = None if b["listed"] else b["text"]
                     found.append(blocks)
-                    ids.append(signed("\n".join(b["text"] for b in blocks).encode("utf-8", "replace")))
+                    ids.append(signed(b",".join(b["hash"].to_bytes(8, "little", signed=True) for b in blocks)))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(ids, pa.int64()), pa.array(found, block)], names=["_row", "_host", "_group", "_page", "_blocks"])
 
     return materialize(joined.mapInArrow(parse, schema), "blocks")
@@ -99,7 +102,9 @@ def induced(parsed: DataFrame, regions: DataFrame, share: float = 0.8, least_pag
     least_pages of them. The region is the deepest container that holds more than half of the varying text, with
     first and last slot; listed blocks do not count for it, and where it is the whole body it is null.
     """
-    key = ["_host", "_group"]
+    # 128 bits instead of two names in every counted row
+    key, names = ["_key0", "_key1"], {f"_key{i}": F.xxhash64(F.lit(i), "_host", "_group") for i in (0, 1)}
+    parsed, regions = parsed.withColumns(names), regions.withColumns(names)
     different = parsed.select(*key, "_page").distinct().groupBy(*key).agg(F.count("*").alias("pages"))
     each = F.transform("_blocks", lambda b: F.struct(b["at"].alias("at"), b["hash"].alias("hash"), b["listed"].alias("listed"), F.char_length(b["text"]).alias("chars")))
     seen = parsed.select(*key, "_page", F.explode(F.array_distinct(each)).alias("b")).distinct()  # copies of a page count once
@@ -113,7 +118,7 @@ def induced(parsed: DataFrame, regions: DataFrame, share: float = 0.8, least_pag
     whole = sums.where("r.slot = 0").select(*key, F.col("chars").alias("all"))
     best = sums.join(whole, key).where("chars * 2 > all").groupBy(*key).agg(F.max_by("r", F.struct("r.depth", "r.slot")).alias("_region"))
     region = best.select(*key, F.when(~F.col("_region.whole"), F.struct("_region.slot", "_region.end")).alias("_region"))
-    return materialize(regions.select(*key).join(fixed, key, "left").join(region, key, "left"), "wrappers")
+    return materialize(regions.select("_host", "_group", *key).join(fixed, key, "left").join(region, key, "left").drop(*key), "wrappers")
 
 
 def content_of(blocks, constant, region):
