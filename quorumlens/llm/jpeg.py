@@ -7,6 +7,7 @@ bits are u itself. One successive-approximation step sends seven of them first a
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from dataclasses import dataclass, field
@@ -22,6 +23,8 @@ _K = np.arange(8)
 #: Rows are frequencies: samples = DCT.T @ coefficients @ DCT.
 DCT = (np.cos((2 * _K[None, :] + 1) * _K[:, None] * np.pi / 16) * np.where(_K == 0, np.sqrt(0.125), 0.5)[:, None]).astype(np.float32)
 BLOCK_BYTES = 63
+#: MCUs of 16 pixels in a row or column, as a side has at most 65,535 pixels.
+MOST_MCUS = 4095
 #: What ends a scan: any marker but a stuffed byte or a restart.
 MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
@@ -66,13 +69,21 @@ def _refinement(u: np.ndarray) -> tuple[bytes, bytes]:
     return bytes(symbols), _filled(np.concatenate(bits))
 
 
+def _grid(mcus: int) -> tuple[int, int]:
+    """Columns and rows that hold so many MCUs: as near to a square as leaves at most one in 32 places empty."""
+    root = math.isqrt(mcus - 1) + 1
+    if root > MOST_MCUS:
+        raise ValueError("the payload does not fit one image")
+    for high in range(root, 0, -1):
+        wide = -(-mcus // high)
+        if wide <= MOST_MCUS and wide * high - mcus <= mcus // 32:
+            return wide, high
+    return root, -(-mcus // root)
+
+
 def encode_bytes(payload: bytes) -> bytes:
     """A 4:2:0 progressive JPEG whose AC coefficients carry the payload; its length stands in a comment segment."""
-    mcus = max(1, -(-len(payload) // (6 * BLOCK_BYTES)))
-    wide = int(np.ceil(np.sqrt(mcus)))
-    high = -(-mcus // wide)
-    if wide > 4095:
-        raise ValueError("the payload does not fit one image")
+    wide, high = _grid(max(1, -(-len(payload) // (6 * BLOCK_BYTES))))
     n = wide * high
     u = np.full(n * 6 * BLOCK_BYTES, 255, np.uint8)
     u[: len(payload)] = np.frombuffer(payload, np.uint8)
