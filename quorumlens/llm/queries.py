@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, idstore, language, media, mixing, neardup, packing, quality, secrets, sharding
+from . import extraction, idstore, language, media, mixing, neardup, packing, quality, resampling, secrets, sharding, transducer, whitening
 
 QUERIES = {
     "op1_wrapper_induction": extraction.op1_wrapper_induction,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_language_profiles": language.op8_language_profiles,
     "op9_line_quality": quality.op9_line_quality,
     "op10_soft_mixing": mixing.op10_soft_mixing,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_token_transducer": transducer.op12_token_transducer,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLE_SQL = {
     "op2_secret_ledger": secrets.OP2_SQL,
     "op6_similarity_sketch": neardup.OP6_SQL,
     "op9_line_quality": quality.OP9_SQL,
+    "op11_importance_resampling": resampling.OP11_SQL,
 }

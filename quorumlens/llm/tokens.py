@@ -23,10 +23,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class _Known:
     """Strings that were seen, in an Arrow array, and the id sequence of each."""
 
-    def __init__(self):
+    def __init__(self, kind: str = "string"):
         import pyarrow as pa
 
-        self.strings = pa.array([], pa.string())
+        self.strings = pa.array([], kind)
         self.store, self.used = np.zeros(1 << 16, np.uint32), 0
         self.offset, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
