@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -10,8 +11,10 @@ import numpy as np
 
 #: Ends each document; an ordinary id of word_bpe_49k.json.
 END_ID = 2
-#: Marks that may follow a word in its chunk; none of them composes or changes case with its neighbours.
+#: Marks that may follow a word in its chunk. They are ASCII, so none composes with what stands before it or changes case.
 _TAIL = "#*$%&|<>.,;:!?)]}\"-_=+~^/"
+#: How texts are cut behind the normalizer: contractions, runs of letters, single numbers, runs of marks; white space goes.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -64,28 +67,50 @@ class _Known:
         return codes[numbered.indices.to_numpy(zero_copy_only=False)]
 
 
+def _steps(part: dict | None, name: str) -> list[dict]:
+    return [] if not part else part[name] if part["type"] == "Sequence" else [part]
+
+
+def parts_at_spaces(spec: dict) -> bool:
+    """Whether a vocabulary file's texts may be cut at spaces: what it normalizes, splits and adds never crosses one.
+
+    NFC composes nothing with a space, lower case is by character, runs of white space become one and are dropped by
+    WORDS, which has no piece with white space in it; no added token holds white space or looks at its neighbours.
+    """
+    calm = [{"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}]
+    cut = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+    split = [{k: v for k, v in step.items() if k != "trim_offsets"} for step in _steps(spec.get("pre_tokenizer"), "pretokenizers")]
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(map(str.isspace, t["content"]))) for t in spec.get("added_tokens", []))
+    return plain and all(step in calm for step in _steps(spec.get("normalizer"), "normalizers")) and split == [cut, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+
+
 class Encoder:
     """The ids of whole texts, each followed by the end id.
 
-    The tokenizer normalises and splits texts in a way that never crosses a space (which is checked for the file),
-    so a text's ids are those of its space-separated chunks in order. Arrow splits texts and numbers the distinct
-    chunks of a batch. A chunk of letters with marks behind is a word and a tail, A-Z in lower case. The tokenizer
-    sees each word and tail once while it is known; all are forgotten as they come to more than `keep` chunks or
-    keep_bytes bytes.
+    The vocabulary file's normalizer and splitter never cross a space (parts_at_spaces() reads them), so a text's ids
+    are those of its space-separated chunks in order. Arrow splits texts and numbers the distinct chunks of a batch. A
+    chunk of letters with marks behind is a word and a tail, if the word still ends in a letter when it is normalized.
+    ASCII chunks are put in lower case, so that fewer are distinct. Chunks that hold an added token, in any case of its
+    letters, are neither cut nor changed. The tokenizer sees each word and tail once while it is known; all are
+    forgotten as they come to more than `keep` chunks or keep_bytes bytes.
     """
 
     def __init__(self, path: str, keep: int = 1_000_000, keep_bytes: int = 30_000_000, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if not parts_at_spaces(spec):
+            raise ValueError("this tokenizer does not part texts at spaces")
         self.tokenizer, self.keep, self.keep_bytes, self.end_id = Tokenizer.from_file(path), keep, keep_bytes, end_id
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.lower = {"type": "Lowercase"} in _steps(spec.get("normalizer"), "normalizers")
         vocab = self.tokenizer.get_vocab()
         self.largest = max(vocab.values(), default=0)
         self.ends = np.zeros(self.largest + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        probe = ["ab", ".,", "It's", "x1", "é"]
-        if self._each([" ".join(probe)])[0].tolist() != self._each(probe)[0].tolist():
-            raise ValueError("this tokenizer does not part texts at spaces")
+        self._letters: dict[str, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -126,13 +151,33 @@ class Encoder:
         both.add(new.slice(0, 0), np.concatenate([*found, ids]), np.concatenate([*sizes, n]))
         return both.ids(order)
 
+    def _ends_in_letter(self, word: str) -> bool:
+        """Whether a word as the tokenizer normalizes it ends in what it takes for a letter."""
+        normalizer = self.tokenizer.normalizer
+        last = (normalizer.normalize_str(word) if normalizer else word)[-1:]
+        if last not in self._letters:
+            self._letters[last] = bool(last) and len(self.tokenizer.pre_tokenizer.pre_tokenize_str("a" + last)) == 1
+        return self._letters[last]
+
     def _encode_chunks(self, new) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        new = pc.ascii_lower(new)
+        ascii_only = pc.string_is_ascii(new)
+        special = pa.array(np.zeros(len(new), bool))
+        for token in self.added:
+            special = pc.or_(special, pc.match_substring(new, token, ignore_case=True))
+        if self.lower:
+            new = pc.if_else(pc.and_not(ascii_only, special), pc.ascii_lower(new), new)
         words = pc.utf8_rtrim(new, characters=_TAIL)
         split = pc.and_(pc.utf8_is_alpha(words), pc.less(pc.binary_length(words), pc.binary_length(new)))
+        split = pc.and_not(split, special)
+        doubtful = pc.and_not(split, ascii_only)
+        if pc.any(doubtful).as_py():
+            fine = split.to_numpy(zero_copy_only=False).copy()
+            at = np.flatnonzero(doubtful.to_numpy(zero_copy_only=False))
+            fine[at] = np.fromiter(map(self._ends_in_letter, words.filter(doubtful).to_pylist()), bool, len(at))
+            split = pa.array(fine)
         # words and tails in turn, from the bytes of the chunks; a chunk that is not parted has an empty tail
         size = pc.binary_length(new).to_numpy(zero_copy_only=False).astype(np.int64)
         begin = np.cumsum(size) - size
