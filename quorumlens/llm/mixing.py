@@ -7,10 +7,10 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, materialize, text_or_empty
+from .common import SPACE, let, materialize, ordered_blocks, prefix_totals, text_or_empty
 
 #: A mark is a run of signs that ordinary prose does not use.
 MARKS = r"""[^\p{L}\p{N}\s.,;:'"()\-]+"""
@@ -168,11 +168,46 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | Calla
 
 
 def copies(rate: Column, key: Column) -> Column:
-    """How many copies of a row a mixture takes: the rate rounded up or down by the row's hash, on average the rate."""
+    """How many copies of a row a mixture takes: the rate rounded up or down by the row's hash, on average the rate.
+
+    A row needs no other to be rounded, but sums miss by the root of what they add; systematic_copies() does not.
+    """
     draw = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return F.floor(rate + draw).cast("int")
 
 
+def systematic_copies(rated: DataFrame, ties: Sequence[str] = ("doc_id",), unit: int = 1_000_000) -> DataFrame:
+    """Rows of mix() with copies, the rate rounded up or down so that sums of copies stay next to sums of rates.
+
+    Rows are brought in order of their likeliest domain, then their tokens. The rates are summed along it, and a row has
+    as many copies as whole numbers that its own part of the sum takes it past, half a copy being given at the start. So any
+    run of rows has its rates' sum of copies but for one, and as neighbours have equal tokens or nearly, a domain's
+    tokens miss the target by no more than about one document. Rates count in steps of 1 / unit. Rows equal in all of
+    this and in ties may be told apart in any order; an empty table gives no rows.
+    """
+    columns = [c for c in rated.columns if c != "copies"]
+    likeliest = F.array_position(F.map_values("domains"), F.array_max(F.map_values("domains")))
+    order = ["_domain", "_size", *[f"_tie{i}" for i in range(len(ties))]]
+    rows = rated.select(F.struct(*columns).alias("row"), F.coalesce(likeliest, F.lit(0)).alias("_domain"), F.col("n_tokens").alias("_size"), *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(ties)], F.round(F.col("rate") * unit).cast("long").alias("_part"))
+    blocks = ordered_blocks(rows, order, "by_domain")
+    before = materialize(prefix_totals(blocks.groupBy("_block").agg(F.sum("_part").alias("part")), "_block", ["part"]), "rates_before")
+    inside = F.sum("_part").over(Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    end = F.col("_inside") + F.col("before_part") + F.lit(unit // 2)
+    whole = lambda x: F.floor(x / F.lit(unit))
+    summed = blocks.withColumn("_inside", inside).join(before, "_block")
+    out = summed.select("row.*", (whole(end) - whole(end - F.col("_part"))).cast("int").alias("copies"))
+    return out
+
+
+def admitted(rate: Column, least: float = 0.01) -> Column:
+    """Whether the fitted mixture holds a row at all, where a document is kept or not: its rate is not nothing.
+
+    The fit sets the rates of documents whose tokens would go to domains that are wanted at nothing to 0, and leaves no
+    choice to chance.
+    """
+    return rate >= least
+
+
 def kept_whole(domain: str, domains: Column, rate: Column) -> Column:
     """Whether a row of mix() stays, once, where a document is kept or not: if it is of the domain more likely than not.
 
@@ -194,5 +229,6 @@ def op10_soft_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = mix(docs, labels, lambda have: {d: SHARES.get(d, 0.0) * sum(have.values()) for d in have}, keep=["doc_id"])
+    error, out = out.mixing_error, systematic_copies(out)
     posterior = [F.round(F.coalesce(F.col("domains")[d], F.lit(0.0)), 9).alias(f"p_{d}") for d in sorted(SHARES)]
-    return out.select("doc_id", "n_tokens", *posterior, F.round("rate", 9).alias("rate"), copies(F.col("rate"), F.col("doc_id")).alias("copies"), F.lit(round(out.mixing_error, 9)).alias("mixing_error"))
+    return out.select("doc_id", "n_tokens", *posterior, F.round("rate", 9).alias("rate"), "copies", F.lit(round(error, 9)).alias("mixing_error"))

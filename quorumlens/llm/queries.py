@@ -22,6 +22,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_secret_ledger": secrets.OP2_SQL,
+    "op5_hilbert_shards": sharding.OP5_SQL,
     "op6_similarity_sketch": neardup.OP6_SQL,
     "op9_line_quality": quality.OP9_SQL,
     "op11_importance_resampling": resampling.OP11_SQL,

@@ -158,3 +158,47 @@ def op5_hilbert_shards(spark, sf_dir: str) -> DataFrame:
     return out.join(F.broadcast(ranges), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", *[f"{e}_{c}" for c in DIMS for e in ("low", "high")]
     )
+
+
+def _hilbert_sql(bits: int, dims: int) -> str:
+    """CTEs h0, h1, ... that turn x0, x1, ... of cells into their place on the curve, one CTE a step of hilbert_index()."""
+    steps, at = ["h0 AS (SELECT * FROM cells)"], 0
+    others = lambda i: [f"x{j}" for j in range(dims) if j not in (0, i)]
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(dims):
+            swap = f"xor(x0, x{i}) & {q - 1}"
+            new = [f"xor(x0, CASE WHEN x{i} & {q} <> 0 THEN {q - 1} ELSE {swap} END) AS x0", *([f"xor(x{i}, CASE WHEN x{i} & {q} <> 0 THEN 0 ELSE {swap} END) AS x{i}"] if i else [])]
+            steps.append(f"h{at + 1} AS (SELECT * EXCLUDE ({', '.join(f'x{j}' for j in range(dims))}), {', '.join([*new, *others(i)])} FROM h{at})")
+            at += 1
+    gray = ["x0"]
+    for i in range(1, dims):
+        gray.append(f"xor({gray[-1]}, x{i})")
+    flips = "0"
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        flips = f"xor({flips}, CASE WHEN last & {q} <> 0 THEN {q - 1} ELSE 0 END)"
+    woven = " + ".join(f"(((xor(g{i}, flip) >> {b}) & 1) << {b * dims + dims - 1 - i})" for b in range(bits) for i in range(dims))
+    steps.append(f"gray AS (SELECT *, {', '.join(f'{g} AS g{i}' for i, g in enumerate(gray))}, {gray[-1]} AS last FROM h{at})")
+    steps.append(f"flipped AS (SELECT *, {flips} AS flip FROM gray)")
+    steps.append(f"curved AS (SELECT doc_id, lang, source, size, text_crc32, CAST({woven} AS BIGINT) AS curve FROM flipped)")
+    return ",\n".join(steps)
+
+
+#: DuckDB has no crc32, so it is folded over the bytes of each text, by a table made from its polynomial.
+OP5_SQL = f"""
+WITH RECURSIVE step AS (SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+hexed AS (SELECT doc_id, lang, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+narrow AS (SELECT doc_id, lang, source, CAST(length(h) // 2 + 8 AS BIGINT) AS size, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2),
+  lambda i: (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM hexed, crc_table),
+langs AS (SELECT lang, CAST(floor(coalesce(sum(n) OVER (ORDER BY lang NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 64 / sum(n) OVER ()) AS BIGINT) AS x0 FROM (SELECT lang, count(*) AS n FROM narrow GROUP BY 1)),
+sources AS (SELECT source, CAST(floor(coalesce(sum(n) OVER (ORDER BY source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 64 / sum(n) OVER ()) AS BIGINT) AS x1 FROM (SELECT source, count(*) AS n FROM narrow GROUP BY 1)),
+cells AS (SELECT d.*, l.x0, s.x1, CAST(least(floor(ln(d.size - 8 + 1.0) / ln(2.0) * 4), 63) AS BIGINT) AS x2 FROM narrow d
+  JOIN langs l ON d.lang IS NOT DISTINCT FROM l.lang JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+{_hilbert_sql(6, 3)},
+dealt AS (SELECT *, row_number() OVER (ORDER BY curve, doc_id NULLS FIRST, text_crc32) - 1 AS place, count(*) OVER () // 24 AS small, count(*) OVER () % 24 AS extra FROM curved),
+placed AS (SELECT *, CASE WHEN place < extra * (small + 1) THEN place // (small + 1) ELSE extra + (place - extra * (small + 1)) // greatest(small, 1) END AS shard,
+  CASE WHEN place < extra * (small + 1) THEN place % (small + 1) ELSE (place - extra * (small + 1)) % greatest(small, 1) END AS slot FROM dealt)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(slot AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, curve,
+  {', '.join(f'{f}({c}) OVER (PARTITION BY shard) AS {e}_{c}' for c in DIMS for f, e in (('min', 'low'), ('max', 'high')))} FROM placed
+"""
