@@ -1,9 +1,9 @@
 """A corpus pipeline: quality rules, near-duplicate removal, secret masking, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before it kept, and returns documents (doc_id,
-text, lang, source, n_chars), but for the last, which returns packed pieces. Null and empty texts are rejected by
-the first stage, so later ones see none in a whole run; each stage handles them all the same, as its operator says.
-Empty tables give empty results.
+text, lang, source, n_chars), but for the last, which returns packed pieces. Other columns are dropped, whatever
+their names. Null and empty texts are rejected by the first stage, so later ones see none in a whole run; each stage
+handles them all the same, as its operator says. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def _documents(docs: DataFrame, text) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove failing lines; documents that the rules reject go."""
+    """Remove failing lines; documents that the rules reject go. Repeated rows are judged alike; null and empty texts fail."""
     judged = quality.clean_lines(docs.select(*COLUMNS))
     # a filter would compute every line's verdict a second time
     return _documents(judged.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("kept").cast("int")))), F.col("clean_text"))
@@ -43,21 +43,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask every secret in the texts; all documents stay."""
+    """Mask every secret in the texts; all documents stay, repeated rows too. Null texts become empty."""
     found = secrets.scan_ledger(docs.select(*COLUMNS), secrets.fresh_ledger(spark))
     masked = secrets.redact(found)
     return _documents(masked, F.col("text"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rate documents so that the clean domain's tokens stay and the others' come to none; those likely clean stay, once."""
+    """Fit rates that keep the clean domain's tokens and bring the others' to none; documents whose rate is not nothing stay, once.
+
+    Rows are rated one by one, so repeated rows stay or go together. Texts without a word have the prior's rate;
+    without any labelled row all stay.
+    """
     labels = mixing.quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rated = mixing.mix(docs.select(*COLUMNS), labels, lambda have: {d: n if d == "clean" else 0.0 for d, n in have.items()})
-    return rated.where(mixing.kept_whole("clean", F.col("domains"), F.col("rate"))).select(*COLUMNS)
+    return rated.where(mixing.admitted(F.col("rate"))).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents into windows of 4096 tokens in the sources' proportions."""
+    """Pack the documents into windows of 4096 tokens in the sources' proportions.
+
+    Each row is a document of its own, also where rows repeat; a null or empty text has its end id alone.
+    """
     return packing.packed_digests(packing.pack(docs, tokens.vocabulary()))
 
 
