@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import edge_id, node_id, slugify
+from ..shared import materialize, shared_dir
 
 
 @dataclass(frozen=True)
@@ -61,16 +61,29 @@ def mentions(memories: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> Data
     return x.select("memory_id", "meeting_id", "memory_type", node_id(F.col("e.kind"), slugify(F.col("e.name"))).alias("entity_id"), "e.kind", "e.name")
 
 
+def _entity_ids(text: Column, vocabulary: Vocabulary) -> Column:
+    return F.transform(entities(text, vocabulary), lambda e: F.struct(e["kind"].alias("kind"), e["name"].alias("name"), slugify(e["name"]).alias("slug"), node_id(e["kind"], slugify(e["name"])).alias("id")))
+
+
+def _if(test: Column, *items: Column) -> Column:
+    """An array of items if test holds, else an empty one."""
+    full = F.array(*items)
+    return F.when(test, full).otherwise(F.slice(full, 1, 0))
+
+
 def nodes(memories: DataFrame, meetings: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
-    """(node_id, node_type, label, ref_id), one row a node; of several labels the least stands."""
-    m = meetings.select(node_id("meeting", F.col("meeting_id")).alias("node_id"), F.lit("meeting").alias("node_type"), F.coalesce("title", "meeting_id").alias("label"), F.col("meeting_id").alias("ref_id"))
-    people = meetings.select(F.explode("participants").alias("name")).unionByName(memories.select(F.explode(F.array("speaker", "owner")).alias("name"))).where("name <> ''")
-    persons = people.select(node_id("person", slugify(F.col("name"))).alias("node_id"), F.lit("person").alias("node_type"), F.col("name").alias("label"), slugify(F.col("name")).alias("ref_id"))
-    mem = memories.select(memory_node().alias("node_id"), F.when(F.col("memory_type") == "open_loop", "memory").otherwise(F.col("memory_type")).alias("node_type"), F.col("text").alias("label"), F.col("memory_id").alias("ref_id"))
-    titles = meetings.select(F.explode(entities(F.coalesce("title", F.lit("")), vocabulary)).alias("e")).select("e.*")
-    ents = mentions(memories, vocabulary).select("kind", "name").unionByName(titles)
-    things = ents.select(node_id(F.col("kind"), slugify(F.col("name"))).alias("node_id"), F.col("kind").alias("node_type"), F.col("name").alias("label"), slugify(F.col("name")).alias("ref_id"))
-    every = m.unionByName(persons).unionByName(mem).unionByName(things)
+    """(node_id, node_type, label, ref_id), one row a node; of several labels the least stands. Each table is read once."""
+    node = lambda ident, kind, label, ref: F.struct(ident.alias("node_id"), kind.alias("node_type"), label.alias("label"), ref.alias("ref_id"))
+    person = lambda name: node(node_id("person", slugify(name)), F.lit("person"), name, slugify(name))
+    things = F.transform("_e", lambda e: node(e["id"], e["kind"], e["name"], e["slug"]))
+    named = lambda names: F.transform(F.filter(names, lambda n: n != ""), person)
+    kind = F.when(F.col("memory_type") == "open_loop", "memory").otherwise(F.col("memory_type"))
+    mem = memories.select("memory_id", "memory_type", "text", "speaker", "owner", _entity_ids(F.col("text"), vocabulary).alias("_e"))
+    of_mem = mem.select(F.explode(F.concat(F.array(node(memory_node(), kind, F.col("text"), F.col("memory_id"))), named(F.array("speaker", "owner")), things)).alias("n"))
+    met = meetings.select("meeting_id", "title", "participants", _entity_ids(F.coalesce("title", F.lit("")), vocabulary).alias("_e"))
+    head = node(node_id("meeting", F.col("meeting_id")), F.lit("meeting"), F.coalesce("title", "meeting_id"), F.col("meeting_id"))
+    of_met = met.select(F.explode(F.concat(F.array(head), F.coalesce(named("participants"), F.array().cast("array<struct<node_id:string,node_type:string,label:string,ref_id:string>>")), things)).alias("n"))
+    every = of_mem.select("n.*").unionByName(of_met.select("n.*"))
     return every.groupBy("node_id").agg(F.min("node_type").alias("node_type"), F.min("label").alias("label"), F.min("ref_id").alias("ref_id"))
 
 
@@ -80,29 +93,25 @@ def _edge(df: DataFrame, src: Column, relationship: str, dst: Column, discrimina
 
 
 def structural_edges(memories: DataFrame, meetings: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
-    """Edges that one memory or one meeting gives by itself."""
+    """Edges that one memory or one meeting gives by itself: a projection to an array of edges of each row of the two tables."""
     meeting, memory = node_id("meeting", F.col("meeting_id")), memory_node()
-    person = lambda c: node_id("person", slugify(F.col(c)))
-    found = mentions(memories, vocabulary)
-    titles = meetings.select("meeting_id", F.explode(entities(F.coalesce("title", F.lit("")), vocabulary)).alias("e"))
-    owner = memories.where("memory_type = 'commitment'").withColumn("_owner", F.coalesce(F.nullif("owner", F.lit("")), "speaker"))
-    kind = lambda t, k: (F.col("memory_type") == t) & (F.col("kind") == k)
-    per_memory = found.groupBy("memory_id").agg(F.collect_set(F.when(F.col("kind") == "project", F.col("entity_id"))).alias("p"), F.collect_set(F.when(F.col("kind") == "technology", F.col("entity_id"))).alias("t"))
-    depends = per_memory.select(F.explode("p").alias("p"), "t").select("p", F.explode("t").alias("t"))
-    parts = [
-        _edge(meetings.select("meeting_id", F.explode("participants").alias("name")), meeting, "mentions", person("name")),
-        _edge(titles, meeting, "mentions", node_id(F.col("e.kind"), slugify(F.col("e.name")))),
-        _edge(found, meeting, "mentions", F.col("entity_id")),
-        _edge(memories, memory, "discussed_in", meeting),
-        _edge(memories.where("speaker <> ''"), memory, "owned_by", person("speaker")),
-        _edge(owner.where("_owner <> ''"), memory, "assigned_to", person("_owner")),
-        _edge(found, memory, "mentions", F.col("entity_id")),
-        _edge(found.where(kind("decision", "project")), memory, "relates_to", F.col("entity_id")),
-        _edge(found.where(kind("risk", "project")), memory, "blocks", F.col("entity_id")),
-        _edge(found.where(kind("fact", "customer")), memory, "references", F.col("entity_id")),
-        _edge(depends, F.col("p"), "depends_on", F.col("t")),
-    ]
-    return _union(parts)
+    edge = lambda a, relationship, b: F.struct(a.alias("source_id"), F.lit(relationship).alias("relationship"), b.alias("target_id"), F.lit("").alias("discriminator"))
+    person = lambda name: node_id("person", slugify(name))
+    of_kind = lambda k: F.filter("_e", lambda e: e["kind"] == k)
+    to = lambda found, a, relationship: F.transform(found, lambda e: edge(a, relationship, e["id"]))
+    is_ = lambda kind: F.col("memory_type") == kind
+    some = lambda kind, found: F.when(is_(kind), found).otherwise(F.slice(found, 1, 0))
+    owner = F.coalesce(F.nullif("owner", F.lit("")), "speaker")
+    depends = F.flatten(F.transform(of_kind("project"), lambda p: F.transform(of_kind("technology"), lambda t: edge(p["id"], "depends_on", t["id"]))))
+    mem = memories.select("memory_id", "meeting_id", "memory_type", "speaker", "owner", _entity_ids(F.col("text"), vocabulary).alias("_e"))
+    given = F.concat(
+        F.array(edge(memory, "discussed_in", meeting)), _if(F.col("speaker") != "", edge(memory, "owned_by", person(F.col("speaker")))),
+        _if(is_("commitment") & (owner != ""), edge(memory, "assigned_to", person(owner))), to(F.col("_e"), meeting, "mentions"), to(F.col("_e"), memory, "mentions"),
+        some("decision", to(of_kind("project"), memory, "relates_to")), some("risk", to(of_kind("project"), memory, "blocks")), some("fact", to(of_kind("customer"), memory, "references")), depends,
+    )
+    met = meetings.select("meeting_id", F.coalesce("participants", F.array().cast("array<string>")).alias("_p"), _entity_ids(F.coalesce("title", F.lit("")), vocabulary).alias("_e"))
+    heard = F.concat(F.transform("_p", lambda name: edge(meeting, "mentions", person(name))), to(F.col("_e"), meeting, "mentions"))
+    return _union([mem.select(F.explode(given).alias("x")).select("x.*"), met.select(F.explode(heard).alias("x")).select("x.*")])
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -127,19 +136,83 @@ def supersedes_edges(memories: DataFrame) -> DataFrame:
     return _edge(both, memory_node(F.col("_new"), F.col("superseded_by")), "supersedes", memory_node())
 
 
+def placed(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df sorted by order over all tasks, with its place (run << 33 | place in the run) as _place, as a table in the shared folder.
+
+    A run is what one task of the sort had; a key that very many rows have lies in several runs. order should end in
+    columns that tell rows apart.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), name)
+
+
+def with_predecessor(df: DataFrame, key: str, order: Sequence[str], what: Sequence[str]) -> DataFrame:
+    """df with `before`: a struct of `what` of the row before it among those of its key, null for the first.
+
+    Rows are sorted in runs and joined to the row one place before. Places are unique, so the join is as even for a key
+    that nearly all rows have as for any other. The first row of a run has the last row of the run before it, which is a
+    row a run.
+    """
+    rows = placed(df, [key, *order], "runs")
+    run = F.shiftright("_place", 33)
+    value = F.struct(*what)
+    ends = rows.groupBy(run.alias("run")).agg(F.max("_place").alias("_last"))
+    last = rows.join(ends, F.col("_place") == F.col("_last"), "left_semi").select(run.alias("run"), F.col(key).alias("_key"), value.alias("before"))
+    ahead = Window.orderBy("run")  # a row a run
+    borders = last.select(F.shiftleft(F.lead("run").over(ahead), 33).alias("_place"), "_key", "before").where("_place is not null")
+    behind = rows.select((F.col("_place") + 1).alias("_place"), F.col(key).alias("_key"), value.alias("before")).unionByName(borders)
+    return rows.join(behind, (rows["_place"] == behind["_place"]) & (rows[key] == behind["_key"]), "left").select(*df.columns, "before")
+
+
 def repeated_content_edges(memories: DataFrame, meetings: DataFrame) -> DataFrame:
     """Each memory to the one before it with the same content, if that is of another meeting."""
-    dated = memories.join(meetings.select("meeting_id", F.coalesce("date", F.lit("")).alias("_date")), "meeting_id")
-    w = Window.partitionBy("content_hash").orderBy("_date", "meeting_id", "memory_id")
-    chained = dated.select("memory_type", "memory_id", "meeting_id", F.lag(F.struct("memory_type", "memory_id", "meeting_id")).over(w).alias("b"))
-    hit = chained.where("b is not null and b.meeting_id <> meeting_id")
-    return _edge(hit, memory_node(), "connected_to", memory_node(F.col("b.memory_type"), F.col("b.memory_id")), F.lit("repeated_content"))
+    rows = memories.select("content_hash", "meeting_id", "memory_id", "memory_type")
+    return _repeated(rows.join(meetings.select("meeting_id", F.coalesce("date", F.lit("")).alias("date")), "meeting_id"))
 
 
-def _resolving(memories: DataFrame, meetings: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, DataFrame]:
+def _repeated(dated: DataFrame) -> DataFrame:
+    chained = with_predecessor(dated, "content_hash", ["date", "meeting_id", "memory_id"], ["memory_type", "memory_id", "meeting_id"])
+    hit = chained.where("before is not null and before.meeting_id <> meeting_id")
+    return _edge(hit, memory_node(), "connected_to", memory_node(F.col("before.memory_type"), F.col("before.memory_id")), F.lit("repeated_content"))
+
+
+def dated_mentions(memories: DataFrame, meetings: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
+    """(memory_id, meeting_id, memory_type, entity_id, date), a row for each memory and thing that it mentions."""
     found = mentions(memories, vocabulary).select("memory_id", "meeting_id", "memory_type", "entity_id").distinct()
-    dated = found.join(meetings.select("meeting_id", F.coalesce("date", F.lit("")).alias("date")), "meeting_id")
-    return dated.where("memory_type = 'commitment'"), dated.where("memory_type in ('risk', 'open_loop')")
+    return found.join(meetings.select("meeting_id", F.coalesce("date", F.lit("")).alias("date")), "meeting_id").select("memory_id", "meeting_id", "memory_type", "entity_id", "date")
+
+
+ISSUES = ("risk", "open_loop")
+
+
+def _resolving(memories: DataFrame, meetings: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    dated = dated_mentions(memories, meetings, vocabulary)
+    return dated.where("memory_type = 'commitment'"), dated.where(F.col("memory_type").isin(*ISSUES))
+
+
+def not_later(commitments: DataFrame, issues: DataFrame, block: int = 1024) -> DataFrame:
+    """(memory_id, issue_id, issue_type): commitments with the issues of the same entity whose date is not later.
+
+    An inequality join by ranges. Both sides are sorted by entity and date, of a date issues first, so a commitment's
+    issues are those of its entity at smaller places. Places are cut into blocks of `block` rows, and blocks of an entity
+    are paired with it and with the blocks before. Each pair of blocks is a key of its own, of at most block x block
+    pairs, so an entity that very many memories mention is spread over all tasks; only where a block meets itself are
+    places compared.
+    """
+    side = lambda df, late: df.select("entity_id", "date", F.lit(late).alias("late"), "memory_id", "memory_type")
+    rows = placed(side(commitments, True).unionByName(side(issues, False)), ["entity_id", "date", "late", "memory_id"], "resolving")
+    rows = rows.withColumn("block", F.floor(F.col("_place") / block).cast("long"))
+    has = rows.groupBy("entity_id", "block").agg(F.max("late").alias("commits"), F.min("late").alias("only"))
+    mine = has.where("commits").select("entity_id", F.col("block").alias("c"))
+    theirs = has.where("not only").select("entity_id", F.col("block").alias("i"))
+    pairs = materialize(mine.join(theirs, "entity_id").where("i <= c"), "block_pairs")
+    left = rows.where("late").select("entity_id", F.col("block").alias("c"), "memory_id", "_place").join(pairs, ["entity_id", "c"])
+    right = rows.where("not late").select("entity_id", F.col("block").alias("i"), F.col("memory_id").alias("issue_id"), F.col("memory_type").alias("issue_type"), F.col("_place").alias("_issue")).join(pairs, ["entity_id", "i"])
+    return left.join(right, ["entity_id", "c", "i"]).where("i < c or _issue < _place").select("memory_id", "issue_id", "issue_type")
+
+
+def _resolves(commitments: DataFrame, issues: DataFrame) -> DataFrame:
+    return _edge(not_later(commitments, issues), node_id("commitment", F.col("memory_id")), "resolves", memory_node(F.col("issue_type"), F.col("issue_id"))).distinct()
 
 
 def resolves_edges(memories: DataFrame, meetings: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
@@ -148,10 +221,7 @@ def resolves_edges(memories: DataFrame, meetings: DataFrame, vocabulary: Vocabul
     The pairs are the result, so it grows with the square of what one entity gathers; resolves_counts() tells
     how many each commitment has without making them.
     """
-    commitments, issues = _resolving(memories, meetings, vocabulary)
-    later = issues.select("entity_id", F.col("memory_id").alias("issue_id"), F.col("memory_type").alias("issue_type"), F.col("date").alias("issue_date"))
-    pairs = commitments.join(later, "entity_id").where("date >= issue_date")
-    return _edge(pairs, node_id("commitment", F.col("memory_id")), "resolves", memory_node(F.col("issue_type"), F.col("issue_id"))).distinct()
+    return _resolves(*_resolving(memories, meetings, vocabulary))
 
 
 def resolves_counts(memories: DataFrame, meetings: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
@@ -179,13 +249,16 @@ def collaboration_edges(meetings: DataFrame) -> DataFrame:
     return _edge(pairs, node_id("person", slugify(F.col("a"))), "connected_to", node_id("person", slugify(F.col("b"))), F.col("meeting_id"))
 
 
+def with_edge_id(found: DataFrame) -> DataFrame:
+    return found.withColumn("edge_id", edge_id(F.col("source_id"), F.col("relationship"), F.col("target_id"), F.col("discriminator")))
+
+
 def edges(memories: DataFrame, meetings: DataFrame, vocabulary: Vocabulary = Vocabulary(), resolves: bool = True) -> DataFrame:
     """All edges with their edge_id."""
     parts = [structural_edges(memories, meetings, vocabulary), semantic_edges(memories, vocabulary), supersedes_edges(memories), repeated_content_edges(memories, meetings), collaboration_edges(meetings)]
     if resolves:
         parts.append(resolves_edges(memories, meetings, vocabulary))
-    out = _union(parts)
-    return out.withColumn("edge_id", edge_id(F.col("source_id"), F.col("relationship"), F.col("target_id"), F.col("discriminator")))
+    return with_edge_id(_union(parts))
 
 
 def outgoing(edges: DataFrame, node: str) -> DataFrame:
@@ -200,10 +273,7 @@ def _cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the session's folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quorumlens-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -263,18 +333,55 @@ def neighbors_of_all(memories: DataFrame, meetings: DataFrame, start: Sequence[s
     return seen
 
 
+def related_of_all(memories: DataFrame, meetings: DataFrame, node: str, node_types: Sequence[str] = (), depth: int = 2, limit: int | None = None, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
+    """related() over edges of every kind."""
+    found = neighbors_of_all(memories, meetings, [node], depth, vocabulary).where(F.col("distance") > 0)
+    if node_types:
+        found = found.where(F.substring_index("node_id", ":", 1).isin(*node_types))
+    return found if limit is None else found.orderBy("node_id").limit(limit)
+
+
+def edges_of(memories: DataFrame, meetings: DataFrame, node: str, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
+    """The edges of every kind that a node is an end of; of resolves edges no others are made."""
+    rest = edges(memories, meetings, vocabulary, resolves=False).where((F.col("source_id") == node) | (F.col("target_id") == node))
+    own = memory_node() == node
+    commitments, issues = _resolving(memories, meetings, vocabulary)
+    if node.startswith("commitment:"):
+        return rest.unionByName(with_edge_id(_resolves(commitments.where(own), issues)))
+    if node.split(":")[0] in ("risk", "memory"):
+        return rest.unionByName(with_edge_id(_resolves(commitments, issues.where(own))))
+    return rest
+
+
+def subgraph(edges: DataFrame, start: Sequence[str], depth: int = 1, relationships: Sequence[str] = (), direction: str = "both") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) around start: neighbors(), and the edges that the search went along, which are those that meet a
+    node it went on from."""
+    e = edges.where(F.col("relationship").isin(*relationships)) if relationships else edges
+    found = _cut(neighbors(e, start, depth, direction=direction))
+    inner = found.where(F.col("distance") < depth).select("node_id")
+    out = e.join(inner.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi")
+    back = e.join(inner.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
+    mine = {"out": out, "in": back}.get(direction, out.unionByName(back)).dropDuplicates(["edge_id"])
+    return found, mine.select(*edges.columns)
+
+
 def find_path(edges: DataFrame, source: str, target: str, max_depth: int = 6) -> list[str] | None:
     """The first shortest path that a search in order of (node, edge) finds, as nodes; edges count both ways.
 
     A node's discovery order is its parent's order, then the node, so it is carried as the path itself.
     """
+    steps = _steps(edges, "both", ()).select("a", "b")
+    return _search(edges.sparkSession, lambda front: front.join(steps, front["node_id"] == steps["a"]).select("b", "path"), source, target, max_depth)
+
+
+def _search(spark, step, source: str, target: str, max_depth: int) -> list[str] | None:
+    """step(front: node_id, path) gives (b, path): where edges lead from the front, with the path to where they begin."""
     if source == target:
         return [source]
-    steps = _steps(edges, "both", ())
-    front = edges.sparkSession.createDataFrame([(source, [source])], "node_id string, path array<string>")
+    front = spark.createDataFrame([(source, [source])], "node_id string, path array<string>")
     seen = front.select("node_id")
     for _ in range(max_depth):
-        near = front.join(steps, front["node_id"] == steps["a"]).select(F.col("b").alias("node_id"), "path")
+        near = step(front).withColumnRenamed("b", "node_id")
         fresh = near.join(seen, "node_id", "left_anti").groupBy("node_id").agg(F.min("path").alias("path"))
         front = _cut(fresh.select("node_id", F.concat("path", F.array("node_id")).alias("path")))
         if hit := front.where(F.col("node_id") == target).first():
@@ -285,6 +392,20 @@ def find_path(edges: DataFrame, source: str, target: str, max_depth: int = 6) ->
     return None
 
 
+def find_path_of_all(memories: DataFrame, meetings: DataFrame, source: str, target: str, max_depth: int = 6, vocabulary: Vocabulary = Vocabulary()) -> list[str] | None:
+    """find_path() over edges of every kind; of resolves edges only those are made that meet the search's front."""
+    steps = _cut(_steps(edges(memories, meetings, vocabulary, resolves=False), "both", ()).select("a", "b").distinct())
+    commitments, issues = (_cut(x) for x in _resolving(memories, meetings, vocabulary))
+
+    def step(front: DataFrame) -> DataFrame:
+        mine = lambda rows: rows.join(front.select("node_id"), memory_node() == F.col("node_id"), "left_semi")
+        solved = _resolves(mine(commitments), issues).unionByName(_resolves(commitments, mine(issues)))
+        met = steps.unionByName(_steps(solved.withColumn("edge_id", F.lit("")), "both", ()).select("a", "b"))
+        return front.join(met, front["node_id"] == met["a"]).select("b", "path")
+
+    return _search(memories.sparkSession, step, source, target, max_depth)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node_id, component): the least node that each node reaches; nodes without edges are their own."""
     e = _cut(_steps(edges, "both", ()).select("a", "b").distinct())

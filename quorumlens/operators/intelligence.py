@@ -112,14 +112,17 @@ def commitment_metrics(c: Context) -> DataFrame:
 def project_metrics(memories: DataFrame, meetings: DataFrame) -> DataFrame:
     """Per project: edges that come in from risks, decisions and meetings, and blocks; analysis filters do not count.
 
-    A risk that mentions a project has two edges to it (mentions, blocks), as a decision has (mentions, relates_to).
+    A risk that mentions a project has two edges to it (mentions, blocks), as a decision has (mentions, relates_to). Each
+    table is read once: rows are (project, what mentions it), and a meeting counts once whether its title or a memory does.
     """
-    e = G.structural_edges(memories, meetings).where(F.col("target_id").startswith("project:"))
-    source = F.substring_index("source_id", ":", 1)
-    per = e.groupBy(F.col("target_id").alias("project_id")).agg(_count(source == "risk").alias("risk_count"), _count(source == "decision").alias("decision_count"), _count(source == "meeting").alias("meeting_count"), _count("relationship = 'blocks'").alias("blocker_count"))
-    names = G.nodes(memories, meetings).where("node_type = 'project'").select(F.col("node_id").alias("project_id"), F.col("label").alias("name"))
-    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
-    return names.join(per, "project_id", "left").select("project_id", "name", *map(zero, ("risk_count", "decision_count", "meeting_count", "blocker_count")))
+    of_project = lambda text: F.filter(G.entities(text), lambda e: e["kind"] == "project")
+    kind = F.when(F.col("memory_type").isin("risk", "decision"), F.col("memory_type"))
+    said = memories.select("meeting_id", "memory_id", kind.alias("kind"), F.explode(of_project(F.col("text"))).alias("e"))
+    titled = meetings.select("meeting_id", F.lit(None).cast("string").alias("memory_id"), F.lit(None).cast("string").alias("kind"), F.explode(of_project(F.coalesce("title", F.lit("")))).alias("e"))
+    ident = node_id("project", slugify(F.col("e.name")))
+    rows = said.unionByName(titled).groupBy(ident.alias("project_id"), "meeting_id", "memory_id", "kind").agg(F.min("e.name").alias("name"))
+    per = rows.groupBy("project_id", "meeting_id").agg(F.min("name").alias("name"), _count("kind = 'risk'").alias("risks"), _count("kind = 'decision'").alias("decisions"))
+    return per.groupBy("project_id").agg(F.min("name").alias("name"), (F.sum("risks") * 2).alias("risk_count"), (F.sum("decisions") * 2).alias("decision_count"), F.count("*").alias("meeting_count"), F.sum("risks").alias("blocker_count"))
 
 
 def person_metrics(c: Context) -> DataFrame:
@@ -150,23 +153,34 @@ def meeting_metrics(c: Context) -> DataFrame:
     return row.select(F.col("n_meetings").alias("total_meetings"), "total_memories", _share(F.col("total_memories"), F.col("n_meetings")).alias("avg_memories_per_meeting"), _share(F.col("made"), F.col("n_meetings")).alias("productivity"), _share(F.col("repeated"), F.col("contents")).alias("repeated_discussion_rate"), "span_days")
 
 
-def health(c: Context, projects: DataFrame, productivity_target: float = 3.0) -> DataFrame:
-    """One row of nine scores and their overall, the mean of the first six that rate (without rates of trouble)."""
-    d = decision_metrics(c).select(F.col("stability").alias("decision_stability"))
-    k = commitment_metrics(c).select(F.col("resolution_rate").alias("commitment_completion"))
-    r = risk_metrics(c, projects).select(F.col("resolution_rate").alias("risk_resolution"), F.col("density").alias("risk_density"))
-    m = meeting_metrics(c).select(F.round(F.least(F.lit(1.0), F.col("productivity") / productivity_target), 4).alias("meeting_productivity"), F.col("repeated_discussion_rate"))
-    u = _reuse(c).select(_share(F.col("reused"), F.col("total_memories")).alias("knowledge_reuse"))
-    people = c.meetings.select(F.array_distinct("participants").alias("p")).select(F.explode("p").alias("name"), (F.size("p") > 1).alias("with_others")).groupBy("name").agg(F.max("with_others").alias("w"))
-    t = people.agg(_share(_count("w"), F.count("*")).alias("cross_team_collaboration"))
+def health(c: Context, projects: DataFrame | None = None, productivity_target: float = 3.0) -> DataFrame:
+    """One row of nine scores and their overall, the mean of the first six that rate (without rates of trouble).
+
+    Memories are read once: counts by content, then their sums. projects is not needed, and taken for providers' sake.
+    """
+    is_ = lambda kind, *statuses: (F.col("memory_type") == kind) & (F.col("status").isin(*statuses) if statuses else F.lit(True))
     took = (F.unix_timestamp(F.try_to_timestamp("updated_at")) - F.unix_timestamp(F.try_to_timestamp("created_at"))) / 86400.0
-    a = c.memories.where("status in ('resolved', 'archived')").agg(F.coalesce(F.round(F.avg(took), 2), F.lit(0.0)).alias("avg_resolution_days"))
-    row = d.join(k).join(r).join(m).join(u).join(t).join(a)  # one row each
-    six = ("decision_stability", "commitment_completion", "risk_resolution", "meeting_productivity", "knowledge_reuse", "cross_team_collaboration")
-    total = F.lit(0.0)
-    for name in six:
-        total = total + F.col(name)
-    return row.select(*six, "repeated_discussion_rate", "risk_density", "avg_resolution_days", F.round(total / len(six), 4).alias("overall"))
+    done = F.when(F.col("status").isin("resolved", "archived"), took)
+    counts = {
+        "n": F.lit(True), "decisions": is_("decision"), "stable": is_("decision", "active"), "commitments": is_("commitment"), "kept": is_("commitment", "resolved"),
+        "risks": is_("risk"), "calmed": is_("risk", "resolved", "archived"),
+    }
+    by_content = c.memories.groupBy("content_hash").agg(F.countDistinct("meeting_id").alias("meetings"), F.sum(done).alias("took"), F.count(done).alias("timed"), *[_count(v).alias(k) for k, v in counts.items()])
+    again = F.col("meetings") > 1
+    base = by_content.agg(F.count("*").alias("contents"), _count(again).alias("repeated"), F.coalesce(F.sum(F.when(again, F.col("n"))), F.lit(0)).alias("reused"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in (*counts, "timed")], F.sum("took").alias("took"))
+    people = c.meetings.select(F.array_distinct("participants").alias("p")).select(F.explode("p").alias("name"), (F.size("p") > 1).alias("with_others")).groupBy("name").agg(F.max("with_others").alias("w"))
+    together = people.agg(_share(_count("w"), F.count("*")).alias("cross_team_collaboration"))
+    x = F.col
+    productivity = _share(x("decisions") + x("commitments"), x("n_meetings"))
+    scores = {
+        "decision_stability": _share(x("stable"), x("decisions")), "commitment_completion": _share(x("kept"), x("commitments")), "risk_resolution": _share(x("calmed"), x("risks")),
+        "meeting_productivity": F.round(F.least(F.lit(1.0), productivity / productivity_target), 4), "knowledge_reuse": _share(x("reused"), x("n")), "cross_team_collaboration": x("cross_team_collaboration"),
+        "repeated_discussion_rate": _share(x("repeated"), x("contents")), "risk_density": F.round(x("risks") / F.greatest("n_meetings", F.lit(1)), 4),
+        "avg_resolution_days": F.coalesce(F.round(x("took") / F.nullif("timed", F.lit(0)), 2), F.lit(0.0)),
+    }
+    row = base.join(together).join(c.reference).select(*[v.alias(k) for k, v in scores.items()])  # one row each
+    six = list(scores)[:6]
+    return row.withColumn("overall", F.round(sum((x(k) for k in six[1:]), x(six[0])) / len(six), 4))
 
 
 def _insight(rows: DataFrame, kind: str, category: str, level: Column, title: Column, detail: Column, metric: Column, subject: Column, *parts: Column) -> DataFrame:

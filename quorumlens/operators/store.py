@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -126,33 +128,89 @@ def transitions(ids: DataFrame, status: str, seq: int, at: str, superseded_by: C
 
 
 class Store:
-    """Tables in a folder: `meetings`, `memories`, `status_log`, `changes` and the graph's, each appended to, never rewritten.
-
-    changes holds whole rows that take the place of a memory's (updates), and deletions of memories or of meetings
-    with all their memories; the last entry by seq counts.
+    """Tables in a folder, written in batches that a log makes visible.
+
+    A batch is a folder `<table>/_batch=<id>` of each table that it writes to; the log's entry `log/<number>.json`,
+    which is written last, names the batch and its tables. Rows of a batch without an entry do not exist, so a job that is
+    lost leaves nothing to be seen, and what one entry names appears at once. Tables: `meetings`, `memories`,
+    `status_log`, `changes` (whole rows in place of a memory's, and deletions), `gone_meetings` and the graph's. Entries are
+    numbered in order, and a deletion or change holds for what earlier entries stored: an id that was deleted can be stored
+    again, by the same entry or a later one, and begins anew. Any number of readers and one writer at a time may use a folder. The log is read by
+    the driver and has a line a commit; compact() brings it down to one.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def log(self) -> list[tuple[int, str, list[str]]]:
+        """(number, batch, tables) of each commit that counts, in order."""
+        folder, fs = self._fs(f"{self.path}/log")
+        if not fs.exists(folder):
+            return []
+        rows = self.spark.read.schema("number long, batch string, tables array<string>, replaces boolean").json(f"{self.path}/log").orderBy("number").collect()
+        first = max((i for i, r in enumerate(rows) if r["replaces"]), default=0)
+        return [(r["number"], r["batch"], r["tables"]) for r in rows[first:]]
+
+    def commit(self, tables: Mapping[str, DataFrame], replaces: bool = False) -> int:
+        """Write rows to tables and make all of them visible at once; the commit's number."""
+        if unknown := [name for name, df in tables.items() if "_batch" in df.columns or "_commit" in df.columns]:
+            raise ValueError(f"_batch and _commit are the store's own columns, in {', '.join(unknown)}")
+        batch = f"b{uuid.uuid4().hex}"
+        for name, df in tables.items():
+            df.write.parquet(f"{self.path}/{name}/_batch={batch}")
+        number = max((n for n, _, _ in self.log()), default=-1) + 1
+        line = json.dumps({"number": number, "batch": batch, "tables": sorted(tables), "replaces": replaces}) + "\n"
+        target, fs = self._fs(f"{self.path}/log/{number:012d}.json")
+        draft, _ = self._fs(f"{self.path}/log/.{batch}")
+        out = fs.create(draft, False)
+        out.write(bytearray(line.encode()))
+        out.close()
+        if fs.exists(target) or not fs.rename(draft, target):
+            raise RuntimeError(f"another writer has made commit {number}")
+        return number
+
     def _there(self, table: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return any(table in tables for _, _, tables in self.log())
+
+    def raw(self, table: str) -> DataFrame | None:
+        """All rows of a table that commits have made visible, with the number of theirs as _commit; None if there are none."""
+        batches = [(batch, number) for number, batch, tables in self.log() if table in tables]
+        if not batches:
+            return None
+        rows = self.spark.read.option("basePath", f"{self.path}/{table}").parquet(*[f"{self.path}/{table}/_batch={b}" for b, _ in batches])
+        numbers = self.spark.createDataFrame(batches, "_batch string, _number long")  # a row a commit
+        return rows.join(numbers, "_batch").drop("_batch").withColumnRenamed("_number", "_commit")
+
+    def read(self, table: str) -> DataFrame | None:
+        """The rows of a table that stand now; None if nothing was ever stored in it."""
+        if not self._there(table):
+            return None
+        if table in ("memories", "meetings"):
+            return getattr(self, table)()
+        return self.graph()[1] if table == "graph_edges" else self.raw(table).drop("_commit")
+
+    def new_rows(self, table: str, rows: DataFrame, key: str) -> DataFrame:
+        """The rows whose key does not stand in a table, the first of rows with one key."""
+        rows = rows.dropDuplicates([key])
+        old = self.read(table)
+        return rows if old is None else rows.join(old.select(key), key, "left_anti")
 
     def append(self, table: str, rows: DataFrame, key: str) -> int:
-        """Append the rows whose key the table has not seen, the first of rows with one key; how many there were."""
-        rows = rows.dropDuplicates([key])
-        had = 0
-        if self._there(table):
-            old = self.spark.read.parquet(f"{self.path}/{table}")
-            had = old.count()
-            rows = rows.join(old.select(key), key, "left_anti")
-        rows.write.mode("append").parquet(f"{self.path}/{table}")
-        return self.spark.read.parquet(f"{self.path}/{table}").count() - had
+        """Append the rows whose key the table does not hold; how many there were."""
+        return self.append_all({table: (rows, key)})[table]
+
+    def append_all(self, tables: Mapping[str, tuple[DataFrame, str]], also: Mapping[str, DataFrame] | None = None) -> dict[str, int]:
+        """append() to several tables in one commit, and all rows of `also` with them; how many rows of each were new."""
+        number = self.commit({name: self.new_rows(name, rows, key) for name, (rows, key) in tables.items()} | dict(also or {}))
+        return {name: self.raw(name).where(F.col("_commit") == number).count() for name in tables}
 
     def set_status(self, changes: DataFrame) -> None:
-        """changes: memory_id, seq, status, superseded_by, at; seq orders all changes of a memory."""
-        changes.write.mode("append").parquet(f"{self.path}/status_log")
+        """changes: memory_id, seq, status, superseded_by, at; commits come in order, and seq orders what is in one."""
+        self.commit({"status_log": changes})
 
     def archive(self, ids: DataFrame, seq: int, at: str) -> None:
         self.set_status(transitions(ids, "archived", seq, at))
@@ -170,39 +228,74 @@ class Store:
         """pairs: memory_id and superseded_by."""
         self.set_status(transitions(pairs, "superseded", seq, at, "superseded_by"))
 
+    def _memory_columns(self) -> list[str]:
+        return [c for c in self.raw("memories").columns if c != "_commit"]
+
     def update(self, rows: DataFrame, seq: int) -> None:
         """rows: whole memories that take the place of those with their memory_id; unknown ones change nothing."""
-        columns = self.spark.read.parquet(f"{self.path}/memories").columns
-        rows.select("memory_id", F.lit(seq).alias("seq"), F.lit(False).alias("gone"), F.struct(*columns).alias("row")).write.mode("append").parquet(f"{self.path}/changes")
+        self.commit({"changes": rows.select("memory_id", F.lit(seq).alias("seq"), F.lit(False).alias("gone"), F.struct(*self._memory_columns()).alias("row"))})
+
+    def _gone(self, ids: DataFrame, seq: int) -> DataFrame:
+        row = F.lit(None).cast(self.raw("memories").select(F.struct(*self._memory_columns()).alias("row")).schema["row"].dataType)
+        return ids.select("memory_id", F.lit(seq).alias("seq"), F.lit(True).alias("gone"), row.alias("row"))
 
     def delete(self, ids: DataFrame, seq: int) -> None:
-        """Drop memories (memory_id) for good."""
-        row = F.lit(None).cast(self.spark.read.parquet(f"{self.path}/memories").select(F.struct("*").alias("row")).schema["row"].dataType)
-        ids.select("memory_id", F.lit(seq).alias("seq"), F.lit(True).alias("gone"), row.alias("row")).write.mode("append").parquet(f"{self.path}/changes")
+        """Drop memories (memory_id); what is stored under their ids later is not touched."""
+        self.commit({"changes": self._gone(ids, seq)})
+
+    def replace(self, rows: DataFrame, seq: int) -> None:
+        """Store whole memories anew, those that stand under their ids being dropped by the same commit."""
+        rows = rows.dropDuplicates(["memory_id"])
+        old = self.read("memories")
+        self.commit({"memories": rows} if old is None else {"memories": rows, "changes": self._gone(rows.join(old.select("memory_id"), "memory_id", "left_semi"), seq)})
 
     def delete_meetings(self, ids: DataFrame) -> None:
-        """Drop meetings (meeting_id) for good, and all their memories."""
-        ids.select("meeting_id").write.mode("append").parquet(f"{self.path}/gone_meetings")
+        """Drop meetings (meeting_id) and all their memories; a meeting that is stored again later is not touched."""
+        self.commit({"gone_meetings": ids.select("meeting_id")})
 
     def _left(self, rows: DataFrame) -> DataFrame:
-        if not self._there("gone_meetings"):
+        """rows without those of meetings that were dropped after the rows were stored."""
+        gone = self.raw("gone_meetings")
+        if gone is None:
             return rows
-        return rows.join(self.spark.read.parquet(f"{self.path}/gone_meetings").distinct(), "meeting_id", "left_anti").select(*rows.columns)
+        last = gone.groupBy("meeting_id").agg(F.max("_commit").alias("_gone"))
+        return rows.join(last, "meeting_id", "left").where("_gone is null or _commit >= _gone").select(*rows.columns)
 
     def meetings(self) -> DataFrame:
-        return self._left(self.spark.read.parquet(f"{self.path}/meetings"))
+        return self._left(self.raw("meetings")).drop("_commit")
 
     def memories(self) -> DataFrame:
-        rows = self._left(self.spark.read.parquet(f"{self.path}/memories"))
-        if self._there("changes"):
-            last = self.spark.read.parquet(f"{self.path}/changes").groupBy("memory_id").agg(F.max_by(F.struct("gone", "row"), "seq").alias("x"))
-            whole = rows.select("memory_id", F.struct("*").alias("_old")).join(last, "memory_id", "left").where("x is null or not x.gone")
-            rows = whole.select(F.coalesce("x.row", "_old").alias("row")).select("row.*")
-        return apply_status(rows, self.spark.read.parquet(f"{self.path}/status_log")) if self._there("status_log") else rows
+        rows = self._left(self.raw("memories"))
+        columns = [c for c in rows.columns if c != "_commit"]
+        if (changes := self.raw("changes")) is not None:
+            # of what was said of an id after it was stored, the last counts
+            after = changes.join(rows.select("memory_id", F.col("_commit").alias("_at")), "memory_id").where("_commit > _at")
+            last = after.groupBy("memory_id", "_at").agg(F.max_by(F.struct("gone", "row", F.col("_commit").alias("c")), F.struct("_commit", "seq")).alias("x")).withColumnRenamed("_at", "_commit")
+            whole = rows.select("memory_id", "_commit", F.struct(*columns).alias("_old")).join(last, ["memory_id", "_commit"], "left").where("x is null or not x.gone")
+            # a row that was changed is still the one that was stored, for what the status log says of it
+            # fields by name, as batches may order their columns differently
+            rows = whole.select(*[F.when(F.col("x.row").isNotNull(), F.col(f"x.row.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in columns], "_commit")
+        if (log := self.raw("status_log")) is not None:
+            said = log.join(rows.select("memory_id", F.col("_commit").alias("_at")), "memory_id").where("_commit > _at")
+            rows = apply_status(rows, said.select("memory_id", F.struct("_commit", "seq").alias("seq"), "status", "superseded_by", "at"))
+        return rows.select(*columns)
+
+    def compact(self) -> None:
+        """Bring all batches into one: what stands now becomes one commit that takes the place of all before it."""
+        names = sorted({t for _, _, tables in self.log() for t in tables} - {"changes", "status_log", "gone_meetings", "gone_edges"})
+        if names:
+            self.commit({name: self.read(name) for name in names}, replaces=True)
 
     def save_graph(self, nodes: DataFrame, edges: DataFrame) -> tuple[int, int]:
         """Append the nodes and edges that are new, and say how many were; what is there stays as it was first written."""
-        return self.append("graph_nodes", nodes, "node_id"), self.append("graph_edges", edges, "edge_id")
+        added = self.append_all({"graph_nodes": (nodes, "node_id"), "graph_edges": (edges, "edge_id")})
+        return added["graph_nodes"], added["graph_edges"]
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        return self.spark.read.parquet(f"{self.path}/graph_nodes"), self.spark.read.parquet(f"{self.path}/graph_edges")
+        """Nodes, and edges without those that a later commit has taken back."""
+        edges = self.raw("graph_edges")
+        if (gone := self.raw("gone_edges")) is not None:
+            last = gone.groupBy("edge_id").agg(F.max("_commit").alias("_gone"))
+            columns = edges.columns
+            edges = edges.join(last, "edge_id", "left").where("_gone is null or _commit >= _gone").select(*columns)
+        return self.read("graph_nodes"), edges.drop("_commit")

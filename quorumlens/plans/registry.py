@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.text import content_hash, normalize_text, severity, word_count
 from ..operators import extraction, graph, retrieval, store
+from ..operators.exports import LABEL
 from ..operators import intelligence as insight
 from ..sources.utterances import conversation_utterances
 from . import sample
@@ -281,38 +282,66 @@ def neighbors_depth2(spark, sf_dir):
     return graph.neighbors_of_all(mem, meet, ["technology:postgres"], 2)
 
 
-@query("related_people", "SELECT node_id, distance FROM near WHERE distance > 0 AND starts_with(node_id, 'person:')", more=f"{GRAPH_SQL}, {_SYM.format('edge')}, {_NEAR.format('customer:acme5')}")
+@query("related_people", "SELECT node_id, distance FROM near WHERE distance > 0 AND starts_with(node_id, 'person:')", more=f"{GRAPH_SQL}, {_ALL}, {_SYM.format('alle')}, {_NEAR.format('customer:acme5')}")
 def related_people(spark, sf_dir):
     _, mem, meet = sample.store(spark, sf_dir)
-    return graph.related(graph.structural_edges(mem, meet).withColumn("edge_id", F.lit("")), "customer:acme5", ("person",))
+    return graph.related_of_all(mem, meet, "customer:acme5", ("person",))
 
 
-@query("related_memories", "SELECT node_id, distance FROM near WHERE distance > 0 AND split_part(node_id, ':', 1) IN ('decision', 'commitment', 'memory', 'risk', 'assumption', 'question', 'fact') ORDER BY node_id LIMIT 40", more=f"{GRAPH_SQL}, {_SYM.format('edge')}, {_NEAR.format('technology:kafka')}")
+@query("related_memories", "SELECT node_id, distance FROM near WHERE distance > 0 AND split_part(node_id, ':', 1) IN ('decision', 'commitment', 'memory', 'risk', 'assumption', 'question', 'fact') ORDER BY node_id LIMIT 40", more=f"{GRAPH_SQL}, {_ALL}, {_SYM.format('alle')}, {_NEAR.format('technology:kafka')}")
 def related_memories(spark, sf_dir):
     """The first 40 by id, as the limit of related() has it."""
     _, mem, meet = sample.store(spark, sf_dir)
-    return graph.related(graph.structural_edges(mem, meet).withColumn("edge_id", F.lit("")), "technology:kafka", graph.MEMORY_NODES, limit=40)
+    return graph.related_of_all(mem, meet, "technology:kafka", graph.MEMORY_NODES, limit=40)
 
 
-@query("outgoing_edges", f"SELECT {_EDGE} FROM edge WHERE source_id = 'project:atlas'", more=GRAPH_SQL)
+_LAST = lambda kind: f"(SELECT '{kind}:' || max(memory_id) FROM mem WHERE memory_type = '{kind}')"
+
+
+def _last_node(mem: DataFrame, kind: str) -> str:
+    return f"{kind}:{mem.where(F.col('memory_type') == kind).agg(F.max('memory_id')).first()[0]}"
+
+
+@query("outgoing_edges", f"SELECT {_EDGE} FROM alle WHERE source_id IN ('project:atlas', {_LAST('commitment')})", more=f"{GRAPH_SQL}, {_ALL}")
 def outgoing_edges(spark, sf_dir):
+    """Of a project, and of a commitment with what it resolves."""
     _, mem, meet = sample.store(spark, sf_dir)
-    return graph.outgoing(graph.structural_edges(mem, meet).withColumn("edge_id", F.lit("")), "project:atlas").drop("edge_id")
+    ask = lambda node: graph.outgoing(graph.edges_of(mem, meet, node), node).drop("edge_id")
+    return ask("project:atlas").unionByName(ask(_last_node(mem, "commitment")))
 
 
-@query("incoming_edges", f"SELECT {_EDGE} FROM edge WHERE target_id = 'project:atlas'", more=GRAPH_SQL)
+@query("incoming_edges", f"SELECT {_EDGE} FROM alle WHERE target_id IN ('project:atlas', {_LAST('risk')})", more=f"{GRAPH_SQL}, {_ALL}")
 def incoming_edges(spark, sf_dir):
+    """Of a project, and of a risk with what resolves it."""
     _, mem, meet = sample.store(spark, sf_dir)
-    return graph.incoming(graph.structural_edges(mem, meet).withColumn("edge_id", F.lit("")), "project:atlas").drop("edge_id")
+    ask = lambda node: graph.incoming(graph.edges_of(mem, meet, node), node).drop("edge_id")
+    return ask("project:atlas").unionByName(ask(_last_node(mem, "risk")))
 
 
-@query("shortest_path", "SELECT unnest(range(0, 3)) AS place, unnest(p) AS node_id FROM (SELECT min([s.a, s.b, t.b]) AS p FROM sym s JOIN sym t ON t.a = s.b WHERE s.a = 'person:person1' AND t.b = 'project:borealis')", more=f"{GRAPH_SQL}, {_SYM.format('edge')}")
+@query("shortest_path", "SELECT unnest(range(0, 3)) AS place, unnest(p) AS node_id FROM (SELECT min([s.a, s.b, t.b]) AS p FROM sym s JOIN sym t ON t.a = s.b WHERE s.a = 'person:person1' AND t.b = 'project:borealis')", more=f"{GRAPH_SQL}, {_ALL}, {_SYM.format('alle')}")
 def shortest_path(spark, sf_dir):
     _, mem, meet = sample.store(spark, sf_dir)
-    path = graph.find_path(graph.structural_edges(mem, meet).withColumn("edge_id", F.lit("")), "person:person1", "project:borealis") or []
+    path = graph.find_path_of_all(mem, meet, "person:person1", "project:borealis") or []
     return spark.createDataFrame(list(enumerate(path)), "place long, node_id string")
 
 
+@query("path_by_resolution", f"""SELECT unnest(range(0, 2)) AS place, unnest([a, b]) AS node_id FROM (SELECT min(b) AS b, any_value(a) AS a FROM sym WHERE a = {_LAST('commitment')} AND starts_with(b, 'risk:'))""", more=f"{GRAPH_SQL}, {_ALL}, {_SYM.format('alle')}")
+def path_by_resolution(spark, sf_dir):
+    """From the last commitment to the first risk that it resolves: one step that only a resolves edge makes."""
+    _, mem, meet = sample.store(spark, sf_dir)
+    source = _last_node(mem, "commitment")
+    risk = graph.edges_of(mem, meet, source).where("source_id = '%s' and target_id like 'risk:%%'" % source.replace("'", "''")).agg(F.min("target_id")).first()[0]
+    path = (graph.find_path_of_all(mem, meet, source, risk) or []) if risk else []
+    return spark.createDataFrame(list(enumerate(path)), "place long, node_id string")
+
+
+@query("subgraph_edges", """SELECT DISTINCT source_id, relationship, target_id, discriminator FROM alle WHERE source_id IN (SELECT node_id FROM near WHERE distance < 2) OR target_id IN (SELECT node_id FROM near WHERE distance < 2)""", more=f"{GRAPH_SQL}, {_ALL}, {_SYM.format('alle')}, {_NEAR.format('customer:acme5')}")
+def subgraph_edges(spark, sf_dir):
+    """The edges that lead to everything within two steps of a customer."""
+    _, mem, meet = sample.store(spark, sf_dir)
+    return graph.subgraph(graph.edges(mem, meet), ["customer:acme5"], 2)[1].drop("edge_id")
+
+
 @query("supersession_lineages", "SELECT min(n) OVER (PARTITION BY start) AS component, n AS node_id, max(k) OVER (PARTITION BY start) - k AS position FROM (SELECT start, 'decision:' || tip AS n, k FROM wl)", more="""md AS (SELECT memory_id, superseded_by FROM mem WHERE memory_type = 'decision'),
 wl AS (SELECT memory_id AS start, memory_id AS tip, superseded_by AS nxt, CAST(1 AS BIGINT) AS k FROM md WHERE superseded_by IS NOT NULL AND memory_id NOT IN (SELECT superseded_by FROM md WHERE superseded_by IS NOT NULL)
   UNION ALL SELECT w.start, d.memory_id, d.superseded_by, w.k + 1 FROM wl w JOIN md d ON d.memory_id = w.nxt)""", recursive=True)
@@ -330,12 +359,10 @@ def connected_components(spark, sf_dir):
     return node.join(found, "node_id").groupBy("content_hash").agg(F.countDistinct("component").alias("parts"), F.count("*").alias("n"))
 
 
-# the same under the names that they had when the shorter names stood for a part of the graph
-for _name in ("edge_summary", "edge_ids", "neighbors_depth2"):
-    query(f"{_name}_all", ORACLE_SQL[_name], base=False)(QUERIES[_name])
-
-
-@query("connected_components_all")
+@query("connected_components_all", """SELECT node_id, component FROM cc""", more=f"""{GRAPH_SQL}, {_ALL}, {_SYM.format('alle')}, gnode AS (SELECT 'meeting:' || meeting_id AS node_id FROM meet UNION SELECT mt || ':' || memory_id FROM mem
+  UNION SELECT 'person:' || {_SLUG('name')} FROM (SELECT name FROM part UNION ALL SELECT speaker FROM mem UNION ALL SELECT owner FROM mem) WHERE name <> '' UNION SELECT entity_id FROM ment UNION SELECT entity_id FROM tment),
+cc(node_id, component) USING KEY (node_id) AS (SELECT node_id, node_id FROM gnode
+  UNION (SELECT s.a, min(c.component) FROM cc c JOIN sym s ON s.b = c.node_id JOIN recurring.cc AS had ON had.node_id = s.a WHERE c.component < had.component GROUP BY s.a))""", recursive=True)
 def connected_components_all(spark, sf_dir):
     _, mem, meet = sample.store(spark, sf_dir)
     # what a resolves edge joins is joined by the entity that both its ends mention
@@ -384,7 +411,7 @@ def decision_metrics(spark, sf_dir):
     return insight.decision_metrics(_context(spark, sf_dir)[0])
 
 
-@query("commitment_metrics", f"""SELECT count(*) AS total, count(*) FILTER (status = 'active') AS open, count(*) FILTER (status = 'resolved') AS resolved, CAST(0 AS BIGINT) AS overdue, round(count(*) FILTER (status = 'resolved') / count(*), 4) AS resolution_rate,
+@query("commitment_metrics", f"""SELECT count(*) AS total, count(*) FILTER (status = 'active') AS open, count(*) FILTER (status = 'resolved') AS resolved, count(*) FILTER (status = 'active' AND due IS NOT NULL AND regexp_full_match(due, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AND {_DAYS('TRY_CAST(due AS DATE)', '(SELECT reference_date FROM ref)')} > 0) AS overdue, round(count(*) FILTER (status = 'resolved') / count(*), 4) AS resolution_rate,
   round(avg({_DAYS('date', '(SELECT reference_date FROM ref)')}) FILTER (status = 'active'), 2) AS avg_open_age_days, {_TOP('responsible', "memory_type = 'commitment' AND status = 'active'")} AS top_owner,
   (SELECT max(n) FROM (SELECT count(*) AS n FROM ctx WHERE memory_type = 'commitment' AND status = 'active' AND responsible <> '' GROUP BY responsible)) AS top_owner_open FROM ctx WHERE memory_type = 'commitment'""")
 def commitment_metrics(spark, sf_dir):
@@ -503,12 +530,19 @@ def memories_csv(spark, sf_dir):
     return csv_rows(sample.store(spark, sf_dir)[1])
 
 
-@query("graph_export_lines", """SELECT '  "' || source_id || '" -> "' || target_id || '" [label="' || replace(relationship, '_', ' ') || '"];' AS line FROM edge""", more=GRAPH_SQL)
+_NODES = ORACLE_SQL["graph_nodes"].split(f"{GRAPH_SQL} ", 1)[1]
+_DOT = lambda x: f"""replace(replace({x}, '\\', '\\\\'), '"', '\\"')"""
+
+
+@query("graph_export_lines", f"""SELECT part, line FROM (SELECT 0 AS part, unnest(['digraph memory_graph {{', '  rankdir=LR;']) AS line UNION ALL SELECT 3, '}}'
+  UNION ALL SELECT 1, '  "' || {_DOT('node_id')} || '" [label="' || {_DOT(f"node_type || ': ' || CASE WHEN length(label) > {LABEL} THEN rtrim(label[:{LABEL - 1}]) || '…' ELSE label END")} || '"];' FROM ({_NODES})
+  UNION ALL SELECT 2, '  "' || source_id || '" -> "' || target_id || '" [label="' || replace(relationship, '_', ' ') || '"];' FROM alle)""", more=f"{GRAPH_SQL}, {_ALL}")
 def graph_export_lines(spark, sf_dir):
-    from ..operators.exports import dot_edges
+    """The whole drawing: head, nodes, edges of every kind, foot."""
+    from ..operators.exports import dot_lines
 
     _, mem, meet = sample.store(spark, sf_dir)
-    return dot_edges(graph.structural_edges(mem, meet))
+    return dot_lines(graph.nodes(mem, meet), graph.edges(mem, meet))
 
 
 # ---- analysis over a part, evidence, checks and summaries
@@ -598,37 +632,27 @@ def meeting_summaries(spark, sf_dir):
     return meeting_summaries(mem, meet).select("meeting_id", "line")
 
 
-@query("import_statuses", "SELECT CASE WHEN bad = 0 THEN 'success' WHEN bad < n THEN 'partial' ELSE 'failure' END AS status, n - bad AS success, CAST(0 AS BIGINT) AS skipped, bad AS failure FROM (SELECT count(*) AS n, count(*) FILTER (conv_id % 4 = 1) AS bad FROM (SELECT DISTINCT conv_id FROM conversations))", base=False)
-def import_statuses(spark, sf_dir):
-    """Every fourth file has a line before any turn."""
-    import tempfile
-
-    from ..operators.store import Store
-    from ..sources.transcripts import problems
-    from ..streaming.ingest import import_results, import_status
+# ---- transcript files of four formats, made from conversations
 
-    files = sample.conversation_files(spark, sf_dir, formats=("txt",))
-    files = files.withColumn("content", F.when(F.col("conv_id") % 4 == 1, F.concat(F.lit("prose first\n"), "content")).otherwise(F.col("content")))
-    return import_status(import_results(files, Store(spark, tempfile.gettempdir() + "/no-such-store"), problems(files)))
-
-
-# ---- transcript files of three formats, made from conversations
-
-_PARSED = """f AS (SELECT conv_id, turn, role, trim(regexp_replace(replace(replace(text, ':', ' '), '"', ' '), '\\s+', ' ', 'g')) AS t, conv_id % 3 AS k FROM conversations),
-p AS (SELECT 'conv' || CAST(conv_id AS VARCHAR) AS meeting_id, CASE WHEN k < 2 THEN 'Talk ' || CAST(conv_id AS VARCHAR) END AS title, CASE WHEN k < 2 THEN '2024-02-03' END AS meeting_date,
-  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS utterance_index, role AS speaker, CASE WHEN k < 2 THEN CAST(turn * 7 AS DOUBLE) END AS timestamp, t AS text FROM f)"""
+FORMATS = ("txt", "json", "csv", "md")
+_PARSED = """f AS (SELECT conv_id, turn, role, trim(regexp_replace(replace(replace(text, ':', ' '), '"', ' '), '\\s+', ' ', 'g')) AS t, conv_id % 4 AS k FROM conversations),
+p AS (SELECT 'conv' || CAST(conv_id AS VARCHAR) AS meeting_id, CASE WHEN k <> 2 THEN 'Talk ' || CAST(conv_id AS VARCHAR) END AS title, CASE WHEN k <> 2 THEN '2024-02-03' END AS meeting_date,
+  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS utterance_index, role AS speaker, CASE WHEN k <> 2 THEN CAST(turn * 7 AS DOUBLE) END AS timestamp, t AS text FROM f)"""
 
 
 @query("parsed_transcripts", f"WITH {_PARSED} SELECT * FROM p", base=False)
 def parsed_transcripts(spark, sf_dir):
     from ..sources.transcripts import parse
 
-    return parse(sample.conversation_files(spark, sf_dir)).select("meeting_id", "title", "meeting_date", "utterance_index", "speaker", "timestamp", "text")
+    return parse(sample.conversation_files(spark, sf_dir, FORMATS)).select("meeting_id", "title", "meeting_date", "utterance_index", "speaker", "timestamp", "text")
 
 
-@query("meeting_durations", f"WITH {_PARSED} SELECT meeting_id, max(timestamp) - min(timestamp) AS duration_seconds, list_sort(list(DISTINCT speaker))::VARCHAR AS participants FROM p GROUP BY 1", base=False)
+@query("meeting_durations", f"WITH {_PARSED} SELECT meeting_id, max(timestamp) - min(timestamp) AS duration_seconds, '[' || (SELECT string_agg(speaker, ', ' ORDER BY first) FROM (SELECT speaker, min(utterance_index) AS first FROM p q WHERE q.meeting_id = p.meeting_id GROUP BY 1)) || ']' AS participants FROM p GROUP BY 1", base=False)
 def meeting_durations(spark, sf_dir):
     from ..sources.transcripts import meetings_of, parse
 
-    m = meetings_of(parse(sample.conversation_files(spark, sf_dir)))
+    m = meetings_of(parse(sample.conversation_files(spark, sf_dir, FORMATS)))
     return m.select("meeting_id", "duration_seconds", F.concat(F.lit("["), F.array_join("participants", ", "), F.lit("]")).alias("participants"))
+
+
+from . import stored  # noqa: E402, F401 - registers its queries

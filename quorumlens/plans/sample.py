@@ -35,15 +35,26 @@ _STORES: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
 def store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(utterances, memories, meetings).
 
-    Queries read the store several times, and one session asks many of them, so it is kept once a session and folder.
+    Queries read the store several times, and one session asks many of them, so it is kept once a session and folder,
+    and kept again where the session's cache was cleared meanwhile. forget() lets go of it.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
         u = event_utterances(spark, sf_dir)
-        _STORES[key] = u, with_lifecycle(extract(u)).persist(StorageLevel.MEMORY_AND_DISK), meetings(u).persist(StorageLevel.MEMORY_AND_DISK)
+        _STORES[key] = u, with_lifecycle(extract(u)), meetings(u)
+    for table in _STORES[key][1:]:
+        if not table.storageLevel.useMemory:
+            table.persist(StorageLevel.MEMORY_AND_DISK)
     return _STORES[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Drop what store() keeps for a session."""
+    for key in [k for k in _STORES if k[0] == spark.sparkContext.applicationId]:
+        for table in _STORES.pop(key)[1:]:
+            table.unpersist()
+
+
 def conversation_files(spark: SparkSession, sf_dir: str, formats: tuple[str, ...] = ("txt", "json", "csv")) -> DataFrame:
     """A transcript file (path, content, transcript_hash, format, conv_id) for each conversation, in turn of each format.
 
@@ -60,9 +71,10 @@ def conversation_files(spark: SparkSession, sf_dir: str, formats: tuple[str, ...
     js = F.to_json(F.struct(title.alias("title"), F.lit("2024-02-03").alias("date"), heard.alias("utterances")))
     cells = F.concat(F.lit("Owner,Action\n"), F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit(',"'), x["said"], F.lit('"'))), "\n"))
     kind = F.array(*map(F.lit, formats))[(F.col("conv_id") % len(formats)).cast("int")]
-    content = F.when(kind == "txt", text).when(kind == "json", js).otherwise(cells)
+    notes = F.concat(F.lit("---\nTitle: "), title, F.lit("\ndate: 2024-02-03\n---\n# Notes\nwritten by hand\n\n"), F.array_join(F.transform("turns", lambda x: F.concat(F.lit("- **"), stamp(x), F.lit(" "), x["role"], F.lit("**: "), F.translate(x["said"], "\n", " "))), "\n"))
+    content = F.when(kind == "txt", text).when(kind == "json", js).when(kind == "md", notes).otherwise(cells)
     named = per.select("conv_id", F.concat(F.lit("/talks/conv"), F.col("conv_id").cast("string"), F.lit("."), kind).alias("path"), content.alias("content"), kind.alias("_kind"))
-    known = F.create_map(*[x for k, v in {"txt": "text", "json": "json", "csv": "csv"}.items() for x in (F.lit(k), F.lit(v))])
+    known = F.create_map(*[x for k, v in {"txt": "text", "json": "json", "csv": "csv", "md": "markdown"}.items() for x in (F.lit(k), F.lit(v))])
     return named.select("path", "content", F.sha2("content", 256).alias("transcript_hash"), known[F.col("_kind")].alias("format"), "conv_id")
 
 

@@ -212,8 +212,17 @@ def register(ending: str, name: str, reader: Callable[[DataFrame], DataFrame]) -
 
 
 def meetings_of(utterances: DataFrame) -> DataFrame:
-    """A row a meeting: its head, its length in seconds (0 for one timestamp, null for none) and its participants."""
-    return utterances.groupBy("meeting_id").agg(
-        F.min("title").alias("title"), F.min("meeting_date").alias("date"), F.min("path").alias("source"), F.min("transcript_hash").alias("transcript_hash"),
-        (F.max("timestamp") - F.min("timestamp")).alias("duration_seconds"), F.array_sort(F.collect_set("speaker")).alias("participants"),
+    """A row a meeting: its head, its length in seconds (0 for one timestamp, null for none) and its participants as they first spoke.
+
+    Utterances are brought down to a row for each meeting and speaker before they leave their tasks; what is sorted is a
+    meeting's speakers alone. An utterance without a speaker adds no participant.
+    """
+    first = utterances.groupBy("meeting_id", "speaker").agg(
+        F.min("utterance_index").alias("at"), F.min("title").alias("title"), F.min("meeting_date").alias("date"), F.min("path").alias("source"), F.min("transcript_hash").alias("transcript_hash"),
+        F.max("timestamp").alias("last"), F.min("timestamp").alias("begin"),
+    )
+    spoke = F.array_sort(F.collect_list(F.when(F.col("speaker").isNotNull(), F.struct("at", "speaker"))))
+    return first.groupBy("meeting_id").agg(
+        F.min("title").alias("title"), F.min("date").alias("date"), F.min("source").alias("source"), F.min("transcript_hash").alias("transcript_hash"),
+        (F.max("last") - F.min("begin")).alias("duration_seconds"), F.transform(spoke, lambda x: x["speaker"]).alias("participants"),
     )
