@@ -97,6 +97,7 @@ PARTS: dict[str, tuple[tuple[str, ...], ...]] = {
     ),
 }
 
+#: Patterns of text that results depend on.
 HEDGES = r"\b(?:maybe|might|perhaps|possibly|potentially|probably|i think|i guess|i suppose|not sure|kind of|sort of|could be|tentatively)\b"
 QUANTITY = r"(?:\d+(?:\.\d+)?\s?%|\$\s?\d|\b\d+(?:\.\d+)?[kKmMbB]?\b|\bQ[1-4]\b|\b\d{4}\b)"
 ASSIGNEE = r"\bassigned to ([A-Z][\w.'-]*(?: [A-Z][\w.'-]*)?)"
@@ -106,7 +107,7 @@ DUE = (
     rf"{WEEKDAYS}|\w+ \d{{1,2}}(?:st|nd|rd|th)?|\d{{1,2}}/\d{{1,2}})|before (?:the )?next meeting)\b"
 )
 
-#: Technologies that are known without a vocabulary of one's own.
+#: Technologies that are known without a vocabulary of one's own, and what names things.
 TECHNOLOGIES = (
     "postgres postgresql mysql sqlite mongodb redis kafka rabbitmq elasticsearch snowflake spark hadoop python java"
     " javascript typescript go rust react vue angular django flask fastapi node docker kubernetes terraform aws gcp"
@@ -118,17 +119,19 @@ CUSTOMER = r"\b(?i:customer|client)\s+([A-Z][A-Za-z0-9]+)\b"
 VENDOR = r"\b(?i:vendor)\s+([A-Z][A-Za-z0-9]+)\b"
 DOCUMENT_FILE = r"(?i)\b([\w-]+\.(?:md|doc|docx|pdf|txt))\b"
 
+#: How much a status counts in a search, and how much each part of a score does.
 STATUS_WEIGHTS = {"active": 1.0, "resolved": 0.7, "archived": 0.5, "superseded": 0.3, "deleted": 0.1}
 RANKING = {"text": 0.30, "phrase": 0.15, "confidence": 0.20, "recency": 0.15, "status": 0.10, "meeting": 0.10}
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Words that a search leaves out.
 STOPWORDS = frozenset(
     "a about all an and any are as at be been by did do does during every for from had has have in involved is it later me"
     " of on or related show since so still that the their them there these this those to was we were what when which who"
     " why with you".split()
 )
 
-#: Title and advice for each type of insight.
+#: Title and advice for each type of insight.
 ACTIONS = {
     "repeatedly_superseded_decision": ("Stabilize a repeatedly changed decision", "Hold a focused review to finalize this decision and record the rationale."),
     "revisited_decision": ("Settle a repeatedly revisited decision", "Assign a clear owner and close the topic with a documented outcome."),
@@ -144,5 +147,6 @@ ACTIONS = {
     "risk_hotspot": ("Reduce risk concentration on a project", "Run a risk review for this project to address clustered risks."),
     "project_blocker": ("Unblock a project", "Prioritize clearing the recurring blockers on this project."),
 }
+#: The order of severities, and the priority that each gives.
 SEVERITIES = {"info": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
 PRIORITIES = {"critical": "urgent", "high": "high", "medium": "medium", "low": "low", "info": "low"}

@@ -76,13 +76,43 @@ def timestamp_label(seconds: Column) -> Column:
     return F.when(millis > 0, F.concat(label, F.format_string(".%03d", millis))).otherwise(label)
 
 
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def round_half_even(x: Column, digits: int) -> Column:
+    """x rounded to digits places by its exact binary value; of two equally near, the one whose last digit is even.
+
+    The product with 10**digits and what it misses of the exact product (Dekker's two-product) tell on which side of
+    the middle x lies, or that it lies in it. Quotients of whole numbers are then the nearest doubles. Values too large
+    to have that many places stay as they are, and so do null, NaN and infinities.
+    """
+    scale = float(10**digits)
+    high = lambda a: (a * 134217729.0) - ((a * 134217729.0) - a)
+    big = 134217729.0 * scale - (134217729.0 * scale - scale)
+    small = scale - big
+
+    def rounded(s: Column) -> Column:
+        a, p, h = s["a"], s["p"], s["h"]
+        lost = ((h * big - p) + h * small + (a - h) * big) + (a - h) * small
+        return _let(F.struct(a.alias("a"), F.floor(p).cast("double").alias("f"), (p - F.floor(p)).alias("d"), lost.alias("lost")), nearest)
+
+    def nearest(s: Column) -> Column:
+        up = (s["d"] > 0.5) | ((s["d"] == 0.5) & ((s["lost"] > 0) | ((s["lost"] == 0) & (F.pmod(s["f"], F.lit(2.0)) == 1))))
+        return (s["f"] + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+
+    sign = F.when((x < 0) | ((x == 0) & (x.cast("string") == "-0.0")), -1.0).otherwise(1.0)
+    exact = _let(F.abs(x.cast("double")), lambda a: _let(F.struct(a.alias("a"), (a * F.lit(scale)).alias("p"), high(a).alias("h")), rounded))
+    return F.when(F.isnan(x) | (F.abs(x) * F.lit(scale) >= 2.0**52), x.cast("double")).otherwise(exact * sign)
+
+
 def has_hedge(x: Column) -> Column:
     return x.rlike("(?i)" + HEDGES)
 
 
 def confidence(base: Column, text: Column, boost: Column) -> Column:
     raw = base + boost - F.when(has_hedge(text), F.lit(0.2)).otherwise(F.lit(0.0))
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 3)
+    return round_half_even(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 3)
 
 
 def word_count(x: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.text import days_between, node_id, quote, severity, slugify
+from ..functions.text import days_between, node_id, quote, round_half_even, severity, slugify
 from . import graph as G
 
 INSIGHT = ("insight_id", "type", "category", "severity", "title", "detail", "metric", "subject")
@@ -62,7 +62,7 @@ def _count(test: Column | str) -> Column:
 
 
 def _share(part: Column, whole: Column, digits: int = 4) -> Column:
-    return F.when(whole > 0, F.round(part / whole, digits)).otherwise(0.0)
+    return F.when(whole > 0, round_half_even(part / whole, digits)).otherwise(0.0)
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -90,8 +90,8 @@ def decision_metrics(c: Context) -> DataFrame:
     again = recurring(d).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("revisited"))
     who = top(d, "speaker").select(F.col("name").alias("top_owner"), F.col("distinct").alias("distinct_owners"))
     row = base.join(again).join(who).join(c.reference)  # one row each
-    return row.select("total", "active", "superseded", "revisited", _share(F.col("active"), F.col("total")).alias("stability"), F.round(F.col("total") / F.greatest("n_meetings", F.lit(1)), 4).alias("density"),
-                      F.round(F.col("total") / (F.greatest("span_days", F.lit(7)) / 7.0), 4).alias("velocity_per_week"), "distinct_owners", "top_owner")
+    return row.select("total", "active", "superseded", "revisited", _share(F.col("active"), F.col("total")).alias("stability"), round_half_even(F.col("total") / F.greatest("n_meetings", F.lit(1)), 4).alias("density"),
+                      round_half_even(F.col("total") / (F.greatest("span_days", F.lit(7)) / 7.0), 4).alias("velocity_per_week"), "distinct_owners", "top_owner")
 
 
 def overdue_days(due: Column, status: Column, reference: Column) -> Column:
@@ -104,7 +104,7 @@ def commitment_metrics(c: Context) -> DataFrame:
     is_open = F.col("status") == "active"
     age = F.when(is_open & (F.col("date") != ""), days_between(F.col("date"), F.col("reference_date")))
     base = d.agg(F.count("*").alias("total"), _count(is_open).alias("open"), _count("status = 'resolved'").alias("resolved"),
-                 _count(overdue_days(F.col("due"), F.col("status"), F.col("reference_date")) > 0).alias("overdue"), F.coalesce(F.round(F.avg(age), 2), F.lit(0.0)).alias("avg_open_age_days"))
+                 _count(overdue_days(F.col("due"), F.col("status"), F.col("reference_date")) > 0).alias("overdue"), F.coalesce(round_half_even(F.avg(age), 2), F.lit(0.0)).alias("avg_open_age_days"))
     who = top(c.of("commitment").where("status = 'active'"), "responsible").select(F.col("name").alias("top_owner"), F.col("n").alias("top_owner_open"))
     return base.join(who).select("total", "open", "resolved", "overdue", _share(F.col("resolved"), F.col("total")).alias("resolution_rate"), "avg_open_age_days", "top_owner", "top_owner_open")
 
@@ -140,7 +140,7 @@ def risk_metrics(c: Context, projects: DataFrame) -> DataFrame:
     again = recurring(d).agg(F.count("*").alias("recurring"), F.coalesce(F.max("meetings"), F.lit(0)).alias("max_recurrence"))
     hot = projects.where("risk_count > 0").agg(F.min_by("name", F.struct(-F.col("risk_count"), F.col("project_id"))).alias("hotspot_project"))
     row = base.join(again).join(hot).join(c.reference)
-    return row.select("total", "open", "resolved", _share(F.col("resolved"), F.col("total")).alias("resolution_rate"), "recurring", "max_recurrence", F.round(F.col("total") / F.greatest("n_meetings", F.lit(1)), 4).alias("density"), "hotspot_project")
+    return row.select("total", "open", "resolved", _share(F.col("resolved"), F.col("total")).alias("resolution_rate"), "recurring", "max_recurrence", round_half_even(F.col("total") / F.greatest("n_meetings", F.lit(1)), 4).alias("density"), "hotspot_project")
 
 
 def _reuse(c: Context) -> DataFrame:
@@ -174,13 +174,13 @@ def health(c: Context, projects: DataFrame | None = None, productivity_target: f
     productivity = _share(x("decisions") + x("commitments"), x("n_meetings"))
     scores = {
         "decision_stability": _share(x("stable"), x("decisions")), "commitment_completion": _share(x("kept"), x("commitments")), "risk_resolution": _share(x("calmed"), x("risks")),
-        "meeting_productivity": F.round(F.least(F.lit(1.0), productivity / productivity_target), 4), "knowledge_reuse": _share(x("reused"), x("n")), "cross_team_collaboration": x("cross_team_collaboration"),
-        "repeated_discussion_rate": _share(x("repeated"), x("contents")), "risk_density": F.round(x("risks") / F.greatest("n_meetings", F.lit(1)), 4),
-        "avg_resolution_days": F.coalesce(F.round(x("took") / F.nullif("timed", F.lit(0)), 2), F.lit(0.0)),
+        "meeting_productivity": round_half_even(F.least(F.lit(1.0), productivity / productivity_target), 4), "knowledge_reuse": _share(x("reused"), x("n")), "cross_team_collaboration": x("cross_team_collaboration"),
+        "repeated_discussion_rate": _share(x("repeated"), x("contents")), "risk_density": round_half_even(x("risks") / F.greatest("n_meetings", F.lit(1)), 4),
+        "avg_resolution_days": F.coalesce(round_half_even(x("took") / F.nullif("timed", F.lit(0)), 2), F.lit(0.0)),
     }
     row = base.join(together).join(c.reference).select(*[v.alias(k) for k, v in scores.items()])  # one row each
     six = list(scores)[:6]
-    return row.withColumn("overall", F.round(sum((x(k) for k in six[1:]), x(six[0])) / len(six), 4))
+    return row.withColumn("overall", round_half_even(sum((x(k) for k in six[1:]), x(six[0])) / len(six), 4))
 
 
 def _insight(rows: DataFrame, kind: str, category: str, level: Column, title: Column, detail: Column, metric: Column, subject: Column, *parts: Column) -> DataFrame:
@@ -192,6 +192,10 @@ def _text(form: str, *args: Column) -> Column:
     return F.format_string(form, *args)
 
 
+def _percent(share: Column) -> Column:
+    return round_half_even(share * 100, 0).cast("int")
+
+
 def decision_insights(c: Context) -> list[DataFrame]:
     d = c.of("decision")
     at = c.memories.select(F.col("memory_id").alias("m"), F.nullif("date", F.lit("")).alias("md"))
@@ -205,7 +209,7 @@ def decision_insights(c: Context) -> list[DataFrame]:
     g, n = recurring(d), F.col("meetings")
     again = _insight(g, "revisited_decision", "decision", severity(n, 2, 4, 6), _text("Decision revisited across %s meetings", n), _text("%s was discussed in %s separate meetings without a durable resolution.", q, n), n, F.col("content_hash"), F.lit("decision"), F.lit("revisited"), F.col("content_hash"))
     one = d.agg(F.count("*").alias("n"), _count("status = 'active'").alias("a")).withColumn("s", F.col("a") / F.col("n")).where("n >= 4 and s < 0.5")
-    loose = _insight(one, "unstable_decisions", "decision", F.lit("medium"), _text("Decision stability is low (%.0f%%)", F.col("s") * 100), _text("Only %s of %s decisions remain active; the rest were superseded or archived.", F.col("a"), F.col("n")), F.round("s", 4), F.lit(None).cast("string"), F.lit("decision"), F.lit("unstable"))
+    loose = _insight(one, "unstable_decisions", "decision", F.lit("medium"), _text("Decision stability is low (%d%%)", _percent(F.col("s"))), _text("Only %s of %s decisions remain active; the rest were superseded or archived.", F.col("a"), F.col("n")), round_half_even(F.col("s"), 4), F.lit(None).cast("string"), F.lit("decision"), F.lit("unstable"))
     return [often, long, again, loose]
 
 
@@ -218,7 +222,7 @@ def commitment_insights(c: Context) -> list[DataFrame]:
     due = _insight(live.where("late > 0"), "overdue_commitment", "commitment", severity(late, 1, 14, 45), _text("Commitment overdue by %s days", late), _text("%s (owner: %s) was due %s and is %s days overdue.", q, F.col("who"), F.col("due"), late), late, mid, F.lit("commitment"), F.lit("overdue"), mid)
     old = _insight(live.where("age >= 30 and late = 0"), "aging_commitment", "commitment", severity(age, 30, 90, 180), _text("Commitment open for %s days", age), _text("%s (owner: %s) has been open for %s days without resolution.", q, F.col("who"), age), age, mid, F.lit("commitment"), F.lit("aging"), mid)
     one = d.agg(F.count("*").alias("n"), _count("status = 'resolved'").alias("r")).withColumn("rate", F.col("r") / F.col("n")).where("n >= 4 and rate < 0.4")
-    low = _insight(one, "low_commitment_resolution", "commitment", F.when(F.col("rate") < 0.2, "high").otherwise("medium"), _text("Commitment resolution rate is low (%.0f%%)", F.col("rate") * 100), _text("Only %s of %s commitments have been resolved across the analysed meetings.", F.col("r"), n), F.round("rate", 4), F.lit(None).cast("string"), F.lit("commitment"), F.lit("resolution"))
+    low = _insight(one, "low_commitment_resolution", "commitment", F.when(F.col("rate") < 0.2, "high").otherwise("medium"), _text("Commitment resolution rate is low (%d%%)", _percent(F.col("rate"))), _text("Only %s of %s commitments have been resolved across the analysed meetings.", F.col("r"), n), round_half_even(F.col("rate"), 4), F.lit(None).cast("string"), F.lit("commitment"), F.lit("resolution"))
     return [over, due, old, low]
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..shared import materialize
 from .intelligence import replay
 
 
@@ -35,7 +36,8 @@ class Session:
 
     def __init__(self, memories: DataFrame, meetings: DataFrame, **filters: str | None):
         chosen = select_meetings(memories, meetings, **filters)
-        self.timeline = replay(memories.join(chosen.select("meeting_id"), "meeting_id", "left_semi"), chosen).orderBy("position")
+        # written once, as each step asks it again
+        self.timeline = materialize(replay(memories.join(chosen.select("meeting_id"), "meeting_id", "left_semi"), chosen).orderBy("position"), "timeline")
         self.place = 0
 
     def step(self) -> Row | None:
@@ -51,6 +53,6 @@ class Session:
         self.place = 0
 
     def run(self) -> Iterator[Row]:
-        for row in self.timeline.where(F.col("position") > self.place).toLocalIterator():
+        for row in self.timeline.where(F.col("position") > self.place).orderBy("position").toLocalIterator():
             self.place = row["position"]
             yield row

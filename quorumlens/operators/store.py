@@ -79,7 +79,8 @@ def deduplicate(memories: DataFrame, threshold: float = 1.0, stored: DataFrame |
     The same point may come up again in another meeting, so meetings are never compared. stored: memories that are
     kept already (meeting_id, content_hash, created_at, memory_id, confidence); they come before all others and are
     not in the result. At 1 or more one memory stays, which is a window inside a meeting. Below that the outcome
-    depends on the order, and the confidences of one hash in one meeting are folded in order.
+    depends on the order. Memories are brought down to the first of each confidence before the shuffle, and those are
+    folded in order: confidences have three decimals, so a hash has 1,001 of them at most, however many rows.
     """
     key = ["meeting_id", "content_hash"]
     rows = memories.withColumn("_new", F.lit(True))
@@ -89,11 +90,18 @@ def deduplicate(memories: DataFrame, threshold: float = 1.0, stored: DataFrame |
     if threshold >= 1:
         w = Window.partitionBy(*key).orderBy("_new", "created_at", "memory_id")
         return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1 and _new").drop("_rank", "_new")
-    item = F.struct("_new", "created_at", "memory_id", "confidence")
-    start = F.array().cast("array<struct<_new:boolean,created_at:string,memory_id:string,confidence:double>>")
-    kept = F.aggregate(F.array_sort(F.collect_list(item)), start, lambda a, x: F.when(x["_new"] & F.exists(a, lambda k: F.abs(k["confidence"] - x["confidence"]) <= threshold), a).otherwise(F.concat(a, F.array(x))))
-    ids = rows.groupBy(*key).agg(F.transform(kept, lambda x: x["memory_id"]).alias("ids")).select(F.explode("ids").alias("memory_id"))
-    return memories.join(ids, "memory_id", "left_semi")
+    # of equal confidences only the first can be kept: what keeps it out, or it itself, keeps out the rest
+    first = rows.groupBy(*key, "confidence").agg(F.min(F.struct("_new", "created_at", "memory_id")).alias("at"))
+    item = F.struct(F.col("at._new").alias("_new"), F.col("at.created_at").alias("created_at"), F.col("at.memory_id").alias("memory_id"), "confidence")
+    start = F.struct(F.array().cast("array<double>").alias("kept"), F.array().cast("array<string>").alias("ids"))
+
+    def step(a: Column, x: Column) -> Column:
+        near = F.exists(a["kept"], lambda k: F.abs(k - x["confidence"]) <= threshold)
+        kept = F.struct(F.concat(a["kept"], F.array(x["confidence"])).alias("kept"), F.when(x["_new"], F.concat(a["ids"], F.array(x["memory_id"]))).otherwise(a["ids"]).alias("ids"))
+        return F.when(x["_new"] & near, a).otherwise(kept)
+
+    folded = first.groupBy(*key).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step)["ids"].alias("ids"))
+    return memories.join(folded.select(F.explode("ids").alias("memory_id")), "memory_id", "left_semi")
 
 
 def latest_status(log: DataFrame) -> DataFrame:

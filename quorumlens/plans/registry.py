@@ -405,29 +405,29 @@ _TOP = lambda col, where: f"(SELECT {col} FROM ctx WHERE {where} AND {col} <> ''
 
 
 @query("decision_metrics", f"""SELECT count(*) AS total, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'superseded') AS superseded, CAST((SELECT coalesce(sum(n), 0) FROM rec WHERE memory_type = 'decision') AS BIGINT) AS revisited,
-  round(count(*) FILTER (status = 'active') / count(*), 4) AS stability, round(count(*) / (SELECT n_meetings FROM ref), 4) AS density, round(count(*) / ((SELECT greatest(span_days, 7) FROM ref) / 7.0), 4) AS velocity_per_week,
+  round_even(count(*) FILTER (status = 'active') / count(*), 4) AS stability, round_even(count(*) / (SELECT n_meetings FROM ref), 4) AS density, round_even(count(*) / ((SELECT greatest(span_days, 7) FROM ref) / 7.0), 4) AS velocity_per_week,
   count(DISTINCT nullif(speaker, '')) AS distinct_owners, {_TOP('speaker', "memory_type = 'decision'")} AS top_owner FROM ctx WHERE memory_type = 'decision'""", more=_RECURRING)
 def decision_metrics(spark, sf_dir):
     return insight.decision_metrics(_context(spark, sf_dir)[0])
 
 
-@query("commitment_metrics", f"""SELECT count(*) AS total, count(*) FILTER (status = 'active') AS open, count(*) FILTER (status = 'resolved') AS resolved, count(*) FILTER (status = 'active' AND due IS NOT NULL AND regexp_full_match(due, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AND {_DAYS('TRY_CAST(due AS DATE)', '(SELECT reference_date FROM ref)')} > 0) AS overdue, round(count(*) FILTER (status = 'resolved') / count(*), 4) AS resolution_rate,
-  round(avg({_DAYS('date', '(SELECT reference_date FROM ref)')}) FILTER (status = 'active'), 2) AS avg_open_age_days, {_TOP('responsible', "memory_type = 'commitment' AND status = 'active'")} AS top_owner,
+@query("commitment_metrics", f"""SELECT count(*) AS total, count(*) FILTER (status = 'active') AS open, count(*) FILTER (status = 'resolved') AS resolved, count(*) FILTER (status = 'active' AND due IS NOT NULL AND regexp_full_match(due, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AND {_DAYS('TRY_CAST(due AS DATE)', '(SELECT reference_date FROM ref)')} > 0) AS overdue, round_even(count(*) FILTER (status = 'resolved') / count(*), 4) AS resolution_rate,
+  round_even(avg({_DAYS('date', '(SELECT reference_date FROM ref)')}) FILTER (status = 'active'), 2) AS avg_open_age_days, {_TOP('responsible', "memory_type = 'commitment' AND status = 'active'")} AS top_owner,
   (SELECT max(n) FROM (SELECT count(*) AS n FROM ctx WHERE memory_type = 'commitment' AND status = 'active' AND responsible <> '' GROUP BY responsible)) AS top_owner_open FROM ctx WHERE memory_type = 'commitment'""")
 def commitment_metrics(spark, sf_dir):
     return insight.commitment_metrics(_context(spark, sf_dir)[0])
 
 
-@query("risk_metrics", """SELECT count(*) AS total, count(*) FILTER (status = 'active') AS open, count(*) FILTER (status IN ('resolved', 'archived')) AS resolved, round(count(*) FILTER (status IN ('resolved', 'archived')) / count(*), 4) AS resolution_rate,
-  (SELECT count(*) FROM rec WHERE memory_type = 'risk') AS recurring, (SELECT coalesce(max(meetings), 0) FROM rec WHERE memory_type = 'risk') AS max_recurrence, round(count(*) / (SELECT n_meetings FROM ref), 4) AS density,
+@query("risk_metrics", """SELECT count(*) AS total, count(*) FILTER (status = 'active') AS open, count(*) FILTER (status IN ('resolved', 'archived')) AS resolved, round_even(count(*) FILTER (status IN ('resolved', 'archived')) / count(*), 4) AS resolution_rate,
+  (SELECT count(*) FROM rec WHERE memory_type = 'risk') AS recurring, (SELECT coalesce(max(meetings), 0) FROM rec WHERE memory_type = 'risk') AS max_recurrence, round_even(count(*) / (SELECT n_meetings FROM ref), 4) AS density,
   (SELECT name FROM pmet WHERE risk_count > 0 ORDER BY risk_count DESC, project_id LIMIT 1) AS hotspot_project FROM ctx WHERE memory_type = 'risk'""", more=f"{_RECURRING}, {GRAPH_SQL}")
 def risk_metrics(spark, sf_dir):
     c, mem, meet = _context(spark, sf_dir)
     return insight.risk_metrics(c, insight.project_metrics(mem, meet))
 
 
-_MEETING = """(SELECT n_meetings FROM ref) AS total_meetings, count(*) AS total_memories, round(count(*) / (SELECT n_meetings FROM ref), 4) AS avg_memories_per_meeting,
-  round(count(*) FILTER (memory_type IN ('decision', 'commitment')) / (SELECT n_meetings FROM ref), 4) AS productivity, round((SELECT count(*) FROM rec) / count(DISTINCT content_hash), 4) AS repeated_discussion_rate, CAST((SELECT span_days FROM ref) AS INT) AS span_days FROM ctx"""
+_MEETING = """(SELECT n_meetings FROM ref) AS total_meetings, count(*) AS total_memories, round_even(count(*) / (SELECT n_meetings FROM ref), 4) AS avg_memories_per_meeting,
+  round_even(count(*) FILTER (memory_type IN ('decision', 'commitment')) / (SELECT n_meetings FROM ref), 4) AS productivity, round_even((SELECT count(*) FROM rec) / count(DISTINCT content_hash), 4) AS repeated_discussion_rate, CAST((SELECT span_days FROM ref) AS INT) AS span_days FROM ctx"""
 
 
 @query("meeting_metrics", f"SELECT {_MEETING}", more=_RECURRING)
@@ -448,16 +448,16 @@ def project_metrics(spark, sf_dir):
     return insight.project_metrics(mem, meet)
 
 
-@query("health_scores", f"""SELECT *, round((decision_stability + commitment_completion + risk_resolution + meeting_productivity + knowledge_reuse + cross_team_collaboration) / 6, 4) AS overall FROM (SELECT
-  round(count(*) FILTER (memory_type = 'decision' AND status = 'active') / count(*) FILTER (memory_type = 'decision'), 4) AS decision_stability,
-  round(count(*) FILTER (memory_type = 'commitment' AND status = 'resolved') / count(*) FILTER (memory_type = 'commitment'), 4) AS commitment_completion,
-  round(count(*) FILTER (memory_type = 'risk' AND status IN ('resolved', 'archived')) / count(*) FILTER (memory_type = 'risk'), 4) AS risk_resolution,
-  round(least(1.0, round(count(*) FILTER (memory_type IN ('decision', 'commitment')) / (SELECT n_meetings FROM ref), 4) / 3.0), 4) AS meeting_productivity,
-  round((SELECT sum(n) FROM (SELECT count(*) AS n FROM ctx GROUP BY content_hash HAVING count(DISTINCT meeting_id) > 1)) / count(*), 4) AS knowledge_reuse,
-  (SELECT round(count(*) FILTER (w) / count(*), 4) FROM (SELECT name, bool_or(len(participants) > 1) AS w FROM (SELECT unnest(participants) AS name, participants FROM meet) GROUP BY 1)) AS cross_team_collaboration,
-  round((SELECT count(*) FROM (SELECT 1 FROM ctx GROUP BY content_hash HAVING count(DISTINCT meeting_id) > 1)) / count(DISTINCT content_hash), 4) AS repeated_discussion_rate,
-  round(count(*) FILTER (memory_type = 'risk') / (SELECT n_meetings FROM ref), 4) AS risk_density,
-  round(avg({_DAYS('substr(created_at, 1, 10)', 'substr(updated_at, 1, 10)')}) FILTER (status IN ('resolved', 'archived')), 2) AS avg_resolution_days FROM ctx)""")
+@query("health_scores", f"""SELECT *, round_even((decision_stability + commitment_completion + risk_resolution + meeting_productivity + knowledge_reuse + cross_team_collaboration) / 6, 4) AS overall FROM (SELECT
+  round_even(count(*) FILTER (memory_type = 'decision' AND status = 'active') / count(*) FILTER (memory_type = 'decision'), 4) AS decision_stability,
+  round_even(count(*) FILTER (memory_type = 'commitment' AND status = 'resolved') / count(*) FILTER (memory_type = 'commitment'), 4) AS commitment_completion,
+  round_even(count(*) FILTER (memory_type = 'risk' AND status IN ('resolved', 'archived')) / count(*) FILTER (memory_type = 'risk'), 4) AS risk_resolution,
+  round_even(least(1.0, round_even(count(*) FILTER (memory_type IN ('decision', 'commitment')) / (SELECT n_meetings FROM ref), 4) / 3.0), 4) AS meeting_productivity,
+  round_even((SELECT sum(n) FROM (SELECT count(*) AS n FROM ctx GROUP BY content_hash HAVING count(DISTINCT meeting_id) > 1)) / count(*), 4) AS knowledge_reuse,
+  (SELECT round_even(count(*) FILTER (w) / count(*), 4) FROM (SELECT name, bool_or(len(participants) > 1) AS w FROM (SELECT unnest(participants) AS name, participants FROM meet) GROUP BY 1)) AS cross_team_collaboration,
+  round_even((SELECT count(*) FROM (SELECT 1 FROM ctx GROUP BY content_hash HAVING count(DISTINCT meeting_id) > 1)) / count(DISTINCT content_hash), 4) AS repeated_discussion_rate,
+  round_even(count(*) FILTER (memory_type = 'risk') / (SELECT n_meetings FROM ref), 4) AS risk_density,
+  round_even(avg({_DAYS('substr(created_at, 1, 10)', 'substr(updated_at, 1, 10)')}) FILTER (status IN ('resolved', 'archived')), 2) AS avg_resolution_days FROM ctx)""")
 def health_scores(spark, sf_dir):
     c, mem, meet = _context(spark, sf_dir)
     return insight.health(c, insight.project_metrics(mem, meet))
@@ -474,9 +474,9 @@ _INSIGHTS = f"""ins AS (
     responsible || ' is responsible for ' || count(*) || ' unresolved commitments, indicating a possible workload bottleneck.', count(*), responsible FROM ctx WHERE memory_type = 'commitment' AND status = 'active' GROUP BY responsible HAVING count(*) >= 3
   UNION ALL SELECT 'decision-superseded-' || {_SLUG('tip')}, 'repeatedly_superseded_decision', 'decision', {_SEV('k - 1', 2, 3, 5)}, 'Decision changed ' || (k - 1) || ' times', {_QUOTED} || ' has been superseded ' || (k - 1) || ' times, suggesting an unsettled decision.', k - 1, tip
     FROM (SELECT start, max_by(tip, k) AS tip, max(k) AS k FROM walk GROUP BY 1) JOIN dec ON memory_id = tip WHERE k > 2
-  UNION ALL SELECT 'decision-unstable', 'unstable_decisions', 'decision', 'medium', 'Decision stability is low (' || CAST(round(100 * a / n) AS INT) || '%)', 'Only ' || a || ' of ' || n || ' decisions remain active; the rest were superseded or archived.', round(a / n, 4), NULL
+  UNION ALL SELECT 'decision-unstable', 'unstable_decisions', 'decision', 'medium', 'Decision stability is low (' || CAST(round_even(100 * a / n, 0) AS INT) || '%)', 'Only ' || a || ' of ' || n || ' decisions remain active; the rest were superseded or archived.', round_even(a / n, 4), NULL
     FROM (SELECT count(*) AS n, count(*) FILTER (status = 'active') AS a FROM dec) WHERE n >= 4 AND a / n < 0.5
-  UNION ALL SELECT 'commitment-resolution', 'low_commitment_resolution', 'commitment', CASE WHEN r / n < 0.2 THEN 'high' ELSE 'medium' END, 'Commitment resolution rate is low (' || CAST(round(100 * r / n) AS INT) || '%)', 'Only ' || r || ' of ' || n || ' commitments have been resolved across the analysed meetings.', round(r / n, 4), NULL
+  UNION ALL SELECT 'commitment-resolution', 'low_commitment_resolution', 'commitment', CASE WHEN r / n < 0.2 THEN 'high' ELSE 'medium' END, 'Commitment resolution rate is low (' || CAST(round_even(100 * r / n, 0) AS INT) || '%)', 'Only ' || r || ' of ' || n || ' commitments have been resolved across the analysed meetings.', round_even(r / n, 4), NULL
     FROM (SELECT count(*) AS n, count(*) FILTER (status = 'resolved') AS r FROM ctx WHERE memory_type = 'commitment') WHERE n >= 4 AND r / n < 0.4
   UNION ALL SELECT 'commitment-aging-' || {_SLUG('memory_id')}, 'aging_commitment', 'commitment', {_SEV(_OLD, 30, 90, 180)}, 'Commitment open for ' || {_OLD} || ' days', {_QUOTED} || ' (owner: ' || coalesce(responsible, 'unassigned') || ') has been open for ' || {_OLD} || ' days without resolution.', {_OLD}, memory_id FROM ctx WHERE memory_type = 'commitment' AND status = 'active' AND {_OLD} >= 30
   UNION ALL SELECT 'risk-unresolved-' || {_SLUG('memory_id')}, 'unresolved_risk', 'risk', {_SEV(_OLD, 30, 90, 180)}, 'Risk unresolved for ' || {_OLD} || ' days', {_QUOTED} || ' has remained open for ' || {_OLD} || ' days.', {_OLD}, memory_id FROM ctx WHERE memory_type = 'risk' AND status = 'active' AND {_OLD} >= 30

@@ -107,7 +107,7 @@ cand AS ({" UNION ALL ".join(_kind_sql(k) for k in R.TYPES)}),
 c1 AS (SELECT *, CASE WHEN memory_type = 'commitment' THEN CASE WHEN regexp_matches(text, '{_Q(R.ASSIGNEE)}') THEN regexp_extract(text, '{_Q(R.ASSIGNEE)}', 1)
     WHEN regexp_matches(text, '{_Q(R.FIRST_PERSON)}') THEN speaker END END AS owner,
   CASE WHEN memory_type = 'commitment' THEN nullif(regexp_extract(text, '(?i){_Q(R.DUE)}'), '') END AS due FROM cand),
-c2 AS (SELECT *, CASE WHEN marked THEN 0.95 ELSE round(greatest(0.0, least(1.0, CAST(h.base AS DOUBLE)
+c2 AS (SELECT *, CASE WHEN marked THEN 0.95 ELSE round_even(greatest(0.0, least(1.0, CAST(h.base AS DOUBLE)
     + CASE WHEN owner IS NOT NULL AND due IS NOT NULL THEN 0.1 WHEN memory_type = 'fact' AND regexp_matches(text, '{_Q(R.QUANTITY)}') THEN 0.15 ELSE 0.0 END
     - CASE WHEN regexp_matches(text, '(?i){_Q(R.HEDGES)}') THEN 0.2 ELSE 0.0 END)), 3) END AS confidence,
   trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM c1),

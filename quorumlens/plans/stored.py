@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import quote
-from ..operators import graph, growth
+from ..operators import graph, growth, index, retrieval
 from ..operators import intelligence as insight
 from ..operators import store as S
+from ..operators.extraction import extract
 from ..shared import fresh_dir, materialize
 from ..sources.transcripts import _described
 from ..streaming import ingest
 from . import sample
-from .registry import _ALL, _EDGE, _MEETING, _NEAR, _RECURRING, _SYM, query
+from .registry import _ALL, _EDGE, _MEETING, _NEAR, _RECURRING, _SYM, _search_sql, query
 from .sample import GRAPH_SQL
 
 NOW = "2024-03-01T00:00:00+00:00"
@@ -240,3 +241,38 @@ def cadence_recommendation(spark, sf_dir):
 def long_quotes(spark, sf_dir):
     _, mem, _ = sample.store(spark, sf_dir)
     return mem.select("memory_id", quote(F.concat_ws("  ", "text", "text")).alias("quoted"))
+
+
+# ---- deduplication by confidence, and search by an index
+
+
+def _varied(rows: DataFrame) -> DataFrame:
+    """Memories before deduplication, with confidences that differ between equal ones of a meeting, as a store's rows."""
+    less = F.col("utterance_index") % 40 / F.lit(1000.0)
+    rows = rows.withColumn("confidence", F.round(F.col("confidence") - less, 3))
+    return rows.select("memory_id", "meeting_id", "content_hash", "confidence", F.lit(NOW).alias("created_at"))
+
+
+@query("dedup_within_threshold", "SELECT memory_id FROM vkept", more="""v AS (SELECT meeting_id, content_hash, memory_id, round(confidence - utterance_index % 40 / 1000.0::DOUBLE, 3) AS c, row_number() OVER (PARTITION BY meeting_id, content_hash ORDER BY memory_id) AS i
+  FROM (SELECT meeting_id, meeting_id || ':' || memory_type || ':' || utterance_index AS memory_id, sha256(memory_type || chr(10) || norm) AS content_hash, confidence, utterance_index FROM c2)),
+fold(meeting_id, content_hash, i, kept, ids) AS (SELECT meeting_id, content_hash, CAST(1 AS BIGINT), [c], [memory_id] FROM v WHERE i = 1
+  UNION ALL SELECT v.meeting_id, v.content_hash, v.i, CASE WHEN len(list_filter(f.kept, lambda k: abs(k - v.c) <= 0.01)) > 0 THEN f.kept ELSE list_append(f.kept, v.c) END, CASE WHEN len(list_filter(f.kept, lambda k: abs(k - v.c) <= 0.01)) > 0 THEN f.ids ELSE list_append(f.ids, v.memory_id) END
+  FROM fold f JOIN v ON v.meeting_id = f.meeting_id AND v.content_hash = f.content_hash AND v.i = f.i + 1),
+vkept AS (SELECT meeting_id, content_hash, unnest(ids) AS memory_id FROM (SELECT meeting_id, content_hash, arg_max(ids, i) AS ids FROM fold GROUP BY 1, 2))""", recursive=True)
+def dedup_within_threshold(spark, sf_dir):
+    """Of equal memories of a meeting, those more than a hundredth from all kept before them."""
+    rows = _varied(extract(sample.event_utterances(spark, sf_dir), deduplicate=False))
+    return S.deduplicate(rows, 0.01).select("memory_id")
+
+
+def _indexed(name: str, q: retrieval.Query, terms: list[str], where: str) -> None:
+    @query(name, "SELECT memory_id, score FROM found", more=_search_sql(terms, where))
+    def search(spark, sf_dir):
+        """A search that reads the blocks that the trigram index names."""
+        _, mem, meet = sample.store(spark, sf_dir)
+        built = index.build(mem, meet, fresh_dir(spark, "indexes"), block_rows=256)
+        return built.search(q)[0].select("memory_id", F.round("score", 6).alias("score"))
+
+
+_indexed("search_indexed", retrieval.Query("risk dependency atlas"), ["dependency", "atlas"], "memory_type = 'risk'")
+_indexed("search_indexed_customer", retrieval.Query("acme5 usage"), ["acme5", "usage"], "true")

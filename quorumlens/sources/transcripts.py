@@ -44,22 +44,81 @@ def _described(rows: DataFrame) -> DataFrame:
 
 
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """Members of zip archives, path being `archive.zip:member`; the one source that Spark has no reader for."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
-
-    def members(parts: Iterator) -> Iterator:
-        import io
-        import zipfile
-
-        import pandas as pd
+    """Members of zip archives, path being `archive.zip:member`, with `problem`: why a member, or a whole archive, could not be read.
 
-        for part in parts:
-            for name, content in zip(part["name"], part["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for m in sorted(x for x in z.namelist() if not x.endswith("/")):  # a member at a time
-                        yield pd.DataFrame({"path": [f"{name}:{m}"], "content": [z.read(m).decode("utf-8", "replace")]})
-
-    return _described(files.mapInPandas(members, "path string, content string"))
+    Spark reads the archives, so they may lie in any store that it knows. A task cuts an archive into its members as
+    they are, compressed; these are dealt to all tasks, which unpack, check and decode them, so one archive of very many
+    members is no single task's work. An archive is one value, which Spark limits to 2 GB. Of members of one name the last
+    counts, as everywhere; problems() and imports report rows with a problem, parse() leaves them out.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
+    members = files.mapInArrow(_members, "path string, method int, flags int, crc long, packed binary, problem string")
+    dealt = members.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return _described(dealt.mapInArrow(_unpacked, "path string, content string, problem string"))
+
+
+def _members(parts: Iterator) -> Iterator:
+    """Each archive's members, still compressed."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    names = ["path", "method", "flags", "crc", "packed", "problem"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    for part in parts:
+        for i in range(part.num_rows):
+            name, content = part.column(0)[i].as_py(), part.column(1)[i].as_buffer()
+            view, rows, held = memoryview(content), [], 0
+            try:
+                with zipfile.ZipFile(io.BytesIO(view)) as z:
+                    found = {m.filename: m for m in z.infolist() if not m.is_dir()}
+            except (zipfile.BadZipFile, ValueError, NotImplementedError):
+                yield batch([(name, 0, 0, 0, None, "not a zip archive")])
+                continue
+            for m in found.values():
+                at = m.header_offset
+                head = bytes(view[at : at + 30])
+                if len(head) < 30 or head[:4] != b"PK\x03\x04":
+                    rows.append((f"{name}:{m.filename}", 0, 0, 0, None, "the member is not where the archive says"))
+                else:
+                    begin = at + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+                    rows.append((f"{name}:{m.filename}", m.compress_type, m.flag_bits, m.CRC, bytes(view[begin : begin + m.compress_size]), None))
+                    held += m.compress_size
+                if held > 8_000_000 or len(rows) >= 1000:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+
+def _unpacked(parts: Iterator) -> Iterator:
+    import zlib
+
+    import pyarrow as pa
+
+    def text_of(method: int, flags: int, crc: int, packed: bytes) -> tuple[str | None, str | None]:
+        if flags & 1:
+            return None, "the member is encrypted"
+        if method not in (0, 8):
+            return None, f"compression method {method} is not read"
+        try:
+            data = packed if method == 0 else zlib.decompress(packed, -15)
+        except zlib.error:
+            return None, "the member is broken"
+        if zlib.crc32(data) != crc:
+            return None, "the member's checksum is wrong"
+        try:
+            return data.decode("utf-8"), None
+        except UnicodeDecodeError:
+            return None, "not UTF-8"
+
+    for part in parts:
+        for i in range(part.num_rows):  # a member at a time
+            path, method, flags, crc, packed, problem = (c[i].as_py() for c in part.columns)
+            content, wrong = (None, problem) if problem else text_of(method, flags, crc, packed)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.string()), pa.array([wrong], pa.string())], ["path", "content", "problem"])
 
 
 def from_text(spark: SparkSession, content: str, ending: str = "txt") -> DataFrame:
@@ -130,7 +189,9 @@ def _markdown(files: DataFrame) -> DataFrame:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Utterances of text, Markdown, JSON and CSV files, by the format of each."""
+    """Utterances of text, Markdown, JSON and CSV files, by the format of each; files that could not be read have none."""
+    if "problem" in files.columns:
+        files = files.where("problem is null").drop("problem")
     framed = _front_matter(files.where("format in ('text', 'markdown')"))
     text = framed.where("format = 'text'").unionByName(_markdown(framed.where("format = 'markdown'")))
     turns = _folded(_turn_lines(text))
@@ -143,6 +204,9 @@ def parse(files: DataFrame) -> DataFrame:
 
 def problems(files: DataFrame) -> DataFrame:
     """(path, problem) of files that give no utterances because something is wrong with them."""
+    if "problem" in files.columns:
+        rest = files.where("problem is null").drop("problem")
+        return files.where("problem is not null").select("path", "problem").unionByName(problems(rest))
     framed = _front_matter(files.where("format in ('text', 'markdown')"))
     early = _folded(_turn_lines(framed.where("format = 'text'"))).where("turn = 0").select("path", F.lit("a line stands before any turn").alias("problem"))
     unread = files.where("format = 'json'").where(F.try_parse_json("content").isNull()).select("path", F.lit("not JSON").alias("problem"))
