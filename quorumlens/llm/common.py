@@ -73,3 +73,14 @@ def row_numbers(blocks: DataFrame, order: Sequence[str], out: str = "position")
     before = materialize(prefix_totals(counts, "_block", ["n"]), "block_counts")
     inside = F.row_number().over(Window.partitionBy("_block").orderBy(*order)) - 1
     return blocks.withColumn("_inside", inside).join(before, "_block").withColumn(out, F.col("_inside") + F.col("before_n")).drop("_inside", "before_n", "_block")
+
+
+def sifted(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, buckets: int = 1 << 20) -> DataFrame:
+    """The rows whose key may be among wanted's, before a join that would shuffle all rows for the few that meet.
+
+    What is broadcast is the hash buckets that wanted has, `buckets` numbers at most, whatever the data; where wanted has
+    so many keys that all buckets are hit, all rows stay. Nulls count as one key.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
+    hit = materialize(wanted.select(bucket(wanted_key).alias("_bucket")).distinct(), "buckets")
+    return rows.withColumn("_bucket", bucket(key)).join(F.broadcast(hit), "_bucket", "left_semi").drop("_bucket")

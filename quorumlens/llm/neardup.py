@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ordered_blocks, partitions, row_numbers, text_or_empty
+from .common import materialize, ordered_blocks, partitions, row_numbers, sifted, text_or_empty
 from .graphs import components
-from .tokens import batches
+from .tokens import slices
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Odd multipliers of a 64-bit finaliser.
@@ -112,14 +112,14 @@ def fingerprints(docs: DataFrame, k: int, percent: int, rows: int, text: str = "
         import pyarrow as pa
 
         for part in parts:
-            ids, texts = part.column(0), part.column(1).to_pylist()
-            for s in batches(texts, 1_000_000):
-                sets = shingle_sets(texts[s], k)
+            ids, texts = part.column(0), part.column(1)
+            for s in slices(texts, 500_000):
+                sets = shingle_sets(texts.slice(s.start, s.stop - s.start).to_pylist(), k)
                 full = [x for x in sets if len(x)]
                 keys = iter(band_keys(sketches(full, t), rows))
                 digests = _digests(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[s], pa.array([len(x) for x in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([next(keys) if len(x) else [] for x in sets], pa.list_(pa.int64()))],
+                    [ids.slice(s.start, s.stop - s.start), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([next(keys) if len(x) else [] for x in sets], pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "d0", "d1", "bands"],
                 )
 
@@ -198,7 +198,7 @@ def _verified(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return materialize(dealt.mapInArrow(link, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 6, text: str = "text", chunk: int = 256, chunk_shingles: int = 400_000, anchors: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 6, text: str = "text", chunk: int = 256, chunk_shingles: int = 400_000, anchors: int = 8, chunk_pairs: int = 256) -> DataFrame:
     """A row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of k-word shingles.
@@ -212,9 +212,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     3. Verification. Full sets are made again from the texts of nodes in groups. A group is dealt into chunks of
        about `chunk` nodes and chunk_shingles shingles, a few nodes (anchors) standing in all chunks; a chunk
        computes all its intersections and returns a spanning star for each component.
-    4. Groups of several chunks that are not one component yet compare every chunk with every other, except
-       chunks of one and the same component. So no link between different components is left out, and no task
-       holds more than two chunks.
+    4. Groups of several chunks that are not one component yet are searched for links between their components by
+       the rarest shingles of each node (cross_links), which finds all of them without comparing chunks.
 
     A null or empty text, or one of white space, has no shingles and is linked with nothing. Rows with the same
     doc_id stand for one document: links of either hold for both. A null doc_id is no document's name: such rows
@@ -230,7 +229,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     mine = nodes.select(F.col("d0").alias("e0"), F.col("d1").alias("e1"), "first", "node")
     reps = prints.join(mine, (F.col("d0") == F.col("e0")) & (F.col("d1") == F.col("e1")) & F.col("doc_id").eqNullSafe(F.col("first")))
     keyed = reps.select("node", F.explode("bands").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head")
+    heads = materialize(keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head"), "heads")
     # a node and all its heads hang on the least of them, so a group has few edges besides one a node
     hung = keyed.join(heads, "key").groupBy("node").agg(F.min("head").alias("a"), F.collect_set("head").alias("heads"))  # a head a band at most
     near = hung.select("a", F.explode(F.array_union("heads", F.array("node"))).alias("b")).where("a <> b").distinct()
@@ -250,30 +249,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     links = materialize(links.unionByName(_same_document(narrow, nodes)), "all_links")
     labels = components(links)
 
-    state = members.where("parts > 1").join(labels, "node", "left").select("node", "n_shingles", "group", F.coalesce("label", "node").alias("label"))
+    state = members.where("parts > 1").join(labels, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label"))
     state = materialize(state, "state")
-    counts = state.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    counts = materialize(counts.withColumns({"large": (F.col("n") >= chunk // 2) | (F.col("s") >= chunk_shingles // 2), "slots": _chunks("n", "s", chunk, chunk_shingles)}), "label_sizes")
-    small = [F.sum(F.when(~F.col("large"), F.col(c)).otherwise(0)).alias(f"small_{c}") for c in "ns"]
-    split = counts.groupBy("group").agg(F.count("*").alias("labels"), *small).where("labels > 1")
-    split = materialize(split.select("group", _chunks("small_n", "small_s", chunk, chunk_shingles).alias("small_slots")), "split_groups")
-    dealt = state.join(counts.select("label", "large", "slots"), "label").join(split, "group")
-    slot = F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.col("slots"))).otherwise(F.pmod(F.xxhash64("label"), F.col("small_slots")))
-    chunked = materialize(dealt.select("node", "group", F.when(F.col("large"), F.col("label")).alias("whole"), F.concat_ws(":", F.when(F.col("large"), F.col("label").cast("string")).otherwise(F.lit("s")), slot.cast("string")).alias("chunk")), "chunked")
-    if chunked.limit(1).count():
-        # each chunk meets those of its group from its own number on: a row a chunk, then a row a pair
-        names = chunked.select("group", "chunk", "whole").distinct()
-        names = names.withColumn("no", F.row_number().over(Window.partitionBy("group").orderBy("chunk")))
-        names = materialize(names, "chunk_names")
-        last = materialize(names.groupBy("group").agg(F.max("no").alias("last")), "chunk_counts")
-        mates = names.join(last, "group").select("group", "chunk", "whole", F.explode(F.sequence("no", "last")).alias("no"))
-        mates = mates.repartition(partitions(docs.sparkSession))
-        other = names.select("group", "no", F.col("chunk").alias("chunk2"), F.col("whole").alias("whole2"))
-        pairs = mates.join(other, ["group", "no"]).where("whole is null or whole2 is null or whole <> whole2")
-        pairs = materialize(pairs.select("group", F.array_distinct(F.array("chunk", "chunk2")).alias("both"), F.concat_ws("|", "chunk", "chunk2").alias("pair")), "chunk_pairs")
-        again = chunked.select("node", "group", "chunk").join(pairs.withColumn("chunk", F.explode("both")), ["group", "chunk"])
-        more = _verified(again.select("node", "group", "pair").join(sets, "node"), ["group", "pair"], percent)
-        labels = components(links.unionByName(more))
+    split = state.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("group")
+    apart = materialize(state.join(split, "group", "left_semi").select("node", "label").join(sets, "node"), "apart")
+    if apart.limit(1).count():
+        labels = components(links.unionByName(cross_links(apart, percent, chunk_pairs)))
 
     # the least doc_id of a component is its least node's
     final = nodes.select("node", "d0", "d1").join(labels, "node", "left").select("d0", "d1", F.coalesce("label", "node").alias("head"))
@@ -282,9 +263,113 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _chunks(n: str, s: str, chunk: int, chunk_shingles: int):
-    """How many chunks hold n nodes with s shingles."""
-    return F.greatest(F.ceil(F.col(n) / chunk), F.ceil(F.col(s) / chunk_shingles), F.lit(1)).cast("long")
+#: Buckets that shingles are counted in to tell rare ones; their counts are all that goes through the driver.
+BUCKETS = 1 << 18
+
+
+def _frequencies(rows: DataFrame) -> np.ndarray:
+    """How many sets of rows (shingles: binary) hold a shingle of each bucket, repeats in a set included."""
+
+    def count(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = np.zeros(BUCKETS, np.int64)
+        for part in parts:
+            for s in slices(part.column(0), 4_000_000):
+                some = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(0).slice(s.start, s.stop - s.start)])
+                total += np.bincount(_mix(some) % np.uint64(BUCKETS), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    found = rows.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
+    out = np.zeros(BUCKETS, np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _least_shared(size, percent: int):
+    """How many elements a set of this size shares at least with any set that it is linked with."""
+    return -(-percent * size // 100)
+
+
+def rare_shingles(rows: DataFrame, percent: int) -> DataFrame:
+    """(h, node, label, size, place): the shingles of each set up to the last that may be the first of a link's shared ones.
+
+    Shingles are put in one order for all sets, rare ones first. Of two linked sets, the first of the shared shingles in
+    that order stands, in both, before all but as many as a link must share. A shingle that no other set has is left out.
+    """
+    seen = rows.sparkSession.sparkContext.broadcast(_frequencies(rows))  # 2 MB, whatever the data
+
+    def cut(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        frequency = seen.value
+        for part in parts:
+            nodes, labels = (part.column(i).to_numpy() for i in range(2))
+            for s in slices(part.column(2), 2_000_000):
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(2).slice(s.start, s.stop - s.start)]
+                size = np.array([len(x) for x in sets], np.int64)
+                every = np.concatenate(sets)
+                of = np.repeat(np.arange(len(sets)), size)
+                often = frequency[_mix(every) % np.uint64(BUCKETS)]
+                order = np.lexsort((every, often, of))
+                place = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
+                keep = (place < (size - _least_shared(size, percent) + 1)[of]) & (often[order] > 1)
+                h, n = every[order][keep], of[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(nodes[s][n]), pa.array(labels[s][n]), pa.array(size[n]), pa.array(place[keep])],
+                    names=["h", "node", "label", "size", "place"],
+                )
+
+    return rows.select("node", "label", "shingles").mapInArrow(cut, "h long, node long, label long, size long, place long")
+
+
+def _may_link(parts: Iterator, percent: int) -> Iterator:
+    """Pairs (a, b) of nodes of one shingle and different labels, whose sizes and places leave room for a link."""
+    import pyarrow as pa
+
+    for _, group in _groups(parts, 3):
+        node, label, size, place = (np.array(c, np.int64) for c in zip(*group))
+        need = -(-percent * (size[:, None] + size[None, :]) // (100 + percent))
+        room = 1 + np.minimum((size - place - 1)[:, None], (size - place - 1)[None, :])
+        i, j = np.nonzero((label[:, None] < label[None, :]) & (room >= need) & (need <= np.minimum(size[:, None], size[None, :])))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+
+
+def cross_links(rows: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
+    """Edges (a, b): all links between sets of different labels; rows: node, label, shingles (binary, sorted).
+
+    Two linked sets share one of their rare shingles. Shingles whose sets have one label are dropped as a whole, and of
+    the others' pairs those whose sizes, and the shingle's places in both sets, rule a link out. What is left is compared
+    by its full sets. A shingle of more than `chunk` sets is dealt into chunks that meet in pairs, a few numbers a set.
+    """
+    spark = rows.sparkSession
+    rare = materialize(rare_shingles(rows, percent), "rare_shingles")
+    sizes = rare.groupBy("h").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    sizes = materialize(sizes.select("h", F.ceil(F.col("n") / chunk).cast("long").alias("parts")), "shared_shingles")
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    met = rare.join(sizes, "h").withColumn("own", own).select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"), "own", "node", "label", "size", "place")
+    dealt = met.select("h", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "node", "label", "size", "place")
+    dealt = dealt.repartition(partitions(spark), "h", "one", "two").sortWithinPartitions("h", "one", "two")
+    pairs = materialize(dealt.mapInArrow(lambda parts: _may_link(parts, percent), "a long, b long").distinct(), "pairs_to_compare")
+    mine = rows.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    theirs = rows.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+
+    def compare(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in parts:
+            a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
+            keep = np.zeros(len(a), bool)
+            for i, (x, y) in enumerate(zip(part.column(2), part.column(3))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    both = pairs.join(mine, "a").join(theirs, "b").select("a", "b", "x", "y")
+    return materialize(both.mapInArrow(compare, "a long, b long"), "cross_links")
 
 
 def _same_document(narrow: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -304,15 +389,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame:
         seen: set[int] = set()  # repeated rows of a document give its set once
         for part in parts:
             node, d0, d1 = (part.column(i).to_numpy() for i in range(3))
-            texts = part.column(3).to_pylist()
-            for s in batches(texts, 1_000_000):
-                sets = shingle_sets(texts[s], k)
+            texts = part.column(3)
+            for s in slices(texts, 500_000):
+                sets = shingle_sets(texts.slice(s.start, s.stop - s.start).to_pylist(), k)
                 good = ((_digests(sets) == np.stack([d0[s], d1[s]], axis=1)).all(axis=1)).tolist()
                 out = [(n, x) for n, x, g in zip(node[s].tolist(), sets, good) if g and n not in seen and not seen.add(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([x.tobytes() for _, x in out], pa.binary())], names=["node", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty(text).alias("t"))
-    rows = texts.join(wanted, F.col("_id").eqNullSafe(F.col("first"))).select("node", "d0", "d1", "t")
+    rows = sifted(texts, "_id", wanted, "first").join(wanted, F.col("_id").eqNullSafe(F.col("first"))).select("node", "d0", "d1", "t")
     return materialize(rows.mapInArrow(make, "node long, shingles binary"), "shingles")
 
 
