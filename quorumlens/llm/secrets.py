@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -9,9 +10,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize, shared_dir, text_or_empty
+from .common import let, materialize, partitions, shared_dir, text_or_empty
 
 SPANS = "array<struct<kind:string,start:int,stop:int>>"
+#: Hexadecimal digits of a blob that the ledger's tables are parted by.
+PREFIX = 2
 
 
 @dataclass(frozen=True)
@@ -47,15 +50,15 @@ RULES = (
 )
 
 
-def running_totals(sizes: Column, chunk: int = 500) -> Column:
-    """For an array of whole numbers the sum before each place, as an array.
+def running_totals(sizes: Column, chunk: int = 500, combine=lambda a, x: a + x) -> Column:
+    """For an array of whole numbers, none below 0, the sum before each place, or what combine makes of those before.
 
     A fold that appends copies its array each time, so sums run inside chunks and over the chunks' totals.
     """
     none = F.array().cast("array<bigint>")
 
     def prefixes(xs: Column, start: Column) -> Column:
-        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        step = lambda a, x: F.struct(combine(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
         return F.aggregate(xs, F.struct(start.alias("at"), none.alias("out")), step, lambda a: a["out"])
 
     def over(xs: Column) -> Column:
@@ -63,7 +66,7 @@ def running_totals(sizes: Column, chunk: int = 500) -> Column:
         chunks = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(xs, i * chunk + 1, chunk))).otherwise(F.array().cast("array<array<bigint>>"))
 
         def placed(cs: Column) -> Column:
-            totals = F.transform(cs, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x))
+            totals = F.transform(cs, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), combine))
             return F.flatten(F.zip_with(cs, prefixes(totals, F.lit(0).cast("bigint")), prefixes))
 
         return let(chunks, placed)
@@ -107,7 +110,8 @@ def scan_ledger(docs: DataFrame, ledger: str, text: str = "text", rules: Sequenc
     (blob, rule, version, spans) and, where `path` names a column, `versions` (path, version, blob): the content that
     each path had in each version of the corpus. A blob whose (rule, version) pairs are all in `scanned` is not read
     again: its text does not leave its task. So a later version of a corpus costs what changed in it, and a raised
-    rule version costs one search by that rule. Findings are appended before scanned pairs; a job lost between the
+    rule version costs one search by that rule. `scanned` and `findings` are parted by the first two digits of blob, and a
+    batch reads the parts of its own blobs alone. A path's content is kept once a version. Findings are appended before scanned pairs; a job lost between the
     two repeats its scan and the repeated findings, being equal, fall together on reading.
 
     A null text counts as empty and has no spans. Equal texts share a blob and get equal spans, each row its own.
@@ -118,7 +122,8 @@ def scan_ledger(docs: DataFrame, ledger: str, text: str = "text", rules: Sequenc
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     docs = docs.drop("blob", "spans").withColumn("blob", F.sha2(F.encode(text_or_empty(text), "utf-8"), 256))
     asked = materialize(docs.select("blob").distinct(), "asked")
-    scanned = _stored(spark, f"{ledger}/scanned", "blob string, rule string, version int")
+    prefixes = sorted(r[0] for r in asked.select(_prefix()).distinct().collect())  # 256 at most
+    scanned = _stored(spark, f"{ledger}/scanned", "blob string, rule string, version int, prefix string").where(F.col("prefix").isin(prefixes))
     known = scanned.join(asked, "blob", "left_semi").groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("done"))
     want = [F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules]
     todo = F.array_except(F.array(*want), F.coalesce(F.col("done"), F.array().cast("array<struct<rule:string,version:int>>")))
@@ -129,12 +134,13 @@ def scan_ledger(docs: DataFrame, ledger: str, text: str = "text", rules: Sequenc
     new = f"{ledger}/batches/{uuid.uuid4().hex}"
     results.select("blob", F.transform("results", lambda x: F.struct(x["rule"], x["version"])).alias("pairs"), F.filter("results", lambda x: F.size(x["spans"]) > 0).alias("found")).write.option("compression", "zstd").parquet(new)
     batch = spark.read.parquet(new)
-    batch.select("blob", F.explode("found").alias("x")).select("blob", "x.rule", "x.version", "x.spans").write.mode("append").parquet(f"{ledger}/findings")
-    batch.select("blob", F.explode("pairs").alias("x")).select("blob", "x.*").write.mode("append").option("compression", "zstd").parquet(f"{ledger}/scanned")
+    keep = lambda rows, table: rows.withColumn("prefix", _prefix()).repartition(partitions(spark), "prefix").write.mode("append").option("compression", "zstd").partitionBy("prefix").parquet(f"{ledger}/{table}")
+    keep(batch.select("blob", F.explode("found").alias("x")).select("blob", "x.rule", "x.version", "x.spans"), "findings")
+    keep(batch.select("blob", F.explode("pairs").alias("x")).select("blob", "x.*"), "scanned")
     if path is not None:
-        docs.select(F.col(path).cast("string").alias("path"), F.lit(version).alias("version"), "blob").write.mode("append").option("compression", "zstd").parquet(f"{ledger}/versions")
+        _keep_versions(docs.select(F.col(path).cast("string").alias("path"), F.lit(version).alias("version"), "blob"), ledger, version)
 
-    findings = _findings(spark, ledger, rules).join(asked, "blob", "left_semi")
+    findings = _findings(spark, ledger, rules).where(F.col("prefix").isin(prefixes)).join(asked, "blob", "left_semi")
     by_blob = findings.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
     keyed = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), order[x["kind"]].alias("k"), x["stop"].alias("stop"), x["kind"].alias("kind")))
     ordered = F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
@@ -144,7 +150,22 @@ def scan_ledger(docs: DataFrame, ledger: str, text: str = "text", rules: Sequenc
 
 def _findings(spark: SparkSession, ledger: str, rules: Sequence[Rule]) -> DataFrame:
     live = " or ".join(f"(rule = '{r.kind}' and version = {r.version})" for r in rules) or "false"
-    return _stored(spark, f"{ledger}/findings", f"blob string, rule string, version int, spans {SPANS}").where(live)
+    return _stored(spark, f"{ledger}/findings", f"blob string, rule string, version int, spans {SPANS}, prefix string").where(live)
+
+
+def _prefix() -> Column:
+    """What the ledger's tables are parted by: a batch reads and writes the parts of its blobs alone."""
+    return F.substring("blob", 1, PREFIX).alias("prefix")
+
+
+def _keep_versions(rows: DataFrame, ledger: str, version: str) -> None:
+    """Append the contents of a version's paths that the ledger does not have yet."""
+    spark = rows.sparkSession
+    part = hashlib.sha256(version.encode()).hexdigest()[:16]
+    old = _stored(spark, f"{ledger}/versions", "path string, version string, blob string, part string").where(F.col("part") == part)
+    had = old.select(F.col("path").alias("_path"), F.col("blob").alias("_blob"))
+    new = rows.distinct().join(had, F.col("path").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_blob")), "left_anti")
+    new.withColumn("part", F.lit(part)).write.mode("append").option("compression", "zstd").partitionBy("part").parquet(f"{ledger}/versions")
 
 
 def findings_by_path(spark: SparkSession, ledger: str, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -152,7 +173,7 @@ def findings_by_path(spark: SparkSession, ledger: str, rules: Sequence[Rule] = R
 
     A path that was scanned twice with one content in one version counts once.
     """
-    versions = _stored(spark, f"{ledger}/versions", "path string, version string, blob string").distinct()
+    versions = _stored(spark, f"{ledger}/versions", "path string, version string, blob string, part string").drop("part").distinct()
     found = _findings(spark, ledger, rules).select("blob", F.explode("spans").alias("s")).select("blob", "s.*").distinct()
     return versions.join(materialize(found, "findings"), "blob").select("path", "version", "blob", "kind", "start", "stop")
 
@@ -163,13 +184,13 @@ def fresh_ledger(spark: SparkSession) -> str:
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """Replace every span of the `spans` column in the text by mask; overlapping spans are replaced as one."""
-    merged = F.aggregate(
-        F.col("spans"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["stop"].alias("at"), F.concat(a["out"], F.array(F.substring(F.col(text), a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).alias("out"))).otherwise(F.struct(F.greatest(a["at"], x["stop"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text), a["at"] + 1, F.lit(2**31 - 1))),
-    )
-    return docs.withColumn(text, F.when(F.size("spans") > 0, merged).otherwise(F.col(text)))
+    spans, body = F.col("spans"), F.col(text)
+    # a span that begins before an earlier one has ended is part of it
+    before = running_totals(F.transform(spans, lambda x: x["stop"]), combine=lambda a, x: F.greatest(a, x))
+    gap = lambda x, at: F.when(x["start"] >= at, F.concat(F.substring(body, (at + 1).cast("int"), (x["start"] - at).cast("int")), F.lit(mask))).otherwise("")
+    last = F.array_max(F.transform(spans, lambda x: x["stop"]))
+    masked = F.concat(F.array_join(F.zip_with(spans, before, gap), ""), F.substring(body, last + 1, F.lit(2**31 - 1)))
+    return docs.withColumn(text, F.when(F.size("spans") > 0, masked).otherwise(body))
 
 
 def _digest(spans: Column) -> Column:
