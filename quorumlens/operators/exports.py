@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,3 +115,52 @@ def report_html(data: dict) -> str:
 
 def report_json(data: dict) -> str:
     return json.dumps(data, sort_keys=True, ensure_ascii=False, indent=2)
+
+
+@dataclass(frozen=True)
+class Exporter:
+    """lines makes (order columns, line) from tables by name (memories, meetings, nodes, edges); files with these endings are its."""
+
+    endings: Sequence[str]
+    lines: Callable[[Mapping[str, DataFrame]], DataFrame]
+    order: Sequence[str]
+
+
+def _csv_lines(tables: Mapping[str, DataFrame]) -> DataFrame:
+    rows = csv_rows(tables["memories"])
+    head = rows.sparkSession.createDataFrame([(0, "", ",".join(rows.columns))], "part int, place string, line string")
+    cell = F.to_csv(F.struct(*rows.columns), {"quote": '"', "escape": '"', "emptyValue": ""})
+    return head.unionByName(rows.select(F.lit(1).alias("part"), F.col("memory_id").alias("place"), cell.alias("line")))
+
+
+#: Exporters by name. register_exporter() adds one's own.
+EXPORTERS: dict[str, Exporter] = {
+    "csv": Exporter((".csv",), _csv_lines, ("part", "place")),
+    "dot": Exporter((".dot", ".gv"), lambda t: dot_lines(t["nodes"], t["edges"]), ("part", "line")),
+    "json": Exporter((".json", ".jsonl"), lambda t: json_lines(t["memories"]), ("line",)),
+    "markdown": Exporter((".md", ".markdown"), lambda t: meeting_summaries(t["memories"], t["meetings"]), ("meeting_id", "part", "place")),
+    "mermaid": Exporter((".mmd",), lambda t: mermaid_lines(t["nodes"], t["edges"]), ("part", "place")),
+}
+
+
+def register_exporter(name: str, exporter: Exporter) -> None:
+    """Add an exporter; a name or an ending that is taken is an error."""
+    taken = {e: n for n, x in EXPORTERS.items() for e in x.endings}
+    if name in EXPORTERS:
+        raise ValueError(f"there is an exporter {name!r}")
+    if clash := [e for e in exporter.endings if e in taken]:
+        raise ValueError(f"{clash[0]} is {taken[clash[0]]}'s")
+    EXPORTERS[name] = exporter
+
+
+def exporter_for(path: str) -> Exporter:
+    found = [x for x in EXPORTERS.values() if any(path.lower().endswith(e) for e in x.endings)]
+    if not found:
+        raise ValueError(f"no exporter writes {path!r}; endings are {', '.join(sorted(e for x in EXPORTERS.values() for e in x.endings))}")
+    return found[0]
+
+
+def export(tables: Mapping[str, DataFrame], path: str) -> None:
+    """Write what the path's ending asks for, as a folder of text files whose lines are in order across files."""
+    exporter = exporter_for(path)
+    exporter.lines(tables).orderBy(*exporter.order).select("line").write.text(path)

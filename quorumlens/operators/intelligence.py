@@ -6,7 +6,7 @@ very many memories is never one row with a long array.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -241,35 +241,109 @@ def risk_insights(c: Context, projects: DataFrame) -> list[DataFrame]:
     return [again, long, old, hot, stuck]
 
 
-#: Insight providers by name; each is a function from (context, projects) to insight tables. Add one's own here.
-PROVIDERS = {"commitment": lambda c, p: commitment_insights(c), "decision": lambda c, p: decision_insights(c), "risk": risk_insights}
+@dataclass(frozen=True)
+class Facts:
+    """What a provider may ask of a context before it is called: its meetings, and its memories by type."""
+
+    meetings: int
+    memories: Mapping[str, int]
+
+    def any(self, *types: str) -> bool:
+        return any(self.memories.get(t, 0) for t in types)
+
 
+def facts(c: Context) -> Facts:
+    """Seven counts and one: a single job, however many providers there are."""
+    n = c.memories.groupBy("memory_type").agg(F.count("*").alias("n")).collect()  # a row a type
+    return Facts(c.reference.first()["n_meetings"], {r["memory_type"]: r["n"] for r in n})
 
-#: Metric providers by name, from (context, projects) to a table, and recommendation providers, from (context, insights).
-METRICS = {
-    "commitment": lambda c, p: commitment_metrics(c), "decision": lambda c, p: decision_metrics(c), "health": lambda c, p: health(c, p),
-    "meeting": lambda c, p: meeting_metrics(c), "person": lambda c, p: person_metrics(c), "project": lambda c, p: p, "risk": lambda c, p: risk_metrics(c, p),
+
+@dataclass(frozen=True)
+class Provider:
+    """make builds tables from a context and what goes with it; supports says from the facts whether it has anything to say."""
+
+    make: Callable[..., DataFrame | list[DataFrame]]
+    supports: Callable[[Facts], bool] = lambda found: True
+
+
+#: Providers by kind and name. An insight provider makes tables of INSIGHT from (context, projects), a metric provider one table
+#: from the same, an adviser recommendations from (context, insights), and a report provider (part, place, line) from (context, projects).
+REGISTRY: dict[str, dict[str, Provider]] = {
+    "insights": {
+        "commitment": Provider(lambda c, p: commitment_insights(c), lambda f: f.any("commitment")),
+        "decision": Provider(lambda c, p: decision_insights(c), lambda f: f.any("decision")),
+        "risk": Provider(lambda c, p: risk_insights(c, p)),
+    },
+    "metrics": {
+        "commitment": Provider(lambda c, p: commitment_metrics(c)), "decision": Provider(lambda c, p: decision_metrics(c)), "health": Provider(lambda c, p: health(c, p)),
+        "meeting": Provider(lambda c, p: meeting_metrics(c)), "person": Provider(lambda c, p: person_metrics(c)), "project": Provider(lambda c, p: p), "risk": Provider(lambda c, p: risk_metrics(c, p)),
+    },
+    "advice": {"actions": Provider(lambda c, found: recommendations(c, found))},
+    "reports": {"activity": Provider(lambda c, p: activity_report(c), lambda f: bool(f.memories))},
 }
-ADVISERS = {"actions": lambda c, found: recommendations(c, found)}
 
 
-def advice(c: Context, found: DataFrame) -> DataFrame:
-    """The recommendations of all providers, in order of their names."""
+def register(kind: str, name: str, provider: Provider, replace: bool = False) -> None:
+    """Add a provider of a kind; a name that is taken is an error, unless it is to be replaced."""
+    if kind not in REGISTRY:
+        raise ValueError(f"unknown kind {kind!r}; one of {', '.join(sorted(REGISTRY))}")
+    if name in REGISTRY[kind] and not replace:
+        raise ValueError(f"{kind} already has a provider {name!r}")
+    REGISTRY[kind][name] = provider
+
+
+def unregister(kind: str, name: str) -> None:
+    del REGISTRY[kind][name]
+
+
+def provided(kind: str, c: Context, given: DataFrame, found: Facts | None = None, names: Sequence[str] = ()) -> dict[str, list[DataFrame]]:
+    """The tables of a kind's providers (or of those named) that support the context, in order of their names.
+
+    found: the context's facts, where they are known; without them no provider is asked whether it supports it.
+    """
+    if unknown := [n for n in names if n not in REGISTRY[kind]]:
+        raise ValueError(f"{kind} has no provider {unknown[0]!r}")
+    out = {}
+    for name in sorted(names or REGISTRY[kind]):
+        provider = REGISTRY[kind][name]
+        if found is None or provider.supports(found):
+            made = provider.make(c, given)
+            out[name] = made if isinstance(made, list) else [made]
+    return out
+
+
+def _all_of(tables: Mapping[str, list[DataFrame]]) -> DataFrame | None:
     out = None
-    for name in sorted(ADVISERS):
-        part = ADVISERS[name](c, found)
+    for part in (t for many in tables.values() for t in many):
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def insights(c: Context, projects: DataFrame, types: Sequence[str] = ()) -> DataFrame:
-    out = None
-    for name in sorted(PROVIDERS):
-        for part in PROVIDERS[name](c, projects):
-            out = part if out is None else out.unionByName(part)
+def advice(c: Context, found: DataFrame) -> DataFrame:
+    """The recommendations of all providers, in order of their names."""
+    return _all_of(provided("advice", c, found))
+
+
+def insights(c: Context, projects: DataFrame, types: Sequence[str] = (), found: Facts | None = None) -> DataFrame:
+    """The insights of all providers; with the context's facts, of those that support it."""
+    out = _all_of(provided("insights", c, projects, found))
+    if out is None:
+        out = _insight(c.memories.limit(0), "", "", F.lit(""), F.lit(""), F.lit(""), F.lit(0.0), F.lit(""), F.lit(""))
     return out.where(F.col("type").isin(*types)) if types else out
 
 
+def activity_report(c: Context) -> DataFrame:
+    """(part, place, line): how many memories of each type there are, how many active, and in how many meetings."""
+    per = c.memories.groupBy("memory_type").agg(F.count("*").alias("n"), _count("status = 'active'").alias("active"), F.countDistinct("meeting_id").alias("meetings"))
+    line = F.format_string("- %s: %s, %s active, in %s meetings", F.replace("memory_type", F.lit("_"), F.lit(" ")), "n", "active", "meetings")
+    return per.select(F.lit("activity").alias("part"), F.col("memory_type").alias("place"), line.alias("line"))
+
+
+def report_lines(c: Context, projects: DataFrame, found: Facts | None = None) -> DataFrame | None:
+    """The lines of all report providers that support the context; in order of part and place they are the report."""
+    return _all_of(provided("reports", c, projects, found))
+
+
 def _rank(of: dict[str, int], name: str) -> Column:
     return F.create_map(*[x for k, v in of.items() for x in (F.lit(k), F.lit(v))])[F.col(name)]
 

@@ -14,7 +14,7 @@ from ..shared import fresh_dir, materialize
 from ..sources.transcripts import _described
 from ..streaming import ingest
 from . import sample
-from .registry import _ALL, _EDGE, _MEETING, _NEAR, _RECURRING, _SYM, _search_sql, query
+from .registry import _ALL, _EDGE, _MEETING, _MORE, _NEAR, _RECURRING, _SYM, _search_sql, query
 from .sample import GRAPH_SQL
 
 NOW = "2024-03-01T00:00:00+00:00"
@@ -276,3 +276,47 @@ def _indexed(name: str, q: retrieval.Query, terms: list[str], where: str) -> Non
 
 _indexed("search_indexed", retrieval.Query("risk dependency atlas"), ["dependency", "atlas"], "memory_type = 'risk'")
 _indexed("search_indexed_customer", retrieval.Query("acme5 usage"), ["acme5", "usage"], "true")
+
+
+# ---- providers and exporters by registry
+
+
+@query("provided_insights", "SELECT CASE category WHEN 'project' THEN 'risk' ELSE category END AS provider, insight_id FROM ins WHERE category IN ('risk', 'project') UNION ALL SELECT 'meetings', 'meetings-' || count(*) FROM meet", more=_MORE, recursive=True)
+def provided_insights(spark, sf_dir):
+    """An analysis of risks alone: the providers for commitments and decisions decline it, and one registered for it takes part."""
+    _, mem, meet = sample.store(spark, sf_dir)
+    c = insight.context(mem, meet, memory_types=["risk"])
+    count = c.meetings.agg(F.count("*").alias("n"))
+    own = insight.Provider(lambda c, p: insight._insight(count, "meetings", "meeting", F.lit("low"), F.lit("Meetings"), F.lit(""), F.col("n"), F.lit(None).cast("string"), F.lit("meetings"), F.col("n").cast("string")), lambda f: f.meetings > 0)
+    insight.register("insights", "meetings", own, replace=True)
+    try:
+        tables = insight.provided("insights", c, insight.project_metrics(mem, meet), insight.facts(c))
+    finally:
+        insight.unregister("insights", "meetings")
+    out = None
+    for name, parts in tables.items():
+        for part in parts:
+            row = part.select(F.lit(name).alias("provider"), "insight_id")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("activity_report", """SELECT 'activity' AS part, memory_type AS place, '- ' || replace(memory_type, '_', ' ') || ': ' || count(*) || ', ' || count(*) FILTER (status = 'active') || ' active, in ' || count(DISTINCT meeting_id) || ' meetings' AS line FROM ctx GROUP BY memory_type""")
+def activity_report(spark, sf_dir):
+    _, mem, meet = sample.store(spark, sf_dir)
+    c = insight.context(mem, meet)
+    return insight.report_lines(c, mem, insight.facts(c))
+
+
+@query("export_by_ending", """SELECT 'memories.csv' AS path, 'memory_id,meeting_id,memory_type,status,speaker,confidence,text' AS line UNION ALL SELECT 'memories.csv', concat_ws(',', memory_id, meeting_id, memory_type, status, speaker, printf('%.4f', confidence), text) FROM mem
+  UNION ALL SELECT 'graph.gv', line FROM (SELECT unnest(['digraph memory_graph {', '  rankdir=LR;', '}']) AS line UNION ALL SELECT '  "' || node_id || '" [label="meeting: ' || label || '"];' FROM (SELECT 'meeting:' || meeting_id AS node_id, coalesce(title, meeting_id) AS label FROM meet))""")
+def export_by_ending(spark, sf_dir):
+    """Lines of two exports, chosen by their paths' endings: all memories, and a drawing of the meetings alone."""
+    from ..operators import exports
+
+    _, mem, meet = sample.store(spark, sf_dir)
+    nodes = meet.select(F.concat(F.lit("meeting:"), "meeting_id").alias("node_id"), F.lit("meeting").alias("node_type"), F.coalesce("title", "meeting_id").alias("label"))
+    edges = graph.collaboration_edges(meet).limit(0)
+    tables = {"memories": mem, "meetings": meet, "nodes": nodes, "edges": edges}
+    lines = lambda path: exports.exporter_for(path).lines(tables).select(F.lit(path).alias("path"), "line")
+    return lines("memories.csv").unionByName(lines("graph.gv"))
