@@ -40,7 +40,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 
     A-Z are lower-cased; words are parted by ASCII white space.
     """
-    if len(_WORDS) > 200_000:
+    if len(_WORDS) > 50_000:
         _WORDS.clear()
     out = []
     with np.errstate(over="ignore"):
@@ -226,9 +226,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     placed = different.withColumn("place", F.coalesce("first", F.lit(2**63 - 1)))
     order = ["place", "d0", "d1"]
     nodes = materialize(row_numbers(ordered_blocks(placed, order, "numbered"), order, "node").select("node", "first", "n_shingles", "d0", "d1"), "nodes")
-    mine = nodes.select(F.col("d0").alias("e0"), F.col("d1").alias("e1"), "first", "node")
-    reps = prints.join(mine, (F.col("d0") == F.col("e0")) & (F.col("d1") == F.col("e1")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    keyed = reps.select("node", F.explode("bands").alias("key"))
+    # half of a set's digest names it here: were two sets to share it, their groups would be one group
+    keyed = prints.select(F.col("d0").alias("node"), F.explode("bands").alias("key"))
     heads = materialize(keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head"), "heads")
     # a node and all its heads hang on the least of them, so a group has few edges besides one a node
     hung = keyed.join(heads, "key").groupBy("node").agg(F.min("head").alias("a"), F.collect_set("head").alias("heads"))  # a head a band at most
@@ -236,23 +235,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     groups = components(materialize(near, "candidates"))
 
     # tables of known size: joins broadcast them only if they are small
-    sized = materialize(nodes.join(groups.withColumnRenamed("label", "group"), "node"), "grouped")
+    sized = materialize(nodes.join(groups.select(F.col("node").alias("d0"), F.col("label").alias("group")), "d0"), "grouped")
     stats = materialize(sized.groupBy("group").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")), "group_sizes")
     parts = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("s") / chunk_shingles)).cast("long")
     members = materialize(sized.join(stats, "group").withColumn("parts", parts), "members")
-    sets = _sets(docs, members.select("node", "first", "d0", "d1"), k, text)
-
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     everywhere = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / anchors).cast("long")) == 0)
-    first = members.withColumn("chunk", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own))))
-    links = _verified(first.select("node", "group", "chunk").join(sets, "node"), ["group", "chunk"], percent)
+    chunks = F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own))
+    sets = _sets(docs, members.select("node", "first", "d0", "d1", "group", chunks.alias("chunks")), k, text)
+    links = _verified(sets.select("node", "group", F.explode("chunks").alias("chunk"), "shingles"), ["group", "chunk"], percent)
     links = materialize(links.unionByName(_same_document(narrow, nodes)), "all_links")
     labels = components(links)
 
     state = members.where("parts > 1").join(labels, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label"))
     state = materialize(state, "state")
     split = state.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("group")
-    apart = materialize(state.join(split, "group", "left_semi").select("node", "label").join(sets, "node"), "apart")
+    apart = materialize(state.join(split, "group", "left_semi").select("node", "label").join(sets.select("node", "shingles"), "node"), "apart")
     if apart.limit(1).count():
         labels = components(links.unionByName(cross_links(apart, percent, chunk_pairs)))
 
@@ -381,7 +379,7 @@ def _same_document(narrow: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame:
-    """node and shingles (binary) of the wanted nodes (node, first, d0, d1), from the texts of documents `first`."""
+    """node, group, chunks and shingles (binary) of the wanted nodes (node, first, d0, d1, group, chunks), from the texts of documents `first`."""
 
     def make(parts: Iterator) -> Iterator:
         import pyarrow as pa
@@ -389,16 +387,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame:
         seen: set[int] = set()  # repeated rows of a document give its set once
         for part in parts:
             node, d0, d1 = (part.column(i).to_numpy() for i in range(3))
-            texts = part.column(3)
+            texts = part.column(5)
             for s in slices(texts, 500_000):
                 sets = shingle_sets(texts.slice(s.start, s.stop - s.start).to_pylist(), k)
                 good = ((_digests(sets) == np.stack([d0[s], d1[s]], axis=1)).all(axis=1)).tolist()
-                out = [(n, x) for n, x, g in zip(node[s].tolist(), sets, good) if g and n not in seen and not seen.add(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([x.tobytes() for _, x in out], pa.binary())], names=["node", "shingles"])
+                keep = [i for i, (n, g) in enumerate(zip(node[s].tolist(), good)) if g and n not in seen and not seen.add(n)]
+                at = pa.array([s.start + i for i in keep], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[part.column(i).take(at) for i in (0, 3, 4)], pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["node", "group", "chunks", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty(text).alias("t"))
-    rows = sifted(texts, "_id", wanted, "first").join(wanted, F.col("_id").eqNullSafe(F.col("first"))).select("node", "d0", "d1", "t")
-    return materialize(rows.mapInArrow(make, "node long, shingles binary"), "shingles")
+    rows = sifted(texts, "_id", wanted, "first").join(wanted, F.col("_id").eqNullSafe(F.col("first"))).select("node", "d0", "d1", "group", "chunks", "t")
+    return materialize(rows.mapInArrow(make, "node long, group long, chunks array<long>, shingles binary"), "shingles")
 
 
 def op6_similarity_sketch(spark, sf_dir: str) -> DataFrame:
