@@ -177,13 +177,19 @@ def neighbors_depth2_all(spark, sf_dir):
 # ---- streams
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Files of a batch: as many as a shuffle has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @query("stream_import", "SELECT meeting_id, memory_type, utterance_index, speaker, confidence, content_hash FROM c4")
 def stream_import(spark, sf_dir):
     """Utterances in four shuffled batches, imported as a stream, come to the memories of one batch job."""
     u, _, _ = sample.store(spark, sf_dir)
     rows = u.withColumns({"at": F.to_timestamp("meeting_date"), "deal": F.xxhash64("meeting_id", "utterance_index")})
-    folder = ingest.stream_folder(rows, "utterances", 4, "deal")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder).drop("deal")
+    files = _tasks(spark)
+    folder = ingest.stream_folder(rows, "utterances", 4, "deal", files)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder).drop("deal")
     store = new_store(spark)
     ingest.import_stream(stream, store, f"{store.path}/checkpoint", NOW, late="400 days").awaitTermination()
     return store.memories().select("meeting_id", "memory_type", "utterance_index", "speaker", "confidence", "content_hash")

@@ -148,8 +148,11 @@ def import_stream(utterances: DataFrame, store: Store, checkpoint: str, now: str
     return best.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_folder(df: DataFrame, name: str, parts: int, key) -> str:
-    """df in `parts` files of a fresh shared folder, dealt by key; a stream reads them a file a batch."""
+def stream_folder(df: DataFrame, name: str, parts: int, key, files: int = 1) -> str:
+    """df in a fresh shared folder, dealt by key, for `parts` batches of so many files each; a stream reads them by maxFilesPerTrigger.
+
+    A batch of several files is read by several tasks, so no task need hold a whole batch.
+    """
     folder = fresh_dir(df.sparkSession, name)
-    df.repartitionByRange(parts, key).write.parquet(folder)
+    df.repartition(parts * files, key).write.parquet(folder)
     return folder

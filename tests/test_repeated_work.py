@@ -27,3 +27,13 @@ def test_a_text_that_a_meeting_repeats_is_searched_once(spark):
     by_speaker = lambda text, speaker: F.filter(F.array(F.struct(F.lit("fact").alias("memory_type"), F.when(speaker == "Bo", 0.9).otherwise(0.1).alias("base"), F.lit(0).alias("start"), F.lit("").alias("trigger"), F.lit(False).alias("marked"))), lambda x: x["base"] > 0.5)
     bo = extraction.extract(u, types=(), extra=[by_speaker]).select("speaker").collect()
     assert bo and {r["speaker"] for r in bo} == {"Bo"}  # an extractor of one's own sees every speaker of a text
+
+
+def test_batches_of_several_files(spark):
+    rows = spark.range(400).withColumn("r", F.xxhash64("id"))
+    folder = ingest.stream_folder(rows, "several", 2, "r", 3)
+    assert len(glob.glob(folder.removeprefix("file:") + "/*.parquet")) == 6
+    sizes = []
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(folder)
+    stream.writeStream.foreachBatch(lambda b, _: sizes.append((len(b.inputFiles()), b.count()))).trigger(availableNow=True).start().awaitTermination(240)
+    assert len(sizes) == 2 and sum(n for _, n in sizes) == 400
