@@ -200,8 +200,9 @@ def stream_type_counts(spark, sf_dir):
     """Memories by day and type, counted over a stream of three shuffled batches; the last count of each stands."""
     u, _, _ = sample.store(spark, sf_dir)
     rows = u.withColumns({"ts": F.to_timestamp("meeting_date"), "deal": F.xxhash64("utterance_index", "meeting_id")})
-    folder = ingest.stream_folder(rows, "utterances", 3, "deal")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder).drop("deal")
+    files = _tasks(spark)
+    folder = ingest.stream_folder(rows, "utterances", 3, "deal", files)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder).drop("deal")
     out = fresh_dir(spark, "counts")
 
     def keep(batch: DataFrame, number: int) -> None:
