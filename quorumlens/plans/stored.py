@@ -52,15 +52,14 @@ def _imports(spark: SparkSession, sf_dir: str) -> tuple[S.Store, DataFrame]:
     store, k, done = new_store(spark), F.col("conv_id"), []
 
     def run(step: int, files: DataFrame, dry_run: bool = False) -> None:
-        files = materialize(files.select("path", "content"), "files")
-        found = ingest.import_files(_described(files), store, NOW, dry_run=dry_run)
+        found = ingest.import_files(_described(files.select("path", "content")), store, NOW, dry_run=dry_run)
         done.append(materialize(found, "outcomes").select(F.lit(step).alias("step"), "path", "meeting_id", "status", "detail"))
 
     everyone = _talks(spark, sf_dir, F.lit(True))
     prose = F.when(F.regexp_extract("path", r"(\d+)", 1).cast("int") % 7 == 1, F.concat(F.lit("prose first\n"), "content")).otherwise(F.col("content"))
     copies = _talks(spark, sf_dir, k % 6 == 0).withColumn("path", F.concat(F.lit("/talks/late"), F.regexp_extract("path", r"(\d+)", 1), F.lit(".txt")))
     other = _talks(spark, sf_dir, k % 10 == 0, "zother", "\nuser: We decided to use kafka.")
-    mixed = everyone.withColumn("content", prose).unionByName(copies).unionByName(other)
+    mixed = materialize(everyone.withColumn("content", prose).unionByName(copies).unionByName(other).select("path", "content"), "files")
     run(1, _talks(spark, sf_dir, k % 2 == 0))
     run(2, mixed)
     run(3, mixed, dry_run=True)

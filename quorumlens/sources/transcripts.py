@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import derive_meeting_id, normalize_newlines, normalize_speaker, normalize_whitespace, timestamp_seconds
+from ..shared import materialize
 
 _TS = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?"
 LEADING = rf"^\s*(?:\[\s*({_TS})\s*\]|\(\s*({_TS})\s*\)|({_TS}))\s+(.*)$"
@@ -151,7 +152,7 @@ def _front_matter(files: DataFrame) -> DataFrame:
 
 def _turn_lines(files: DataFrame) -> DataFrame:
     """One row a line that is not blank, with speaker, timestamp and rest where it starts a turn."""
-    rows = files.where("problem is null").select("path", "transcript_hash", "fields", F.posexplode("body").alias("pos", "line")).where(F.trim("line") != "")
+    rows = files.where("problem is null").select("path", "transcript_hash", "format", "fields", F.posexplode("body").alias("pos", "line")).where(F.trim("line") != "")
     lead = F.coalesce(*[F.nullif(F.regexp_extract("line", LEADING, i), F.lit("")) for i in (1, 2, 3)])
     rows = rows.withColumn("_lead", lead).withColumn("_rest", F.when(F.col("_lead").isNotNull(), F.regexp_extract("line", LEADING, 4)).otherwise(F.col("line")))
     rows = rows.withColumns({"_cut": F.col("_rest").rlike(DELIMITER), "_head": F.regexp_extract("_rest", DELIMITER, 1), "said": F.regexp_extract("_rest", DELIMITER, 2)})
@@ -168,7 +169,7 @@ def _folded(lines: DataFrame) -> DataFrame:
     marked = lines.withColumn("turn", F.sum(F.col("is_turn").cast("int")).over(w))
     part = F.struct("pos", F.when(F.col("is_turn"), F.col("said")).otherwise(F.col("line")).alias("s"))
     text = normalize_whitespace(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["s"]), " "))
-    return marked.groupBy("path", "turn").agg(F.first("transcript_hash").alias("transcript_hash"), F.first("fields").alias("fields"), F.max(F.when(F.col("is_turn"), F.col("who"))).alias("who"), F.max(F.when(F.col("is_turn"), F.col("stamp"))).alias("stamp"), text.alias("text"))
+    return marked.groupBy("path", "turn").agg(F.first("transcript_hash").alias("transcript_hash"), F.first("format").alias("format"), F.first("fields").alias("fields"), F.max(F.when(F.col("is_turn"), F.col("who"))).alias("who"), F.max(F.when(F.col("is_turn"), F.col("stamp"))).alias("stamp"), text.alias("text"))
 
 
 def _finished(turns: DataFrame) -> DataFrame:
@@ -188,13 +189,34 @@ def _markdown(files: DataFrame) -> DataFrame:
     return files.withColumn("body", F.transform(F.filter("body", keep), bare))
 
 
+def _turns(files: DataFrame) -> DataFrame:
+    """The turns of text and Markdown files."""
+    framed = _front_matter(files.where("format in ('text', 'markdown')"))
+    return _folded(_turn_lines(framed.where("format = 'text'").unionByName(_markdown(framed.where("format = 'markdown'")))))
+
+
 def parse(files: DataFrame) -> DataFrame:
     """Utterances of text, Markdown, JSON and CSV files, by the format of each; files that could not be read have none."""
-    if "problem" in files.columns:
-        files = files.where("problem is null").drop("problem")
-    framed = _front_matter(files.where("format in ('text', 'markdown')"))
-    text = framed.where("format = 'text'").unionByName(_markdown(framed.where("format = 'markdown'")))
-    turns = _folded(_turn_lines(text))
+    files = _readable(files)
+    return _parsed(files, _turns(files))
+
+
+def problems(files: DataFrame) -> DataFrame:
+    """(path, problem) of files that give no utterances because something is wrong with them."""
+    return _problems(files, _turns(_readable(files)))
+
+
+def parse_and_problems(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """parse() and problems() of files whose lines are cut into turns once, for both."""
+    turns = materialize(_turns(_readable(files)), "turns")
+    return _parsed(_readable(files), turns), _problems(files, turns)
+
+
+def _readable(files: DataFrame) -> DataFrame:
+    return files.where("problem is null").drop("problem") if "problem" in files.columns else files
+
+
+def _parsed(files: DataFrame, turns: DataFrame) -> DataFrame:
     bad = turns.where("turn = 0").select("path")
     out = _finished(turns.join(bad, "path", "left_anti")).unionByName(_json(files.where("format = 'json'"))).unionByName(_csv(files.where("format = 'csv'")))
     for name, reader in READERS.items():
@@ -202,13 +224,11 @@ def parse(files: DataFrame) -> DataFrame:
     return out
 
 
-def problems(files: DataFrame) -> DataFrame:
-    """(path, problem) of files that give no utterances because something is wrong with them."""
+def _problems(files: DataFrame, turns: DataFrame) -> DataFrame:
     if "problem" in files.columns:
-        rest = files.where("problem is null").drop("problem")
-        return files.where("problem is not null").select("path", "problem").unionByName(problems(rest))
+        return files.where("problem is not null").select("path", "problem").unionByName(_problems(_readable(files), turns))
     framed = _front_matter(files.where("format in ('text', 'markdown')"))
-    early = _folded(_turn_lines(framed.where("format = 'text'"))).where("turn = 0").select("path", F.lit("a line stands before any turn").alias("problem"))
+    early = turns.where("turn = 0 and format = 'text'").select("path", F.lit("a line stands before any turn").alias("problem"))
     unread = files.where("format = 'json'").where(F.try_parse_json("content").isNull()).select("path", F.lit("not JSON").alias("problem"))
     date = F.col("fields")["date"]
     dates = framed.where(date.isNotNull() & F.try_to_date(date, "yyyy-MM-dd").isNull()).select("path", F.lit("date is not YYYY-MM-DD").alias("problem"))

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.extraction import extract
 from ..operators.store import Store, deduplicate
 from ..shared import fresh_dir, materialize
-from ..sources.transcripts import _described, meetings_of, parse, problems
+from ..sources.transcripts import _described, meetings_of, parse, parse_and_problems, problems
 
 PLAN = ("path", "transcript_hash", "meeting_id", "status", "detail")
 
@@ -69,8 +69,9 @@ def import_files(files: DataFrame, store: Store, now: str, min_confidence: float
     what it wrote.
     """
     files = materialize(files, "import_files")
-    utterances = materialize(parse(files), "import_utterances")
-    plan = plan_import(files, store, utterances)
+    utterances, wrong = parse_and_problems(files)
+    utterances = materialize(utterances, "import_utterances")
+    plan = plan_import(files, store, utterances, wrong)
     mine = utterances.join(plan.where("status = 'success'").select("path"), "path", "left_semi")
     found = _mined(mine, now, min_confidence, dedup)
     if not dry_run:

@@ -37,3 +37,24 @@ def test_batches_of_several_files(spark):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(folder)
     stream.writeStream.foreachBatch(lambda b, _: sizes.append((len(b.inputFiles()), b.count()))).trigger(availableNow=True).start().awaitTermination(240)
     assert len(sizes) == 2 and sum(n for _, n in sizes) == 400
+
+
+def test_turns_are_cut_once_for_both(spark):
+    content = {"/a.txt": "Ann: We decided to use kafka.\nBo: Hm.", "/b.txt": "prose\nAnn: Hi", "/c.txt": "---\ntitle: x\n", "/d.md": "# Notes\nprose\n- **Ann**: A risk.", "/e.csv": "Owner,Action\nAnn,do it", "/f.json": "nope", "/g.xyz": "?"}
+    files = transcripts._described(spark.createDataFrame(list(content.items()), "path string, content string"))
+    for given in (files, files.withColumn("problem", F.when(F.col("path") == "/e.csv", "the member is broken"))):
+        said, wrong = transcripts.parse_and_problems(given)
+        assert sorted(map(str, said.collect())) == sorted(map(str, transcripts.parse(given).collect()))
+        assert sorted(wrong.collect()) == sorted(transcripts.problems(given).collect())
+        assert {r["path"] for r in wrong.collect()} >= {"/b.txt", "/c.txt", "/f.json", "/g.xyz"}
+
+
+def test_a_log_entry_is_read_once_and_new_ones_are_seen(spark, tmp_path):
+    mine, other = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    row = lambda i: spark.createDataFrame([(f"m{i}", "x")], "meeting_id string, title string")
+    mine.append("meetings", row(1), "meeting_id")
+    assert other.read("meetings").count() == 1 and len(other._entries) == 1
+    mine.append("meetings", row(2), "meeting_id")
+    assert other.read("meetings").count() == 2 and len(other._entries) == 2
+    other.compact()
+    assert len(mine.log()) == 1 and mine.read("meetings").count() == 2
