@@ -35,11 +35,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     named = F.coalesce("doc_id", F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3))
     rows = docs.select(*COLUMNS, named.alias("_id"))
-    found = neardup.near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text")).where("kept")
-    kept = common.materialize(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "kept")
-    mine = rows.join(kept, "_id")
+    found = neardup.near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"))
+    # documents with one row that stays are most; texts of the others alone, and of those that share a hash bucket with them, are shuffled
+    others = common.materialize(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count_if("kept").alias("_rows")).where("_rows <> 1"), "others")
+    surely, maybe = common.parted(rows, "_id", others, "_id")
+    mine = maybe.join(others, "_id", "left")
     several = mine.where("_rows > 1").groupBy("_id").agg(F.min_by(F.struct(*COLUMNS), F.xxhash64("text", *COLUMNS)).alias("row"))
-    return mine.where("_rows = 1").select(*COLUMNS).unionByName(several.select("row.*"))
+    return surely.select(*COLUMNS).unionByName(mine.where("_rows is null").select(*COLUMNS)).unionByName(several.select("row.*"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

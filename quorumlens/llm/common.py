@@ -76,11 +76,18 @@ def row_numbers(blocks: DataFrame, order: Sequence[str], out: str = "position")
 
 
 def sifted(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, buckets: int = 1 << 20) -> DataFrame:
-    """The rows whose key may be among wanted's, before a join that would shuffle all rows for the few that meet.
+    """The rows whose key may be among wanted's, before a join that would shuffle all rows for the few that meet."""
+    return parted(rows, key, wanted, wanted_key, buckets)[1]
+
+
+def parted(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, buckets: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is surely not among wanted's, and those whose key may be; neither is shuffled.
 
     What is broadcast is the hash buckets that wanted has, `buckets` numbers at most, whatever the data; where wanted has
-    so many keys that all buckets are hit, all rows stay. Nulls count as one key.
+    so many keys that all buckets are hit, all rows may be. Nulls count as one key.
     """
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
-    hit = materialize(wanted.select(bucket(wanted_key).alias("_bucket")).distinct(), "buckets")
-    return rows.withColumn("_bucket", bucket(key)).join(F.broadcast(hit), "_bucket", "left_semi").drop("_bucket")
+    hit = F.broadcast(materialize(wanted.select(bucket(wanted_key).alias("_bucket")).distinct(), "buckets"))
+    dealt = rows.withColumn("_bucket", bucket(key))
+    surely, maybe = (dealt.join(hit, "_bucket", how).drop("_bucket") for how in ("left_anti", "left_semi"))
+    return surely, maybe
