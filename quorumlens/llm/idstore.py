@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, prefix_totals, shared_dir, text_or_empty
-from .tokens import encoder, id_width, slices, vocabulary
+from .tokens import SLICE, encoder, id_width, slices, vocabulary
 
 BLOCKS = "block long, first_id long, last_id long, doc_ids array<long>, n_tokens array<int>, ends array<int>, dict_sha256 string, width int, payload binary"
 DOCS = "doc_id long, block long, place int, local_start long, ids binary"
@@ -41,7 +41,7 @@ def id_arrays(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
         for part in parts:
             texts = part.column(1)
-            for s in slices(texts):
+            for s in slices(texts, SLICE):
                 ids, sizes = encoder(path).encode(texts[s])
                 raw, ends = ids.astype(f"<u{width}").tobytes(), np.cumsum(sizes) * width
                 frames = [raw[e - width * n : e] for e, n in zip(ends.tolist(), sizes.tolist())]

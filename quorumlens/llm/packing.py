@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prefix_totals, text_or_empty
-from .tokens import encoder, id_width, slices, vocabulary
+from .tokens import SLICE, encoder, id_width, slices, vocabulary
 
 #: The queue of all sources that are too small to have a token in every window.
 POOL = "\x00pool"
@@ -108,7 +108,7 @@ def token_table(docs: DataFrame, path: str, text: str = "text", source: str = "s
         block, given = TaskContext.get().partitionId(), {}
         for part in parts:
             texts, sources = part.column(2), part.column(1).to_pylist()
-            for s in slices(texts, 8_000_000):
+            for s in slices(texts, SLICE):
                 ids, sizes = encoder(path).encode(texts[s])
                 raw = ids.astype(f"<u{width}").tobytes()
                 ends = (np.cumsum(sizes) * width).tolist()
@@ -172,7 +172,8 @@ def pack(docs: DataFrame, path: str, window: int = 4096, targets: Mapping[str, f
     def cut(parts: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for part in parts:
+        for part, s in ((p, s) for p in parts for s in slices(p.column(4), SLICE)):
+            part = part.slice(s.start, s.stop - s.start)
             rows = zip(*[part.column(i).to_pylist() for i in (1, 2, 3, 4)])
             take, out = [], []
             for i, (queue, begin, n, raw) in enumerate(rows):

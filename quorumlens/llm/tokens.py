@@ -11,6 +11,8 @@ import numpy as np
 
 #: Ends each document; an ordinary id of word_bpe_49k.json.
 END_ID = 2
+#: Bytes of text that a worker encodes at once: what it holds for a slice is some thirty times this.
+SLICE = 2_000_000
 #: Marks that may follow a word in its chunk. They are ASCII, so none composes with what stands before it or changes case.
 _TAIL = "#*$%&|<>.,;:!?)]}\"-_=+~^/"
 #: How texts are cut behind the normalizer: contractions, runs of letters, single numbers, runs of marks; white space goes.
@@ -31,24 +33,26 @@ class _Known:
 
         self.strings = pa.array([], kind)
         self.store, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.offset, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.offset, self.size = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
     def add(self, strings, ids: np.ndarray, sizes: np.ndarray) -> None:
         import pyarrow as pa
 
         self.strings = pa.concat_arrays([self.strings, strings])
         if self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store[: self.used], np.zeros(max(len(self.store), len(ids)), np.uint32)])
+            self.store = np.concatenate([self.store[: self.used], np.zeros(max(len(self.store) // 2, len(ids)), np.uint32)])
         self.store[self.used : self.used + len(ids)] = ids
-        self.offset = np.concatenate([self.offset, self.used + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
+        self.offset = np.concatenate([self.offset, (self.used + np.cumsum(sizes) - sizes).astype(np.uint32)])
+        self.size = np.concatenate([self.size, sizes.astype(np.uint32)])
         self.used += len(ids)
 
     def ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sequences of these codes one after another, and the size of each."""
-        sizes = self.size[codes]
+        sizes = self.size[codes].astype(np.int64)
         after = np.cumsum(sizes)
-        return self.store[np.repeat(self.offset[codes] - after + sizes, sizes) + np.arange(sizes.sum())], sizes
+        at = np.repeat(self.offset[codes] - after + sizes, sizes)
+        at += np.arange(len(at))
+        return self.store[at], sizes
 
     def codes(self, strings, learn) -> np.ndarray:
         """Each string's code; learn(new strings) gives the ids and sizes of those not seen before."""
@@ -91,11 +95,12 @@ class Encoder:
     are those of its space-separated chunks in order. Arrow splits texts and numbers the distinct chunks of a batch. A
     chunk of letters with marks behind is a word and a tail, if the word still ends in a letter when it is normalized.
     ASCII chunks are put in lower case, so that fewer are distinct. Chunks that hold an added token, in any case of its
-    letters, are neither cut nor changed. The tokenizer sees each word and tail once while it is known; all are
-    forgotten as they come to more than `keep` chunks or keep_bytes bytes.
+    letters, are neither cut nor changed. The tokenizer sees each word and tail once while it is known; words are
+    forgotten as they come to more than `keep` or keep_bytes bytes. Chunks are forgotten at a quarter as many, as cutting
+    them into known words costs little. Texts are best given in slices() of SLICE bytes.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000, keep_bytes: int = 30_000_000, end_id: int = END_ID):
+    def __init__(self, path: str, keep: int = 500_000, keep_bytes: int = 15_000_000, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -111,9 +116,6 @@ class Encoder:
         self.ends = np.zeros(self.largest + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._letters: dict[str, bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         self.chunks, self.words = _Known(), _Known()
 
     def _each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,9 +133,9 @@ class Encoder:
 
         letters = pc.utf8_is_alpha(new)
         found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        words = new.filter(letters).to_pylist()
+        words = new.filter(letters)
         for s in range(0, len(words), 1000):
-            some = words[s : s + 1000]
+            some = words[s : s + 1000].to_pylist()
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids])
             if len(ends) == len(some) and ends[-1] == len(ids) - 1:
@@ -199,8 +201,10 @@ class Encoder:
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not len(column):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.chunks.strings) > self.keep or self.chunks.strings.nbytes > self.keep_bytes:
-            self._reset()
+        if len(self.words.strings) > self.keep or self.words.strings.nbytes > self.keep_bytes:
+            self.words = _Known()
+        if len(self.chunks.strings) > self.keep // 4 or self.chunks.strings.nbytes > self.keep_bytes:
+            self.chunks = _Known()
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
         per = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         body, sizes = self.chunks.ids(self.chunks.codes(lists.flatten(), self._encode_chunks))
